@@ -23,7 +23,7 @@ RED_MIN, ORANGE_MIN = 0.75, 0.6
 
 _NOT_SPACE = rf"[^{SPACE_CLASS}]"
 _URL_LABELS = rf"(?iU)\b(?:Article|Comments?) URL:[{SPACE_CLASS}]*"
-_BARE_URLS = rf"https?://{_NOT_SPACE}+"
+_BARE_URLS = rf"(?U)https?://{_NOT_SPACE}+"
 _COMMENTS_LINK = rf"(?iU)\bComments? URL:[{SPACE_CLASS}]*(https?://{_NOT_SPACE}+)"
 
 

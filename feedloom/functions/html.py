@@ -16,19 +16,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.text import col_of, normalize_text
+from feedloom.functions.text import SPACE_CLASS, col_of, space_runs
 
 # Entities replaced natively; the ampersand comes last so that one pass never feeds the next.
-_COMMON_ENTITIES = (
-    "&lt; &gt; &quot; &apos; &#34; &#39; &#x27; &nbsp; &copy; &reg; &trade; &middot; &bull; "
-    "&hellip; &ndash; &mdash; &lsquo; &rsquo; &ldquo; &rdquo; &laquo; &raquo; &amp;"
+_USUAL_ENTITIES = "&lt; &gt; &quot; &#39; &nbsp; &amp;".split()
+_OTHER_ENTITIES = (
+    "&apos; &#34; &#x27; &copy; &reg; &trade; &middot; &bull; &hellip; &ndash; &mdash; "
+    "&lsquo; &rsquo; &ldquo; &rdquo; &laquo; &raquo;"
 ).split()
 
+
+def _names(entities: list[str]) -> str:
+    return "|".join(e[1:] for e in entities)
+
+
 # Names that count as entities even without a closing semicolon.
 _BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 _ENTITY = rf"(?:#[0-9xX]|[a-zA-Z][a-zA-Z0-9]*+;|(?:{_BARE_NAMES}))"
 _ANY_ENTITY = f"&{_ENTITY}"
-_RARE_ENTITY = f"&(?!(?:{'|'.join(e[1:] for e in _COMMON_ENTITIES)})){_ENTITY}"
+_RARE_ENTITY = f"&(?!(?:{_names(_USUAL_ENTITIES + _OTHER_ENTITIES)})){_ENTITY}"
 
 # Possessive loops keep the Java matcher iterative on long inputs.
 _ATTRIBUTES = (
@@ -39,10 +45,11 @@ _COMMENT = r"<!--(?!-?>)(?:[^-]++|-(?!-))*+-->"
 _DECLARATION = r"<(?:!doctype|\?)[^>]*+>"
 _END_TAG = r"</[a-z][a-z0-9:-]*+\s*+>"
 _START_TAG = rf"<(?!(?:script|style)[\s>])[a-z][a-z0-9:-]*+{_ATTRIBUTES}/?>"
-_MARKUP = f"(?i){_RAW_BLOCK}|{_COMMENT}|{_DECLARATION}|{_END_TAG}|{_START_TAG}"
+_MARKUP = f"(?i)(?=<)(?:{_RAW_BLOCK}|{_COMMENT}|{_DECLARATION}|{_END_TAG}|{_START_TAG})"
 
 # Each piece of markup becomes OPEN + raw script or style body + CLOSE.
 _OPEN, _CLOSE = "\u0001", "\u0002"
+_SPACE_OR_MARK = space_runs(SPACE_CLASS + _OPEN + _CLOSE)
 _OUTSIDE = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
 
 
@@ -69,11 +76,17 @@ def _odd_row_parser():
     return F.pandas_udf(parse, T.StringType())
 
 
+def _replace_all(value: Column, entities: list[str]) -> Column:
+    for entity in entities:
+        value = F.replace(value, F.lit(entity), F.lit(stdlib_html.unescape(entity)))
+    return value
+
+
 def _unescape_common(value: Column) -> Column:
-    out = value
-    for entity in _COMMON_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(stdlib_html.unescape(entity)))
-    return F.when(F.contains(value, F.lit("&")), out).otherwise(value)
+    others = F.when(
+        value.rlike(f"&(?:{_names(_OTHER_ENTITIES)})"), _replace_all(value, _OTHER_ENTITIES)
+    ).otherwise(value)
+    return F.when(F.contains(value, F.lit("&")), _replace_all(others, _USUAL_ENTITIES)).otherwise(value)
 
 
 def with_html_text(df: DataFrame, sources: dict[str, str | Column]) -> DataFrame:
@@ -97,7 +110,7 @@ def with_html_text(df: DataFrame, sources: dict[str, str | Column]) -> DataFrame
         {
             native[t]: F.when(
                 ~F.regexp_replace(F.col(marked[t]), _OUTSIDE, " ").rlike(f"<|{_ANY_ENTITY}"),
-                normalize_text(F.translate(F.col(marked[t]), f"{_OPEN}{_CLOSE}", "  ")),
+                F.trim(F.regexp_replace(F.col(marked[t]), _SPACE_OR_MARK, " ")),
             )
             for t in sources
         }

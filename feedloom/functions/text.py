@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace, control separators included, as the body of a Java character class.
-SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Unicode whitespace, control separators included: body of a Java character class under (?U).
+SPACE_CLASS = r"\s\x1c-\x1f"
+_EDGE_SPACE = rf"(?U)\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
 
-# Only runs that are not already one plain space need a replacement.
-_SPACE_RUNS = rf"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]"
-_EDGE_SPACE = rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
+
+def space_runs(space_class: str = SPACE_CLASS) -> str:
+    """Pattern of the runs that need replacing: all but one plain space."""
+    return rf"(?U)[{space_class}](?:(?<! )[{space_class}]*+|[{space_class}]++)"
+
+
+_SPACE_RUNS = space_runs()
 
 
 def col_of(value: Column | str) -> Column:

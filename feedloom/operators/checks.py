@@ -51,6 +51,6 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def missing_tables(required: DataFrame, present: DataFrame, name: str = "table_name") -> DataFrame:
-    """Required names that are not present."""
-    return required.select(name).exceptAll(present.select(name)).orderBy(name)
+def missing_keys(required: DataFrame, present: DataFrame) -> DataFrame:
+    """Distinct required rows that are not present."""
+    return required.subtract(present)

@@ -15,7 +15,7 @@ def _first_of_key(rows: DataFrame, key: str, at: str, item_id: str, name: str) -
         rows.groupBy(key)
         .agg(F.min(F.struct(at, item_id)).alias(name), F.count("*").alias("__n"))
         .filter("__n > 1")
-        .select(F.col(key).alias(f"__{key}"), name)
+        .select(F.col(key).alias(f"__{key}"), name, "__n")
     )
 
 
@@ -30,8 +30,8 @@ def duplicate_parents(
     narrow = rows.select(item_id, at, url, content)
     by_url = _first_of_key(narrow, url, at, item_id, "__by_url")
     by_hash = _first_of_key(narrow, content, at, item_id, "__by_hash")
-    linked = left_join_unique(narrow, by_url, url, f"__{url}")
-    linked = left_join_unique(linked, by_hash, content, f"__{content}")
+    linked = left_join_unique(narrow, by_url, url, f"__{url}", "__n")
+    linked = left_join_unique(linked, by_hash, content, f"__{content}", "__n")
     first = F.least("__by_url", "__by_hash")
     earlier = first < F.struct(at, item_id)
     return linked.select(item_id, at, F.when(earlier, first[item_id]).alias("parent_id"))

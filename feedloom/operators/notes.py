@@ -74,9 +74,10 @@ def build_notes(
         staged.groupBy("__stem").agg(F.count("*").alias("__same")).filter("__same > 1")
         .withColumnRenamed("__stem", "__shared_stem")
     )
-    marked = left_join_unique(staged, shared, "__stem", "__shared_stem")
+    shared = shared.withColumn("__taken", F.lit(True))
+    marked = left_join_unique(staged, shared, "__stem", "__shared_stem", "__same")
     short_id = F.substring(F.sha2("item_id", 256), 1, 12)
-    stem = F.when(F.col("__same") > 1, F.concat_ws("-", "__stem", short_id)).otherwise(F.col("__stem"))
+    stem = F.when(F.col("__taken"), F.concat_ws("-", "__stem", short_id)).otherwise(F.col("__stem"))
     return marked.select("item_id", "year", "month", F.concat(stem, F.lit(".md")).alias("path"), "markdown")
 
 

@@ -17,25 +17,32 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.filter(F.col("__n") * HOT_SHARE > total).select(key)
 
 
-def left_join_unique(fact: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
+def left_join_unique(
+    fact: DataFrame, dim: DataFrame, key: str, dim_key: str, weight: str | None = None
+) -> DataFrame:
     """``fact LEFT JOIN dim`` where ``dim`` has one narrow row per key.
 
     Rows of hot keys meet their dim row through a broadcast bounded by ``HOT_SHARE`` rows; in the
-    shuffle join they carry a salted key that spreads them and matches nothing. All other rows,
-    null keys included, are joined by the shuffle.
+    shuffle join they carry a salted key that spreads them and matches nothing. All other rows
+    are joined by the shuffle. ``weight`` names a dim column that already holds the fact's row
+    count per key, which saves counting it again; it is not part of the result.
     """
-    columns = [c for c in dim.columns if c != dim_key]
-    hot = dim.join(
-        F.broadcast(hot_keys(fact, key)), F.col(dim_key) == F.col(key), "left_semi"
-    ).select(
+    columns = [c for c in dim.columns if c not in (dim_key, weight)]
+    if weight is None:
+        keys = hot_keys(fact, key).withColumnRenamed(key, "__hot_key")
+        hot = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__hot_key"), "left_semi")
+    else:
+        hot = dim.filter(F.col(weight) * HOT_SHARE > dim.agg(F.sum(weight)).scalar())
+    hot = hot.select(
         F.col(dim_key).alias("__hot_key"),
         *[F.col(c).alias(f"__hot_{c}") for c in columns],
     )
     marked = fact.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
+    hashable = [name for name, kind in fact.dtypes if "map<" not in kind and kind != "variant"]
     spread = F.col("__hot_key").isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(
         "__salt",
-        F.when(spread, 1 + F.pmod(F.xxhash64(*fact.columns), F.lit(HOT_SALTS))).otherwise(0),
+        F.when(spread, 1 + F.pmod(F.xxhash64(*hashable), F.lit(HOT_SALTS))).otherwise(0),
     )
     cold = dim.select(
         F.col(dim_key).alias("__dim_key"),
@@ -44,7 +51,7 @@ def left_join_unique(fact: DataFrame, dim: DataFrame, key: str, dim_key: str) ->
     )
     joined = marked.join(
         cold,
-        (F.col(key).eqNullSafe(F.col("__dim_key"))) & (F.col("__salt") == F.col("__dim_salt")),
+        (F.col(key) == F.col("__dim_key")) & (F.col("__salt") == F.col("__dim_salt")),
         "left",
     )
     return joined.select(

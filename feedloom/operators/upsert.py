@@ -57,9 +57,13 @@ def flag_key_conflicts(
         keyed.groupBy("__key")
         .agg(F.min(at).alias("__owner"), F.count("*").alias("__n"))
         .filter("__n > 1")
-        .select(F.col("__key").alias("__owner_key"), F.col(f"__owner.{identity}").alias("__owner_id"))
+        .select(
+            F.col("__key").alias("__owner_key"),
+            F.col(f"__owner.{identity}").alias("__owner_id"),
+            "__n",
+        )
     )
-    joined = left_join_unique(keyed, owners, "__key", "__owner_key")
+    joined = left_join_unique(keyed, owners, "__key", "__owner_key", "__n")
     return joined.withColumn(
         "conflict", F.coalesce(F.col("__owner_id") != F.col(identity), F.lit(False))
     ).drop("__key", "__owner_id")

@@ -102,7 +102,7 @@ def _last(values: Column) -> Column:
 def _payload(entry: Column, tags: dict[str, str], text_of) -> Column:
     """Map of the tags that occur in the entry to their text; the last of equal tags wins."""
     pairs = [
-        F.when(F.size(entry[tag]) > 0, F.struct(F.lit(key), text_of(tag, _last(entry[tag]))))
+        F.when(F.size(entry[tag]) > 0, F.struct(F.lit(key).alias("key"), text_of(tag, _last(entry[tag])).alias("value")))
         for tag, key in tags.items()
     ]
     return F.map_from_entries(F.array_compact(F.array(*pairs)))
