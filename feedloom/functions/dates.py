@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import col_of
+from feedloom.functions.text import bind, col_of
 
 # Named zones of RFC 822 as minutes east of UTC.
 ZONE_MINUTES = {
@@ -26,11 +26,18 @@ _ISO8601 = (
 _SEP = "\u0001"
 
 
-def _groups(text: Column, pattern: str, count: int) -> list[Column]:
-    """Capture groups of one match as columns; null where a group is empty or nothing matched."""
-    joined = F.regexp_replace(text, pattern, _SEP.join(f"${i}" for i in range(1, count + 1)))
-    parts = F.when(text.rlike(pattern), F.split(joined, _SEP, count))
-    return [F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i in range(count)]
+def _matched(text: Column, pattern: str, count: int, body) -> Column:
+    """``body(groups)`` for the capture groups of a full match, else null."""
+    groups = F.split(
+        F.regexp_replace(text, pattern, _SEP.join(f"${i}" for i in range(1, count + 1))), _SEP, count
+    )
+
+    def on_match(parts: Column) -> Column:
+        return F.when(
+            F.size(parts) == count, body(*[F.get(parts, F.lit(i)) for i in range(count)])
+        )
+
+    return bind(groups, on_match)
 
 
 def _number(text: Column) -> Column:
@@ -53,8 +60,7 @@ def _offset(zone: Column) -> Column:
     return F.when(zone.startswith("-"), -seconds).when(zone.startswith("+"), seconds)
 
 
-def _rfc822_time(text: Column) -> Column:
-    day, month, year, hour, minute, second, zone = _groups(text, _RFC822, 7)
+def _rfc822_time(day, month, year, hour, minute, second, zone) -> Column:
     month_number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month))
     short = F.when(_number(year) > 68, _number(year) + 1900).otherwise(_number(year) + 2000)
     full_year = F.when(F.length(year) == 2, short).otherwise(_number(year))
@@ -70,10 +76,9 @@ def _rfc822_time(text: Column) -> Column:
     )
 
 
-def _iso_time(text: Column) -> Column:
-    year, month, day, hour, minute, second, fraction, zone = _groups(text, _ISO8601, 8)
-    micros = F.substring(F.rpad(F.coalesce(fraction, F.lit("")), 6, "0"), 1, 6)
-    seconds = F.concat(F.coalesce(second, F.lit("00")), F.lit("."), micros).cast("decimal(8,6)")
+def _iso_time(year, month, day, hour, minute, second, fraction, zone) -> Column:
+    micros = F.substring(F.rpad(fraction, 6, "0"), 1, 6)
+    seconds = F.concat(_number(second).cast("string"), F.lit("."), micros).cast("decimal(8,6)")
     offset = F.coalesce(_offset(zone), F.lit(0))
     return _instant(
         _number(year), _number(month), _number(day), _number(hour), _number(minute), seconds, offset
@@ -82,8 +87,12 @@ def _iso_time(text: Column) -> Column:
 
 def parse_datetime(value: Column | str) -> Column:
     """Timestamp of a feed date; null when it cannot be read."""
-    text = F.trim(col_of(value))
-    return F.coalesce(_rfc822_time(text), _iso_time(text))
+    return bind(
+        F.trim(col_of(value)),
+        lambda text: F.coalesce(
+            _matched(text, _RFC822, 7, _rfc822_time), _matched(text, _ISO8601, 8, _iso_time)
+        ),
+    )
 
 
 def epoch_datetime(*values: Column) -> Column:

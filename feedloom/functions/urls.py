@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import col_of, strip_text
+from feedloom.functions.text import bind, first_filled, strip_text
 
 # Query parameters that only track the reader.
 TRACKING_PREFIX = "utm_"
@@ -37,10 +37,10 @@ def _encode(value: Column) -> Column:
 
 
 def _pair(item: Column) -> Column:
-    name = F.substring_index(item, "=", 1)
-    value = F.when(F.contains(item, F.lit("=")), F.substring(item, F.length(name) + 2, F.length(item)))
+    parts = F.split(item, "=", 2)
     return F.struct(
-        _decode(name).alias("name"), _decode(F.coalesce(value, F.lit(""))).alias("value")
+        _decode(F.get(parts, F.lit(0))).alias("name"),
+        _decode(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("value"),
     )
 
 
@@ -57,7 +57,7 @@ def canonical_query(query: Column) -> Column:
         F.array_sort(pairs),
         lambda pair: F.concat(_encode(pair["name"]), F.lit("="), _encode(pair["value"])),
     )
-    return F.when(query == "", F.lit("")).otherwise(F.array_join(coded, "&"))
+    return F.array_join(coded, "&")
 
 
 def canonicalize_url(url: Column | str) -> Column:
@@ -66,21 +66,29 @@ def canonicalize_url(url: Column | str) -> Column:
     A URL whose host cannot be read (unbalanced brackets, look-alike separators) gives null.
     """
     cleaned = F.regexp_replace(strip_text(url), r"\A[\x00-\x20]+|[\t\r\n]", "")
-    parts = F.split(
-        F.regexp_replace(cleaned, _PARTS, f"$1{_SEP}$2{_SEP}$3{_SEP}$4"), _SEP, 4
+    pieces = F.split(F.regexp_replace(cleaned, _PARTS, f"$1{_SEP}$2{_SEP}$3{_SEP}$4"), _SEP, 4)
+    return bind(pieces, lambda p: bind(_components(p), _assemble))
+
+
+def _components(pieces: Column) -> Column:
+    scheme, authority, path, query = (F.get(pieces, F.lit(i)) for i in range(4))
+    return F.struct(
+        first_filled(F.lower(scheme), F.lit("https")).alias("scheme"),
+        F.lower(authority).alias("authority"),
+        first_filled(F.regexp_replace(path, r"/+\z", ""), F.lit("/")).alias("path"),
+        F.when(query == "", F.lit("")).otherwise(canonical_query(query)).alias("query"),
     )
-    scheme = F.coalesce(F.nullif(F.lower(F.get(parts, F.lit(0))), F.lit("")), F.lit("https"))
-    authority = F.lower(F.get(parts, F.lit(1)))
-    path = F.coalesce(F.nullif(F.regexp_replace(F.get(parts, F.lit(2)), r"/+\z", ""), F.lit("")), F.lit("/"))
-    query = canonical_query(F.get(parts, F.lit(3)))
 
-    has_host = F.length(authority) > 2
+
+def _assemble(url: Column) -> Column:
+    scheme, authority, path, query = (url[c] for c in ("scheme", "authority", "path", "query"))
     rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     empty_host = path.startswith("//") | (scheme.isin(AUTHORITY_SCHEMES) & path.startswith("/"))
     location = (
-        F.when(has_host, F.concat(authority, rooted))
+        F.when(F.length(authority) > 2, F.concat(authority, rooted))
         .when(empty_host, F.concat(F.lit("//"), path))
         .otherwise(path)
     )
-    full = F.when(~authority.rlike(_BAD_AUTHORITY), F.concat(scheme, F.lit(":"), location))
-    return F.when(query == "", full).otherwise(F.concat(full, F.lit("?"), query))
+    suffix = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
+    full = F.concat(scheme, F.lit(":"), location, suffix)
+    return F.when(~authority.rlike(_BAD_AUTHORITY), full)

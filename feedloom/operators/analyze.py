@@ -16,14 +16,15 @@ from feedloom.functions.scoring import (
 )
 from feedloom.functions.text import content_hash, normalize_text
 from feedloom.functions.urls import canonicalize_url
+from feedloom.operators.stage import compute_once
 
 Analyzer = Callable[[Column, Column, Column], Column]
 
 
 def normalize_items(raw: DataFrame) -> DataFrame:
     """Add canonical_url, content and normalized_hash to rows with url, title and raw_content."""
-    staged = raw.withColumns(
-        {"canonical_url": canonicalize_url("url"), "content": normalize_text("raw_content")}
+    staged = compute_once(
+        raw, {"canonical_url": canonicalize_url("url"), "content": normalize_text("raw_content")}
     )
     return staged.withColumn("normalized_hash", content_hash("title", "canonical_url", "content"))
 
@@ -50,4 +51,5 @@ def analyze_items(
         }
     )
     result = analyzer(F.col("__topics"), F.col("__chars"), F.col("__summary"))
-    return staged.withColumn("__result", result).select(*items.columns, "__result.*")
+    scored = compute_once(staged, {"__result": result})
+    return scored.select(*items.columns, "__result.*")

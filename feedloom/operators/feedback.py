@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.payload import first_scalar, is_filled
+from feedloom.operators.stage import compute_once
 from feedloom.schemas import FEEDBACK_ACTIONS, NOTE_ACTION
 
 # Accepted spellings of each field, in lookup order.
@@ -24,9 +25,10 @@ MALFORMED = "payload is not a JSON object"
 
 def feedback_fields(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Add item_id, action, push_event_id, user_id and ``problem`` (null when valid)."""
-    parsed = events.withColumn("__json", F.try_parse_json(payload))
-    found = parsed.withColumns(
-        {f"__{name}": first_scalar(F.col("__json"), *keys) for name, keys in FIELD_KEYS.items()}
+    parsed = compute_once(events, {"__json": F.try_parse_json(payload)})
+    found = compute_once(
+        parsed,
+        {f"__{name}": first_scalar(F.col("__json"), *keys) for name, keys in FIELD_KEYS.items()},
     )
     known = (F.col("__action.type") == "STRING") & F.col("__action.value").isin(FEEDBACK_ACTIONS)
     is_object = F.coalesce(F.schema_of_variant("__json").startswith("OBJECT"), F.lit(False))

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 FEED_ITEM = """
     source_name string, source_url string, external_id string, url string, title string,
-    author string, published_at timestamp, content string, raw_payload map<string,string>, pos int
+    author string, published_at timestamp, content string, raw_payload map<string,string>,
+    pos int, landed_seq string
 """
 FEED_COLUMNS = (
-    "source_name source_url external_id url title author published_at content raw_payload pos"
+    "source_name source_url external_id url title author published_at content raw_payload pos landed_seq"
 ).split()
 
+# Append-only logs. Ids are hashes of the natural key, so a replay gives the same rows.
 TABLES = {
     "sources": "id string, type string, name string, url string, enabled boolean, updated_at timestamp",
     "raw_items": """
         id string, source_id string, external_id string, url string, title string, author string,
         published_at timestamp, raw_content string, raw_payload map<string,string>,
-        content_hash string, created boolean, changed boolean, pos int, created_at timestamp
+        content_hash string, created boolean, pos int, landed_seq string, created_at timestamp
         """,
     "items": """
         id string, raw_item_id string, canonical_url string, title string, content string,
-        normalized_hash string, dedupe_group_id string, pos int, created_at timestamp
+        language string, normalized_hash string, dedupe_group_id string, created_at timestamp
         """,
     "dedupe_groups": "id string, representative_item_id string, reason string, created_at timestamp",
     "analysis_results": """
@@ -27,6 +29,7 @@ TABLES = {
         tags array<string>, importance_score decimal(4,3), novelty_score decimal(4,3),
         recommended_action string, reason string, raw_output string, created_at timestamp
         """,
+    "messages": "id string, recipient string, card string, created_at timestamp",
     "push_events": """
         id string, item_id string, channel string, recipient string, message_id string,
         status string, sent_at timestamp, last_error string, created_at timestamp
@@ -35,9 +38,15 @@ TABLES = {
         id string, item_id string, push_event_id string, user_id string, action string,
         metadata string, created_at timestamp
         """,
-    "notes": "id string, item_id string, path string, markdown string, status string, updated_at timestamp",
-    "rejects": "key string, stage string, reason string, detail string, created_at timestamp",
-    "batch_marks": "batch_at timestamp",
+    "notes": """
+        id string, item_id string, path string, markdown string, status string, updated_at timestamp
+        """,
+    "rejects": "stage string, key string, reason string, detail string, created_at timestamp",
+    "batch_times": "batch_at timestamp",
+}
+TABLE_COLUMNS = {
+    name: [part.split()[0] for part in ddl.replace("map<string,string>", "map").replace("(4,3)", "").split(",")]
+    for name, ddl in TABLES.items()
 }
 
 # Allowed values per column.

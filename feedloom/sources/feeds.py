@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import parse_datetime
 from feedloom.functions.html import with_html_text
 from feedloom.functions.text import blank_to_null, first_filled, normalize_text, sha256_text, strip_text
+from feedloom.operators.stage import compute_once
 from feedloom.schemas import FEED_COLUMNS
 
-LANDED = "source_url string, body string"
-REJECT_COLUMNS = ["source_url", "reason", "body"]
 UNSUPPORTED = "Unsupported feed format"
 MALFORMED = "Malformed feed document"
 
@@ -81,7 +80,19 @@ def stream_landed(spark: SparkSession, path: str, max_files: int | None = None)
 
 
 def _landed_columns(df: DataFrame) -> DataFrame:
-    return df.select(F.col("source_url").cast("string"), F.col("value").alias("body"))
+    landed_at = F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS")
+    return df.select(
+        F.col("source_url").cast("string"),
+        F.col("value").alias("body"),
+        F.concat_ws(" ", landed_at, F.col("_metadata.file_name")).alias("landed_seq"),
+    )
+
+
+def with_landed_seq(landed: DataFrame) -> DataFrame:
+    """Arrival order of documents; equal for rows that come without one."""
+    if "landed_seq" in landed.columns:
+        return landed
+    return landed.withColumn("landed_seq", F.lit(""))
 
 
 def with_format(landed: DataFrame) -> DataFrame:
@@ -153,20 +164,29 @@ def _atom_entry(entry: Column) -> Column:
 
 
 def _explode_entries(docs: DataFrame, name: Column, entries: Column, head: int | None) -> DataFrame:
-    """One row per entry with a link; ``pos`` counts those entries from 0 in feed order."""
+    """One row per entry with a link; ``pos`` counts those entries from 0 in feed order.
+
+    A document with a reject reason gives one row without entry.
+    """
     linked = F.filter(entries, lambda e: e["url"] != "")
     if head is not None:
         linked = F.slice(linked, 1, head)
-    rows = docs.select(
-        "source_url",
-        F.coalesce(blank_to_null(name), F.col("source_url")).alias("source_name"),
-        F.posexplode(linked).alias("pos", "entry"),
+    rejected = F.col("reason").isNotNull()
+    staged = compute_once(
+        docs,
+        {
+            "source_name": first_filled(name, F.col("source_url")),
+            "detail": F.when(rejected, F.col("body")),
+            "__linked": F.when(~rejected, linked).otherwise(F.array(F.lit(None))),
+        },
     )
-    return rows.select("source_url", "source_name", "pos", "entry.*")
+    about = ["source_url", "source_name", "landed_seq", "reason", "detail"]
+    rows = staged.select(*about, F.posexplode("__linked").alias("pos", "entry"))
+    return rows.select(*about, "pos", "entry.*")
 
 
-def to_feed_items(rows: DataFrame) -> DataFrame:
-    """Entries with html, external_id and published texts to the common feed item schema."""
+def to_feed_rows(rows: DataFrame) -> DataFrame:
+    """Entries with html, external_id and published texts to the common feed item columns."""
     identity = first_filled(F.col("external_id"), F.col("url"), sha256_text("title"))
     shaped = with_html_text(
         rows.withColumns(
@@ -177,44 +197,49 @@ def to_feed_items(rows: DataFrame) -> DataFrame:
         ),
         {"content": "html"},
     )
-    return shaped.select(*FEED_COLUMNS)
+    return shaped.select(*FEED_COLUMNS, "reason", "detail")
 
 
-def parse_feeds(landed: DataFrame, head: int | None = None) -> ParsedFeeds:
-    """RSS and Atom documents to feed items; unreadable documents become rejects.
+def split_rows(rows: DataFrame) -> ParsedFeeds:
+    """Items and rejects of parsed rows."""
+    rejects = rows.filter(F.col("reason").isNotNull())
+    return ParsedFeeds(
+        rows.filter(F.col("reason").isNull()).select(*FEED_COLUMNS),
+        rejects.select("source_url", "reason", F.col("detail").alias("body")),
+    )
+
+
+def parse_feed_rows(landed: DataFrame, head: int | None = None) -> DataFrame:
+    """RSS and Atom documents to feed item columns; unreadable documents carry a reason instead.
 
     ``head`` keeps the first entries of each document before they leave the parser, so the
     per-feed limit needs no shuffle.
     """
-    typed = with_format(landed)
-    rss = typed.filter(F.col("format") == "rss").withColumn(
-        "doc", F.from_xml("body", RSS_SCHEMA, {"columnNameOfCorruptRecord": _CORRUPT})
-    )
+    typed = with_format(with_landed_seq(landed))
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
     # A prefixed Atom document is read as if its namespace were the default one.
     bare = F.regexp_replace("body", r"<(/?)atom:", "<$1")
-    atom = typed.filter(F.col("format") == "atom").withColumn(
-        "doc", F.from_xml(bare, ATOM_SCHEMA, {"columnNameOfCorruptRecord": _CORRUPT})
-    )
-    good = F.col(f"doc.{_CORRUPT}").isNull()
-
-    channel = F.col("doc.channel")
-    rss_entries = F.flatten(
-        F.transform(channel, lambda c: F.coalesce(c["item"], F.array()))
+    docs = compute_once(
+        typed,
+        {
+            "rss": F.when(F.col("format") == "rss", F.from_xml("body", RSS_SCHEMA, options)),
+            "atom": F.when(F.col("format") == "atom", F.from_xml(bare, ATOM_SCHEMA, options)),
+        },
     )
-    rss_name = _first(F.get(channel, F.lit(0))["title"])
-    atom_name = strip_text(F.get(F.col("doc.title"), F.lit(0))["_VALUE"])
-    entries = _explode_entries(
-        rss.filter(good), rss_name, F.transform(rss_entries, _rss_entry), head
-    ).unionByName(
-        _explode_entries(
-            atom.filter(good), atom_name, F.transform("doc.entry", _atom_entry), head
-        )
+    corrupt = F.coalesce(f"rss.{_CORRUPT}", f"atom.{_CORRUPT}")
+    docs = docs.withColumn(
+        "reason",
+        F.when(F.col("format").isNull(), F.lit(UNSUPPORTED)).when(corrupt.isNotNull(), F.lit(MALFORMED)),
     )
-    rejects = (
-        typed.filter(F.col("format").isNull())
-        .withColumn("reason", F.lit(UNSUPPORTED))
-        .select(*REJECT_COLUMNS)
-        .unionByName(rss.filter(~good).withColumn("reason", F.lit(MALFORMED)).select(*REJECT_COLUMNS))
-        .unionByName(atom.filter(~good).withColumn("reason", F.lit(MALFORMED)).select(*REJECT_COLUMNS))
+    channel = F.col("rss.channel")
+    rss_entries = F.flatten(F.transform(channel, lambda c: F.coalesce(c["item"], F.array())))
+    name = F.coalesce(
+        _first(F.get(channel, F.lit(0))["title"]),
+        strip_text(F.get(F.col("atom.title"), F.lit(0))["_VALUE"]),
     )
-    return ParsedFeeds(to_feed_items(entries), rejects)
+    entries = F.coalesce(F.transform(rss_entries, _rss_entry), F.transform("atom.entry", _atom_entry))
+    return to_feed_rows(_explode_entries(docs, name, entries, head))
+
+
+def parse_feeds(landed: DataFrame, head: int | None = None) -> ParsedFeeds:
+    return split_rows(parse_feed_rows(landed, head))

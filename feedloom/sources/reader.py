@@ -10,8 +10,9 @@ from feedloom.functions.html import with_html_text
 from feedloom.functions.params import clamp
 from feedloom.functions.payload import string_map
 from feedloom.functions.text import blank_to_null, first_filled, normalize_text, sha256_text, strip_text
+from feedloom.operators.stage import compute_once
 from feedloom.schemas import FEED_COLUMNS
-from feedloom.sources.feeds import ParsedFeeds, REJECT_COLUMNS
+from feedloom.sources.feeds import ParsedFeeds, split_rows, with_landed_seq
 
 MALFORMED = "Malformed reader page"
 
@@ -43,10 +44,13 @@ def entry_html(entry: Column) -> Column:
     return first_filled(entry["content"]["content"], entry["summary"]["content"])
 
 
-def parse_reader_pages(landed: DataFrame, head: int | None = None) -> ParsedFeeds:
-    """Entries with an address, in page order; pages that are not JSON objects become rejects."""
-    pages = landed.withColumn("page", F.from_json("body", "items array<string>, _corrupt_record string"))
-    good = F.col("page").isNotNull() & F.col("page._corrupt_record").isNull()
+def parse_reader_rows(landed: DataFrame, head: int | None = None) -> DataFrame:
+    """Entries with an address, in page order; pages that are not JSON objects carry a reason."""
+    pages = compute_once(
+        with_landed_seq(landed),
+        {"page": F.from_json("body", "items array<string>, _corrupt_record string")},
+    )
+    bad = F.col("page").isNull() | F.col("page._corrupt_record").isNotNull()
     entries = F.transform(
         F.coalesce("page.items", F.array()),
         lambda text: F.struct(F.from_json(text, ENTRY_DDL).alias("entry"), text.alias("text")),
@@ -54,14 +58,18 @@ def parse_reader_pages(landed: DataFrame, head: int | None = None) -> ParsedFeed
     linked = F.filter(entries, lambda x: entry_url(x["entry"]) != "")
     if head is not None:
         linked = F.slice(linked, 1, head)
-    rows = pages.filter(good).select(
-        F.regexp_replace("source_url", "/+$", "").alias("source_url"),
-        F.posexplode(linked).alias("pos", "x"),
+    staged = compute_once(
+        pages,
+        {
+            "reason": F.when(bad, F.lit(MALFORMED)),
+            "detail": F.when(bad, F.col("body")),
+            "__linked": F.when(~bad, linked).otherwise(F.array(F.lit(None))),
+        },
     )
-    entry = F.col("x.entry")
-    rows = rows.select("source_url", "pos", entry.alias("entry"), F.col("x.text").alias("text"))
+    about = [F.regexp_replace("source_url", "/+$", "").alias("source_url"), "landed_seq", "reason", "detail"]
+    rows = staged.select(*about, F.posexplode("__linked").alias("pos", "x"))
     entry = F.col("entry")
-    rows = rows.withColumn("url", entry_url(entry))
+    rows = rows.select("*", "x.entry", "x.text").withColumn("url", entry_url(entry))
     rows = rows.withColumn("title", normalize_text(first_filled(entry["title"], F.col("url"))))
     identity = first_filled(entry["id"], F.col("url"), sha256_text("title"))
     shaped = rows.withColumns(
@@ -74,6 +82,8 @@ def parse_reader_pages(landed: DataFrame, head: int | None = None) -> ParsedFeed
             "html": entry_html(entry),
         }
     )
-    items = with_html_text(shaped, {"content": "html"}).select(*FEED_COLUMNS)
-    rejects = pages.filter(~good).withColumn("reason", F.lit(MALFORMED)).select(*REJECT_COLUMNS)
-    return ParsedFeeds(items, rejects)
+    return with_html_text(shaped, {"content": "html"}).select(*FEED_COLUMNS, "reason", "detail")
+
+
+def parse_reader_pages(landed: DataFrame, head: int | None = None) -> ParsedFeeds:
+    return split_rows(parse_reader_rows(landed, head))

@@ -26,6 +26,7 @@ def sample_items(spark: SparkSession) -> DataFrame:
         "A local pipeline uses Python, Docker and an AI model to normalize, score and deliver an item.",
         {"fixture": "sample-feed-v1"},
         0,
+        "",
     )
     return spark.createDataFrame([row], FEED_ITEM)
 
