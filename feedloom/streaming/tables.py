@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +53,12 @@ class Batch:
         return datetime.fromtimestamp(known[0] / 1_000_000, tz=now.tzinfo)
 
 
-def create_tables(spark: SparkSession, root: str) -> None:
-    for table, ddl in TABLES.items():
-        empty = spark.createDataFrame([], f"{ddl}, writer string, batch_id bigint")
-        empty.write.mode("ignore").partitionBy("writer", "batch_id").parquet(f"{root}/{table}")
-
-
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All rows of a log; none before its first batch."""
     ddl = f"{TABLES[table]}, writer string, batch_id bigint"
-    return spark.read.schema(ddl).parquet(f"{root}/{table}")
+    try:
+        return spark.read.schema(ddl).parquet(f"{root}/{table}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)

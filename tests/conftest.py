@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.session import local_session
 
@@ -17,6 +18,6 @@ def column(spark):
 
     def run(function, values, kind="string"):
         rows = spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}")
-        return [r[1] for r in rows.select("i", function("v").alias("o")).orderBy("i").collect()]
+        return [r[1] for r in rows.select("i", function(F.col("v")).alias("o")).orderBy("i").collect()]
 
     return run
