@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.text import SPACE_CLASS, col_of, space_runs
+from feedloom.functions.text import SPACE_CLASS, col_of, collapse_spaces, space_runs
 
 # Entities replaced natively; the ampersand comes last so that one pass never feeds the next.
 _USUAL_ENTITIES = "&lt; &gt; &quot; &#39; &nbsp; &amp;".split()
@@ -110,7 +110,7 @@ def with_html_text(df: DataFrame, sources: dict[str, str | Column]) -> DataFrame
         {
             native[t]: F.when(
                 ~F.regexp_replace(F.col(marked[t]), _OUTSIDE, " ").rlike(f"<|{_ANY_ENTITY}"),
-                F.trim(F.regexp_replace(F.col(marked[t]), _SPACE_OR_MARK, " ")),
+                collapse_spaces(F.col(marked[t]), _SPACE_OR_MARK),
             )
             for t in sources
         }

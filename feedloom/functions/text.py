@@ -43,9 +43,20 @@ def strip_text(value: Column | str) -> Column:
     return F.regexp_replace(col_of(value), _EDGE_SPACE, "")
 
 
+def collapse_spaces(value: Column, runs: str = _SPACE_RUNS) -> Column:
+    """Whitespace runs become one space; text that has none left is not rewritten."""
+    return bind(
+        value,
+        lambda text: F.trim(
+            F.when(text.rlike(runs), F.regexp_replace(text, runs, " ")).otherwise(text)
+        ),
+    )
+
+
 def normalize_text(value: Column | str) -> Column:
     """Whitespace runs become one space, ends are trimmed, null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(col_of(value), F.lit("")), _SPACE_RUNS, " "))
+    lines = F.replace(F.coalesce(col_of(value), F.lit("")), F.lit("\n"), F.lit(" "))
+    return collapse_spaces(lines)
 
 
 def sha256_text(value: Column | str) -> Column:

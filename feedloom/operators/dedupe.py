@@ -25,9 +25,10 @@ def duplicate_parents(
     """(id, created_at, parent_id): the earliest earlier row that shares the URL or the hash.
 
     The disjunction is two aggregates on one key each, joined back; no pair of duplicates is
-    ever listed.
+    ever listed. The four narrow columns are written once, so that texts behind the hash are read
+    a single time.
     """
-    narrow = rows.select(item_id, at, url, content)
+    narrow = materialize(rows.select(item_id, at, url, content))
     by_url = _first_of_key(narrow, url, at, item_id, "__by_url")
     by_hash = _first_of_key(narrow, content, at, item_id, "__by_hash")
     linked = left_join_unique(narrow, by_url, url, f"__{url}", "__n")

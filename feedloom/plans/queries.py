@@ -143,7 +143,8 @@ def push_event_log(spark, sf_dir):
 
 @query
 def note_export(spark, sf_dir):
-    docs = fx.analyzed(spark, sf_dir).withColumn("title", F.concat_ws(" ", "source_name", "lang"))
+    docs = fx.items(spark, sf_dir).withColumn("summary", scoring.summarize("title", "content"))
+    docs = docs.withColumn("title", F.concat_ws(" ", "source_name", "lang"))
     labels = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
     chosen = docs.join(labels, "id").withColumn(
         "published_at", F.when(F.col("toxic") == 0, F.col("created_at"))
@@ -281,9 +282,8 @@ def join_item_raw_source(spark, sf_dir):
     items = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     raw = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     sources = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    joined = items.join(raw, F.col("l_orderkey") == F.col("o_orderkey"))
-    named = left_join_unique(joined, sources, "o_custkey", "c_custkey")
-    return named.filter(F.col("c_name").isNotNull()).drop("o_orderkey")
+    named = left_join_unique(raw, sources, "o_custkey", "c_custkey").filter(F.col("c_name").isNotNull())
+    return items.join(named, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 @query
