@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.text import SPACE_CLASS, col_of, collapse_spaces, space_runs
+from feedloom.functions.text import SPACE_CLASS, col_of, space_runs
 
 # Entities replaced natively; the ampersand comes last so that one pass never feeds the next.
 _USUAL_ENTITIES = "&lt; &gt; &quot; &#39; &nbsp; &amp;".split()
@@ -50,7 +50,7 @@ _MARKUP = f"(?i)(?=<)(?:{_RAW_BLOCK}|{_COMMENT}|{_DECLARATION}|{_END_TAG}|{_STAR
 # Each piece of markup becomes OPEN + raw script or style body + CLOSE.
 _OPEN, _CLOSE = "\u0001", "\u0002"
 _SPACE_OR_MARK = space_runs(SPACE_CLASS + _OPEN + _CLOSE)
-_OUTSIDE = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
+_MARKED = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
 
 
 def _odd_row_parser():
@@ -94,23 +94,31 @@ def with_html_text(df: DataFrame, sources: dict[str, str | Column]) -> DataFrame
     parse_odd = _odd_row_parser()
     raw = {t: f"__{t}_raw" for t in sources}
     marked = {t: f"__{t}_marked" for t in sources}
+    rest = {t: f"__{t}_rest" for t in sources}
     native = {t: f"__{t}_native" for t in sources}
 
     out = df.withColumns({raw[t]: F.coalesce(col_of(c), F.lit("")) for t, c in sources.items()})
     out = out.withColumns(
         {
             marked[t]: F.when(
-                ~F.col(raw[t]).rlike(f"{_RARE_ENTITY}|[{_OPEN}{_CLOSE}]"),
+                ~(
+                    F.contains(F.col(raw[t]), F.lit(_OPEN))
+                    | F.contains(F.col(raw[t]), F.lit(_CLOSE))
+                    | F.col(raw[t]).rlike(_RARE_ENTITY)
+                ),
                 F.regexp_replace(_unescape_common(F.col(raw[t])), _MARKUP, f"{_OPEN}$2{_CLOSE}"),
             )
             for t in sources
         }
     )
+    out = out.withColumns(
+        {rest[t]: F.regexp_replace(F.col(marked[t]), _MARKED, " ") for t in sources}
+    )
     out = out.withColumns(
         {
             native[t]: F.when(
-                ~F.regexp_replace(F.col(marked[t]), _OUTSIDE, " ").rlike(f"<|{_ANY_ENTITY}"),
-                collapse_spaces(F.col(marked[t]), _SPACE_OR_MARK),
+                ~(F.contains(F.col(rest[t]), F.lit("<")) | F.col(rest[t]).rlike(_ANY_ENTITY)),
+                F.trim(F.regexp_replace(F.col(marked[t]), _SPACE_OR_MARK, " ")),
             )
             for t in sources
         }
@@ -124,4 +132,4 @@ def with_html_text(df: DataFrame, sources: dict[str, str | Column]) -> DataFrame
             for t in sources
         }
     )
-    return out.drop(*raw.values(), *marked.values(), *native.values())
+    return out.drop(*raw.values(), *marked.values(), *rest.values(), *native.values())
