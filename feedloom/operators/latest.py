@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.operators.skew import row_salt
+
 # Up to this many rows per key, Spark prunes each map task's rows before the shuffle.
 GROUP_LIMIT = 1000
 SALTS = 4096
@@ -23,7 +25,7 @@ def top_n_per_key(
     For larger ``n`` than Spark prunes by itself, a salted first round cuts hot keys.
     """
     if n > GROUP_LIMIT:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        salted = df.withColumn("__salt", row_salt(df, SALTS))
         df = _ranked(salted, [*keys, "__salt"], order, n, rank).drop("__salt", rank)
     return _ranked(df, keys, order, n, rank)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are hot.
@@ -10,6 +10,12 @@ HOT_SHARE = 1000
 HOT_SALTS = 4096
 
 
+def row_salt(df: DataFrame, salts: int) -> Column:
+    """A number below ``salts`` from the row's own values, the same whenever a task runs again."""
+    values = [name for name, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    return F.pmod(F.xxhash64(*values), F.lit(salts))
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys above the hot share; fewer than ``HOT_SHARE`` rows by construction."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
@@ -38,11 +44,10 @@ def left_join_unique(
         *[F.col(c).alias(f"__hot_{c}") for c in columns],
     )
     marked = fact.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
-    hashable = [name for name, kind in fact.dtypes if "map<" not in kind and kind != "variant"]
     spread = F.col("__hot_key").isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(
         "__salt",
-        F.when(spread, 1 + F.pmod(F.xxhash64(*hashable), F.lit(HOT_SALTS))).otherwise(0),
+        F.when(spread, 1 + row_salt(fact, HOT_SALTS)).otherwise(0),
     )
     cold = dim.select(
         F.col(dim_key).alias("__dim_key"),

@@ -74,7 +74,7 @@ def test_dedupe_groups_agree_with_one_at_a_time(spark, salts, seed):
 
 def test_top_n_per_key_beyond_the_pruned_size(spark, monkeypatch):
     data = [("hot" if i % 4 else "cold", (i * 37) % 1000, i) for i in range(1000)]
-    df = spark.createDataFrame(data, "feed string, pos int, id int")
+    df = spark.createDataFrame(data, "feed string, pos int, id int").withColumn("m", F.create_map(F.col("feed"), F.col("id")))
     want = sorted(
         (f, p, i) for key in ("hot", "cold") for f, p, i in sorted((d for d in data if d[0] == key), key=lambda d: d[1])[:50]
     )
