@@ -26,8 +26,12 @@ def unseen(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
 def insert_if_absent(
     batch: DataFrame, existing: DataFrame, keys: list[str], order: list[Column]
 ) -> DataFrame:
-    """Rows to append: the first batch row per key that the table does not hold yet."""
-    return latest_per_key(unseen(batch, existing, keys), keys, order)
+    """Rows to append: the first batch row per key that the table does not hold yet.
+
+    Copies are pruned before any shuffle, so a key with many of them costs one row per task.
+    """
+    first = latest_per_key(batch, keys, order)
+    return first.join(seen_keys(existing, batch, keys), keys, "left_anti")
 
 
 def merge_first_last(
