@@ -86,4 +86,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLE = {"op3_mix_sources": MIX_SOURCES, "op5_quality_rules": QUALITY_RULES}
+# Patterns of the secret rules; the last number is the group whose length counts, with its least.
+_SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 0),
+    ("hex", r"[0-9a-f]{24,}", 0, 0),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("repo_token", r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 0),
+    ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,250}", 0, 0),
+    ("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+]
+
+
+def _secret_steps(place: int, name: str, pattern: str, group: int, least: int) -> str:
+    """Matches of one rule with the gaps before them, summed up to positions."""
+    regex = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+    SELECT rid, {place} AS kind, '{name}' AS name, start, start + n AS stop FROM (
+        SELECT rid, n, size, sum(gap + n) OVER (PARTITION BY rid ORDER BY i) - n AS start FROM (
+            SELECT rid, i, length(m[i]) AS n, length(g[i]) AS size, length(parts[i]) AS gap FROM (
+                SELECT rid, m, regexp_extract_all(t, {regex}, {group}) AS g, string_split_regex(t, {regex}) AS parts,
+                       unnest(range(1, len(m) + 1)) AS i
+                FROM (SELECT rid, t, regexp_extract_all(t, {regex}) AS m FROM docs) WHERE len(m) > 0
+            )
+        )
+    ) WHERE size >= {least}"""
+
+
+SECRETS = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), spans AS ({" UNION ALL ".join(_secret_steps(i, *rule) for i, rule in enumerate(_SECRETS))}
+), written AS (
+    SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+           count(*) FILTER (kind = 2) AS n_hex,
+           coalesce(string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind)
+                    FILTER (kind < 3), '') AS base,
+           string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind) AS spans
+    FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN written USING (rid)
+"""
+
+ORACLE = {
+    "op6_secrets": SECRETS,
+    "op3_mix_sources": MIX_SOURCES,
+    "op5_quality_rules": QUALITY_RULES,
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.mixing import mix_sources
 from feedloom.llm.quality import quality_rules
+from feedloom.llm.secrets import secret_spans
 from feedloom.llm.simhash import near_duplicates
 
 
@@ -25,4 +26,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_mix_sources, op5_quality_rules)}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_mix_sources, op5_quality_rules, op6_secrets)}
