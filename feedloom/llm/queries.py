@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.mixing import mix_sources
+from feedloom.llm.pii import personal_data
 from feedloom.llm.quality import quality_rules
 from feedloom.llm.secrets import secret_spans
 from feedloom.llm.simhash import near_duplicates
@@ -30,4 +31,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_mix_sources, op5_quality_rules, op6_secrets)}
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f for f in (op1_simhash, op3_mix_sources, op5_quality_rules, op6_secrets, op7_personal_data)
+}
