@@ -1,5 +1,66 @@
-"""Placeholder replaced below."""
-STAGES: list = []
+"""A training corpus from ``documents``: rules, near-duplicates, personal data, mix, tokens.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the documents it
+keeps, the last one their tokens. Between stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from feedloom.llm.mixing import mixed_documents
+from feedloom.llm.pieces import encode_documents
+from feedloom.llm.pii import redact_documents
+from feedloom.llm.quality import clean_documents
+from feedloom.llm.simhash import unique_documents
+from feedloom.session import shared_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that many documents of their source share."""
+    return clean_documents(docs, host="source", length="n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return unique_documents(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact_documents(docs, length="n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, tokens, n_tokens, n_bytes, round_trip)."""
+    return encode_documents(docs, keep=("lang", "source"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("source mix", mix),
+    ("SentencePiece", tokens),
+]
+
+# The personal data are found by an iterated graph and the tokens by a search, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what is between them lies in the shared scratch folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

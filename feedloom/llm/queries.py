@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.mixing import mix_sources
+from feedloom.llm.pieces import encode_documents
 from feedloom.llm.pii import personal_data
 from feedloom.llm.quality import quality_rules
 from feedloom.llm.secrets import secret_spans
@@ -35,6 +36,18 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op3_mix_sources, op5_quality_rules, op6_secrets, op7_personal_data)
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op3_mix_sources,
+        op5_quality_rules,
+        op6_secrets,
+        op7_personal_data,
+        op8_sentencepiece,
+    )
 }

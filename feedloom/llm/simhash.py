@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
@@ -42,17 +42,23 @@ def fingerprint(data: bytes, shingle: int) -> int:
 
 
 def with_fingerprint(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, fingerprint as a signed long), one row per input row."""
+    """(doc_id, text_hash, fingerprint as a signed long), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1)]
+            texts = batch.column(2)
+            prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fingerprint"]
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "text_hash", "fingerprint"]
             )
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fingerprint long")
+    whole = F.col(text).cast("string")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text_hash(whole), whole.alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, text_hash string, fingerprint long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit(""))).alias("text_hash")
 
 
 def _parts(bits: list[int], n: int) -> list[int]:
@@ -207,6 +213,17 @@ def linked_pairs(prints: DataFrame, max_bits: int, limit: int = BLOCK_ROWS) -> D
     return found.filter(F.col("tab").isNull()).select("a", "b").unionByName(rest.select("a", "b"))
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and (__print, root): the component of each fingerprint."""
+    rows = materialize(with_fingerprint(docs, doc_id, text, shingle))
+    prints = materialize(rows.select("fingerprint").distinct())
+    roots = materialize(components(linked_pairs(prints, max_bits), "a", "b"))
+    rooted = prints.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    return rows, materialize(
+        rooted.select(F.col("fingerprint").alias("__print"), F.coalesce("root", "fingerprint").alias("root"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:
@@ -224,19 +241,44 @@ def near_duplicates(
     is not null, or null. Repeated rows are returned as often as they came. Other columns are not
     read, whatever their names. An empty table gives an empty result.
     """
-    rows = materialize(with_fingerprint(docs, doc_id, text, shingle))
-    prints = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    roots = materialize(components(linked_pairs(prints, max_bits), "a", "b"))
-    rooted = prints.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
-    rooted = materialize(rooted)
-    labels = materialize(rooted.groupBy(F.col("root").alias("__root")).agg(F.min("first_id").alias("component_id")))
+    rows, roots = _grouped(docs, doc_id, text, shingle, max_bits)
+    firsts = rows.groupBy(F.col("fingerprint").alias("__first_print")).agg(F.min("doc_id").alias("first_id"))
+    rooted = materialize(roots.join(firsts, F.col("__print") == F.col("__first_print")))
+    lowest = materialize(rooted.groupBy(F.col("root").alias("__root")).agg(F.min("first_id").alias("component_id")))
     named = materialize(
-        rooted.join(labels, F.col("root") == F.col("__root")).select(
-            F.col("fingerprint").alias("__fp"), "component_id"
-        )
+        rooted.join(lowest, F.col("root") == F.col("__root")).select("__print", "component_id")
     )
-    return rows.join(named, F.col("fingerprint") == F.col("__fp")).select(
+    return rows.join(named, F.col("fingerprint") == F.col("__print")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def unique_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
+) -> DataFrame:
+    """One row of each group of near copies, the one with the smallest id; same columns.
+
+    Null ids come last; equal ids are ordered by the hash of the text, and rows that agree in both
+    by a hash of all their columns. Texts move once.
+    """
+    rows, roots = _grouped(docs, doc_id, text, shingle, max_bits)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    # copies of a fingerprint meet in one row each before the components do
+    firsts = rows.groupBy(F.col("fingerprint").alias("__first_print")).agg(F.min(order).alias("first"))
+    joined = materialize(roots.join(firsts, F.col("__print") == F.col("__first_print")))
+    kept = joined.groupBy("root").agg(F.min("first").alias("first"))
+    kept = materialize(
+        kept.select(F.col("first.doc_id").alias("__doc_id"), F.col("first.text_hash").alias("__text_hash"))
+    )
+    values = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    marked = docs.withColumns(
+        {
+            "__own_id": F.col(doc_id).cast("long"),
+            "__own_hash": _text_hash(F.col(text).cast("string")),
+            "__all": F.xxhash64(*values),
+        }
+    )
+    same = F.col("__own_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_hash") == F.col("__text_hash"))
+    repeats = Window.partitionBy("__own_id", "__own_hash").orderBy("__all")
+    first = marked.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(repeats))
+    return first.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,3 +92,15 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200 + i, 200) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert got == {i: 0 for i in range(101)} | {200 + i: 200 for i in range(50)}
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = [(i + 3, t) for i, t in enumerate(texts())] + [(None, "w1"), (None, "alone here now"), (4, texts()[1])]
+    rows += [(None, "alone here  now")]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, root string, __n long")
+    out = simhash.unique_documents(docs)
+    assert out.columns == docs.columns
+    component = {r[0]: r[2] for r in plain_components(rows) if r[0] is not None}
+    got = [r.doc_id for r in out.collect()]
+    assert sorted(x for x in got if x is not None) == sorted(set(component.values()))
+    assert got.count(None) == 1
