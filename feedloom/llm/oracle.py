@@ -43,6 +43,27 @@ SELECT doc_id, size, source_size, target,
 FROM cut
 """
 
+SUBSTRINGS = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), windows AS (
+    SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS key
+    FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE doc_id IS NOT NULL AND len(w) >= 13)
+), firsts AS (
+    SELECT key, min(doc_id) AS first FROM windows GROUP BY key
+), gone AS (
+    SELECT DISTINCT rid, i + k AS i FROM windows JOIN firsts USING (key), range(13) AS r(k) WHERE doc_id > first
+), words AS (
+    SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs
+), kept AS (
+    SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
 QUALITY_RULES = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h
@@ -133,5 +154,6 @@ FROM docs LEFT JOIN written USING (rid)
 ORACLE = {
     "op6_secrets": SECRETS,
     "op3_mix_sources": MIX_SOURCES,
+    "op4_substrings": SUBSTRINGS,
     "op5_quality_rules": QUALITY_RULES,
 }

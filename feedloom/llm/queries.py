@@ -10,6 +10,7 @@ from feedloom.llm.pii import personal_data
 from feedloom.llm.quality import quality_rules
 from feedloom.llm.secrets import secret_spans
 from feedloom.llm.simhash import near_duplicates
+from feedloom.llm.substrings import without_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     for f in (
         op1_simhash,
         op3_mix_sources,
+        op4_substrings,
         op5_quality_rules,
         op6_secrets,
         op7_personal_data,
