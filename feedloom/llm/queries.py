@@ -11,6 +11,7 @@ from feedloom.llm.quality import quality_rules
 from feedloom.llm.secrets import secret_spans
 from feedloom.llm.simhash import near_duplicates
 from feedloom.llm.substrings import without_repeats
+from feedloom.llm.vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -55,5 +60,6 @@ QUERIES = {
         op6_secrets,
         op7_personal_data,
         op8_sentencepiece,
+        op9_vectors,
     )
 }
