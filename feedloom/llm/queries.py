@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.mixing import mix_sources
+from feedloom.llm.perplexity import perplexity_filter
 from feedloom.llm.pieces import encode_documents
 from feedloom.llm.pii import personal_data
 from feedloom.llm.quality import quality_rules
 from feedloom.llm.secrets import secret_spans
 from feedloom.llm.simhash import near_duplicates
 from feedloom.llm.substrings import without_repeats
+from feedloom.llm.toxicity import toxicity
 from feedloom.llm.vectors import near_vectors
 
 
@@ -22,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -50,10 +56,15 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_filter(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash,
+        op2_toxicity,
         op3_mix_sources,
         op4_substrings,
         op5_quality_rules,
@@ -61,5 +72,6 @@ QUERIES = {
         op7_personal_data,
         op8_sentencepiece,
         op9_vectors,
+        op10_perplexity,
     )
 }
