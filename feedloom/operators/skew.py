@@ -17,10 +17,14 @@ def row_salt(df: DataFrame, salts: int) -> Column:
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys above the hot share; fewer than ``HOT_SHARE`` rows by construction."""
+    """Keys above the hot share; fewer than ``HOT_SHARE`` rows by construction.
+
+    The largest counts and their sum come from one aggregate, whose exchange Spark reuses.
+    """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
-    return counts.filter(F.col("__n") * HOT_SHARE > total).select(key)
+    largest = counts.orderBy(F.col("__n").desc()).limit(HOT_SHARE)
+    return largest.filter(F.col("__n") * HOT_SHARE > total).select(key)
 
 
 def left_join_unique(
@@ -28,15 +32,18 @@ def left_join_unique(
 ) -> DataFrame:
     """``fact LEFT JOIN dim`` where ``dim`` has one narrow row per key.
 
-    Rows of hot keys meet their dim row through a broadcast bounded by ``HOT_SHARE`` rows; in the
-    shuffle join they carry a salted key that spreads them and matches nothing. All other rows
-    are joined by the shuffle. ``weight`` names a dim column that already holds the fact's row
-    count per key, which saves counting it again; it is not part of the result.
+    Rows of hot keys meet their dim row through a broadcast bounded by ``HOT_SHARE`` rows. In the
+    shuffle join, which is on key and salt, they and rows without a key carry a spreading salt that
+    matches nothing. ``weight`` names a dim column that already holds the fact's row count per key,
+    which saves counting it again; it is not part of the result.
     """
     columns = [c for c in dim.columns if c not in (dim_key, weight)]
     if weight is None:
         keys = hot_keys(fact, key).withColumnRenamed(key, "__hot_key")
-        hot = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__hot_key"), "left_semi")
+        own = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__hot_key"), "left_semi")
+        # a hot key without a dim row is spread as well
+        hot = keys.join(own, F.col(dim_key) == F.col("__hot_key"), "left").drop(dim_key)
+        hot = hot.withColumnRenamed("__hot_key", dim_key)
     else:
         hot = dim.filter(F.col(weight) * HOT_SHARE > dim.agg(F.sum(weight)).scalar())
     hot = hot.select(
@@ -45,13 +52,11 @@ def left_join_unique(
     )
     marked = fact.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
     spread = F.col("__hot_key").isNotNull() | F.col(key).isNull()
-    marked = marked.withColumn(
-        "__salt",
-        F.when(spread, 1 + row_salt(fact, HOT_SALTS)).otherwise(0),
-    )
+    marked = marked.withColumn("__salt", F.when(spread, 1 + row_salt(fact, HOT_SALTS)).otherwise(0))
     cold = dim.select(
         F.col(dim_key).alias("__dim_key"),
-        F.lit(0).cast("long").alias("__dim_salt"),
+        # always 0, but not a constant: a constant would be taken out of the join's keys
+        F.pmod(F.xxhash64(dim_key), F.lit(1)).alias("__dim_salt"),
         *[F.col(c).alias(f"__dim_{c}") for c in columns],
     )
     joined = marked.join(

@@ -19,8 +19,19 @@ def seen_keys(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFra
 
 
 def unseen(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch rows whose key the table does not hold yet."""
-    return batch.join(seen_keys(existing, batch, keys), keys, "left_anti")
+    """Batch rows whose key the table does not hold yet; rows with a null in the key are unseen.
+
+    The batch side of the join is spread where one key holds many rows.
+    """
+    seen = seen_keys(existing, batch, keys)
+    key = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    known = seen.select(key.alias("__seen_key"), F.lit(True).alias("__seen"))
+    keyed = batch.withColumn("__key", F.when(whole, key))
+    joined = left_join_unique(keyed, known, "__key", "__seen_key")
+    return joined.filter(F.col("__seen").isNull()).select(*[F.col(f"`{c}`") for c in batch.columns])
 
 
 def insert_if_absent(
