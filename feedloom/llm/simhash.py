@@ -61,6 +61,10 @@ def _text_hash(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit(""))).alias("text_hash")
 
 
+def _document(doc_id: Column, text_hash: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash)
+
+
 def _parts(bits: list[int], n: int) -> list[int]:
     """Masks of ``n`` runs of nearly equal length over the given bit positions."""
     return [sum(1 << int(b) for b in run) for run in np.array_split(np.array(bits), n)]
@@ -267,18 +271,12 @@ def unique_documents(
     firsts = rows.groupBy(F.col("fingerprint").alias("__first_print")).agg(F.min(order).alias("first"))
     joined = materialize(roots.join(firsts, F.col("__print") == F.col("__first_print")))
     kept = joined.groupBy("root").agg(F.min("first").alias("first"))
-    kept = materialize(
-        kept.select(F.col("first.doc_id").alias("__doc_id"), F.col("first.text_hash").alias("__text_hash"))
-    )
+    kept = materialize(kept.select(_document(F.col("first.doc_id"), F.col("first.text_hash")).alias("__kept")))
     values = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    marked = docs.withColumns(
-        {
-            "__own_id": F.col(doc_id).cast("long"),
-            "__own_hash": _text_hash(F.col(text).cast("string")),
-            "__all": F.xxhash64(*values),
-        }
-    )
-    same = F.col("__own_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_hash") == F.col("__text_hash"))
-    repeats = Window.partitionBy("__own_id", "__own_hash").orderBy("__all")
-    first = marked.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(repeats))
-    return first.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = _document(F.col(doc_id).cast("long"), _text_hash(F.col(text).cast("string")))
+    marked = docs.withColumns({"__own": own, "__all": F.xxhash64(*values)})
+    # one key for both, so that the window finds the rows where the join has put them
+    repeats = Window.partitionBy("__own").orderBy("__all")
+    first = marked.join(kept, F.col("__own") == F.col("__kept"), "left_semi")
+    first = first.withColumn("__n", F.row_number().over(repeats)).filter("__n = 1")
+    return first.select(*[F.col(f"`{c}`") for c in docs.columns])
