@@ -15,13 +15,22 @@ ZONE_MINUTES = {
 }
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
+_DAY = r"(?:[a-z]+,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?"
+_MONTH = (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|"
+    r"oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+)
+_TIME = r"\d{1,2}[:.]\d{2}(?:[:.]\d{2})?"
+# Other orders of the parts, and how they become day, month, year, time, zone.
+_MONTH_FIRST = rf"(?i)\A{_DAY}{_MONTH}[\s-]+(\d{{1,2}}),?[\s-]+(\d{{4}}|\d{{2}})(,?\s.*)\z", "$2 $1 $3$4"
+_YEAR_LAST = rf"(?i)\A{_DAY}{_MONTH}\s+(\d{{1,2}})\s+({_TIME})\s+(?:([a-z+-]\S*)\s+)?(\d{{4}})\z", "$2 $1 $5 $3 $4"
 _RFC822 = (
-    r"(?i)\A(?:[a-z]+\s*,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{4}|\d{2}),?\s+"
-    r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]+))?(?:\s*\([^)]*\))?\z"
+    rf"(?i)\A{_DAY}(\d{{1,2}})[\s-]+{_MONTH}[\s-]+(\d{{4}}|\d{{2}}),?\s+"
+    r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2}))?(?:\s+(\S+)(?:\s.*)?)?\s*\z"
 )
 _ISO8601 = (
-    r"(?i)\A(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,}))?)?)?"
-    r"(z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?\z"
+    r"\A(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,}))?)?)?"
+    r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?\z"
 )
 _SEP = "\u0001"
 
@@ -60,8 +69,16 @@ def _offset(zone: Column) -> Column:
     return F.when(zone.startswith("-"), -seconds).when(zone.startswith("+"), seconds)
 
 
+def _hhmm_seconds(zone: Column) -> Column:
+    """Seconds east of UTC of a signed number hhmm; null for anything else."""
+    number = F.when(zone.rlike(r"^[+-]\d{1,6}$"), zone).try_cast("int")
+    size = F.abs(number)
+    return F.signum(number).cast("int") * (F.floor(size / 100) * 3600 + size % 100 * 60).cast("int")
+
+
 def _rfc822_time(day, month, year, hour, minute, second, zone) -> Column:
-    month_number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month))
+    short_month = F.lower(F.substring(month, 1, 3))
+    month_number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), short_month)
     short = F.when(_number(year) > 68, _number(year) + 1900).otherwise(_number(year) + 2000)
     full_year = F.when(F.length(year) == 2, short).otherwise(_number(year))
     named = F.coalesce(*[F.when(F.upper(zone) == z, F.lit(m * 60)) for z, m in ZONE_MINUTES.items()])
@@ -72,7 +89,7 @@ def _rfc822_time(day, month, year, hour, minute, second, zone) -> Column:
         _number(hour),
         _number(minute),
         _number(second),
-        F.coalesce(_offset(zone), named, F.lit(0)),
+        F.coalesce(_hhmm_seconds(zone), named, F.lit(0)),
     )
 
 
@@ -85,12 +102,17 @@ def _iso_time(year, month, day, hour, minute, second, fraction, zone) -> Column:
     )
 
 
+def _day_first(text: Column) -> Column:
+    """A date with its month first or its year last, in the usual order; others unchanged."""
+    return F.regexp_replace(F.regexp_replace(text, *_MONTH_FIRST), *_YEAR_LAST)
+
+
 def parse_datetime(value: Column | str) -> Column:
-    """Timestamp of a feed date; null when it cannot be read."""
+    """Timestamp of a feed date; null when it cannot be read. An unknown zone counts as UTC."""
     return bind(
         F.trim(col_of(value)),
         lambda text: F.coalesce(
-            _matched(text, _RFC822, 7, _rfc822_time), _matched(text, _ISO8601, 8, _iso_time)
+            _matched(_day_first(text), _RFC822, 7, _rfc822_time), _matched(text, _ISO8601, 8, _iso_time)
         ),
     )
 

@@ -32,8 +32,11 @@ def schedule_times(value: str = DEFAULT_TIMES, fallback_hours: str = DEFAULT_HOU
 
 
 def local_time(instant: Column, zone: str = DEFAULT_ZONE) -> Column:
-    """Wall-clock time (no zone) of a UTC wall-clock or instant column."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant.cast("timestamp_ntz"))
+    """Wall-clock time (no zone) of an instant, or of a UTC wall-clock column; any session zone."""
+    micros = F.unix_micros(instant.cast("timestamp")).cast("decimal(20,0)") / 1_000_000
+    since = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=micros.cast("decimal(18,6)"))
+    utc = F.when(F.typeof(instant) == "timestamp", since).otherwise(instant.cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def next_slot(local: Column, minutes: list[int]) -> Column:

@@ -18,6 +18,7 @@ FIELD_KEYS = {
     "push_event_id": ["push_event_id", "pushEventId"],
     "user_id": ["user_id", "userId", "open_id", "openId"],
 }
+# What a refused callback is told.
 MISSING = "item_id and action are required"
 UNKNOWN_ACTION = "invalid feedback action"
 MALFORMED = "payload is not a JSON object"
@@ -47,7 +48,7 @@ def feedback_fields(events: DataFrame, payload: str = "payload") -> DataFrame:
 def feedback_log(valid: DataFrame, now: datetime, payload: str = "payload") -> DataFrame:
     at = F.lit(now).cast("timestamp")
     return valid.filter(F.col("problem").isNull()).select(
-        F.sha2(F.concat_ws("\n", payload, at.cast("string")), 256).alias("id"),
+        F.sha2(F.concat_ws("\n", payload, F.unix_micros(at).cast("string")), 256).alias("id"),
         "item_id",
         "push_event_id",
         "user_id",

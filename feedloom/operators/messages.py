@@ -37,7 +37,7 @@ def delivery_events(
     text = F.lit(None).cast("string") if error is None else error
     message = F.lit(message_id) if isinstance(message_id, str) else message_id
     at = F.lit(now).cast("timestamp")
-    key = F.concat_ws("\n", F.col("id").cast("string"), F.lit(recipient), at.cast("string"))
+    key = F.concat_ws("\n", F.col("id").cast("string"), F.lit(recipient), F.unix_micros(at).cast("string"))
     return messages.select(
         F.sha2(key, 256).alias("id"),
         F.col("id").cast("string").alias("item_id"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.slots import DEFAULT_ZONE, local_time
 from feedloom.functions.text import slugify
-from feedloom.operators.skew import left_join_unique
 
 DEFAULT_ROOT = "notes"
 
@@ -52,33 +51,22 @@ def build_notes(
 ) -> DataFrame:
     """(item_id, year, month, path, markdown) per item.
 
-    Needs id, title, canonical_url, summary, source_name and published_at. Notes that would share
-    a path all carry a short id, so none overwrites another.
+    Needs id, title, canonical_url, summary, source_name and published_at. Every path carries a
+    short id, so that an item has the same path in any batch and none overwrites another.
     """
     published = F.coalesce(F.col("published_at"), F.lit(now).cast(items.schema["published_at"].dataType))
     staged = items.withColumn("__day", local_time(published, zone)).withColumns(
         {
             "year": F.date_format("__day", "yyyy"),
             "month": F.date_format("__day", "MM"),
-            "__slug": slugify("title"),
-        }
-    )
-    staged = staged.withColumns(
-        {
-            "__stem": F.concat_ws("/", F.lit(root), "year", "month", "__slug"),
-            "markdown": note_markdown(F.col("__day")),
             "item_id": F.col("id").cast("string"),
         }
-    ).select("item_id", "year", "month", "__stem", "markdown")
-    shared = (
-        staged.groupBy("__stem").agg(F.count("*").alias("__same")).filter("__same > 1")
-        .withColumnRenamed("__stem", "__shared_stem")
     )
-    shared = shared.withColumn("__taken", F.lit(True))
-    marked = left_join_unique(staged, shared, "__stem", "__shared_stem", "__same")
-    short_id = F.substring(F.sha2("item_id", 256), 1, 12)
-    stem = F.when(F.col("__taken"), F.concat_ws("-", "__stem", short_id)).otherwise(F.col("__stem"))
-    return marked.select("item_id", "year", "month", F.concat(stem, F.lit(".md")).alias("path"), "markdown")
+    name = F.concat_ws("-", slugify("title"), F.substring(F.sha2("item_id", 256), 1, 12))
+    path = F.concat(F.concat_ws("/", F.lit(root), "year", "month", name), F.lit(".md"))
+    return staged.select(
+        "item_id", "year", "month", path.alias("path"), note_markdown(F.col("__day")).alias("markdown")
+    )
 
 
 def note_log(notes: DataFrame, now: datetime) -> DataFrame:
@@ -90,8 +78,3 @@ def note_log(notes: DataFrame, now: datetime) -> DataFrame:
         F.lit("written").alias("status"),
         F.lit(now).cast("timestamp").alias("updated_at"),
     )
-
-
-def write_notes(notes: DataFrame, target: str) -> None:
-    """Export as a text table partitioned by year and month."""
-    notes.write.mode("append").partitionBy("year", "month").parquet(target)

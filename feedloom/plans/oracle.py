@@ -316,8 +316,7 @@ ORACLE: dict[str, str] = {
         s AS (
           SELECT *, 'notes/' || strftime(day, '%Y/%m/') || {slug("note_title")} AS stem FROM n)
         SELECT id::VARCHAR AS item_id, strftime(day, '%Y') AS year, strftime(day, '%m') AS month,
-               stem || CASE WHEN count(*) OVER (PARTITION BY stem) > 1
-                            THEN '-' || substr(sha256(id::VARCHAR), 1, 12) ELSE '' END || '.md' AS path,
+               stem || '-' || substr(sha256(id::VARCHAR), 1, 12) || '.md' AS path,
                array_to_string(['---', 'source: "' || source_name || '"', 'url: "' || canonical_url || '"',
                  'published: "' || strftime(day, '%Y-%m-%d') || '"', 'item_id: "' || id || '"', '---', '',
                  '# ' || note_title, '', '## Summary', '', summary, '', '## Original', '', canonical_url || chr(10)],
@@ -419,9 +418,11 @@ ORACLE: dict[str, str] = {
         FROM raw""",
     "parse_datetime": f"""
         WITH t AS (
-          SELECT event_id, CASE event_type WHEN 'click' THEN ts - INTERVAL 8 HOUR
-                   WHEN 'purchase' THEN ts + INTERVAL 5 HOUR + INTERVAL 30 MINUTE
-                   WHEN 'error' THEN NULL ELSE ts END AS t FROM events)
+          SELECT event_id, CASE event_id % 12
+                   WHEN 1 THEN ts - INTERVAL 8 HOUR
+                   WHEN 3 THEN ts + INTERVAL 5 HOUR + INTERVAL 30 MINUTE
+                   WHEN 5 THEN ts + INTERVAL 7 HOUR WHEN 9 THEN ts - INTERVAL 2 HOUR
+                   WHEN 4 THEN NULL WHEN 10 THEN NULL WHEN 11 THEN NULL ELSE ts END AS t FROM events)
         SELECT event_id, {stamp("date_trunc('second', t)")} AS published FROM t""",
     "card_text": f"WITH {CARD_ITEMS} SELECT id, card_text FROM cleaned",
     "comments_url": f"WITH {CARD_ITEMS} SELECT id, discussion AS comments_url FROM cleaned",

@@ -3,7 +3,11 @@ from email.utils import parsedate_to_datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from feedloom.functions.dates import parse_datetime
+from feedloom.functions.slots import local_time
+from feedloom.operators.messages import delivery_events
 
 
 def stdlib_time(value):
@@ -30,6 +34,12 @@ CASES = [
     "", None, "bad", "2026-13-01T00:00:00Z", "32 Jun 2026 00:00:00 GMT", "2026-06-10T25:00:00Z",
     "10 Foo 2026 12:00:00 GMT", "1 Jan 2024 00:00:00 +0000 (UTC)", "Wednesday, 10 Jun 2026 12:00:00 MST",
     "2026-06-10T12:00:00.1234567Z", "10 Jun 2026 12:00:00",
+    "Wed, 10 Jun 2026 12:00:00 +08:00", "Jun 10, 2026 12:00:00 GMT", "Wed Jun 10 12:00:00 2026",
+    "Wed, 10 Jun 2026 12.30.00 GMT", "10 Jun 2026 12:00:00 GMT+2", "Wednesday, June 10, 2026 12:00:00 -0700",
+    "10 Sept 2026 12:00:00 GMT", "2026-06-10T12:00:00z", "10 September 2026 12:00:00 GMT", "Jun 10 2026 12:00:00 EDT",
+    "Wed Jun 10 12:00:00 +0800 2026", "Wed Jun 10 12:00:00 GMT 2026", "Wed, 10 Jun 2026", "10 Jun 2026 12.30 GMT",
+    "Wed, 10 Jun 2026 12:00 PM", "10 Jun, 2026 12:00:00 GMT", "10 Jun 2026 12:00:00 -5", "Wednesday 10 Jun 2026 12:00:00 GMT",
+    "Wed, Jun 10 2026 12:00:00 UTC", "10 Jun 2026 12:00:00 +0800 (CST)",
 ]
 
 
@@ -43,3 +53,18 @@ def parsed(spark):
 @pytest.mark.parametrize("value", CASES)
 def test_publish_times_agree_with_the_standard_library(parsed, value):
     assert parsed[value] == stdlib_time(value)
+
+
+def test_wall_clock_does_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = spark.sql("SELECT timestamp_micros(1781366400123456) AS t, timestamp_ntz'2026-06-13 16:00:00.123456' AS n")
+        got = row.select(local_time(F.col("t")).alias("a"), local_time(F.col("n")).alias("b")).first()
+        events = delivery_events(spark.range(1), "r", datetime(2026, 6, 13, 16, tzinfo=timezone.utc)).first()
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        again = delivery_events(spark.range(1), "r", datetime(2026, 6, 13, 16, tzinfo=timezone.utc)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got.a == got.b == datetime(2026, 6, 14, 0, 0, 0, 123456)
+    assert events.id == again.id
