@@ -11,7 +11,9 @@ from feedloom.functions.cards import with_push_card
 from feedloom.operators.routing import not_yet_sent
 from feedloom.schemas import CHANNEL
 
+# Message ids where nothing is handed over.
 DRY_RUN = "dry-run"
+DIGEST_DRY_RUN = "dry-run:digest"
 
 
 def push_candidates(

@@ -161,16 +161,18 @@ def landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
     link = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), number)
     body = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    odd = F.col("doc_id") % 2 == 1
+    c, d = F.when(odd, "c").otherwise("content"), F.when(odd, "d").otherwise("dc")
     rss = F.concat(
-        F.lit('<?xml version="1.0"?>\n<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
-              'xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>Feed '),
+        F.lit('<?xml version="1.0"?>\n<rss version="2.0" xmlns:'), d, F.lit('="http://purl.org/dc/elements/1.1/" xmlns:'),
+        c, F.lit('="http://purl.org/rss/1.0/modules/content/" xmlns:m="urn:media"><channel><title>Feed '),
         F.col("source"), F.lit("</title><item><title>no link</title></item><item><title>T "), number,
-        F.lit("</title><link> "), link, F.lit('</link><guid isPermaLink="false">g'), number,
+        F.lit("<b>bold</b> tail</title><m:credit>Eve</m:credit><link> "), link, F.lit('</link><guid isPermaLink="false">g'), number,
         F.lit("</guid><pubDate>Wed, 10 Jan 2024 12:00:00 +0800</pubDate><description>"), body,
-        F.lit("</description></item><item><link>"), link, F.lit("/b</link><dc:creator>Ann</dc:creator>"
-              "<content:encoded><![CDATA[<p>short</p>]]></content:encoded></item></channel></rss>"),
+        F.lit("</description></item><item><link>"), link, F.lit("/b</link><"), d, F.lit(":creator>Ann</"), d,
+        F.lit(":creator><"), c, F.lit(":encoded><![CDATA[<p>short <a:b> </p>]]></"), c, F.lit(":encoded></item></channel></rss>"),
     )
-    atom = F.concat(
+    plain_atom = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed '), F.col("source"),
         F.lit('</title><entry><title>T '), number,
         F.lit('</title><link rel="self" href="https://x.org/self"/><link href="'), link,
@@ -178,6 +180,8 @@ def landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</id><updated>2024-01-10T12:00:00Z</updated><author><name>Bob</name></author>"
               '<summary type="html">'), body, F.lit("</summary></entry></feed>"),
     )
+    prefixed = F.replace(F.regexp_replace(plain_atom, "<(/?)(?=[a-z])", "<$1a:"), F.lit(" xmlns="), F.lit(" xmlns:a="))
+    atom = F.when(odd, prefixed).otherwise(plain_atom)
     lang = F.col("lang")
     text = (
         F.when(lang == "en", rss)

@@ -248,14 +248,21 @@ fresh AS (
 
 ORACLE: dict[str, str] = {
     "rss_atom_scan": f"""
-        WITH d AS (SELECT *, {LINK} AS link, {norm("text")} AS body FROM documents)
+        WITH d AS (
+          SELECT *, {LINK} AS link, {norm("text")} AS body, coalesce(nullif(text, ''), 'null') AS raw,
+                 '{{http://www.w3.org/2005/Atom}}' AS atom FROM documents)
         SELECT link AS source_url, 'Feed ' || source AS source_name, 'g' || doc_id AS external_id, link AS url,
                'T ' || doc_id AS title, CASE lang WHEN 'fr' THEN 'Bob' END AS author, body AS content, 0 AS pos,
                CASE lang WHEN 'en' THEN '2024-01-10 04:00:00' ELSE '2024-01-10 12:00:00' END AS published,
-               CASE lang WHEN 'en' THEN 5 ELSE 6 END AS n_tags
+               CASE lang WHEN 'en' THEN array_to_string(['description=' || raw, 'guid=g' || doc_id, 'link= ' || link,
+                   'pubDate=Wed, 10 Jan 2024 12:00:00 +0800', 'title=T ' || doc_id, '{{urn:media}}credit=Eve'], '|')
+               ELSE array_to_string([atom || 'author=null', atom || 'id=g' || doc_id, atom || 'link=null',
+                   atom || 'summary=' || raw, atom || 'title=T ' || doc_id, atom || 'updated=2024-01-10T12:00:00Z'], '|') END AS payload
         FROM d WHERE lang IN ('en', 'fr')
         UNION ALL
-        SELECT link, 'Feed ' || source, link || '/b', link || '/b', link || '/b', 'Ann', 'short', 1, NULL, 3
+        SELECT link, 'Feed ' || source, link || '/b', link || '/b', link || '/b', 'Ann', 'short', 1, NULL,
+               array_to_string(['link=' || link || '/b', '{{http://purl.org/dc/elements/1.1/}}creator=Ann',
+                 '{{http://purl.org/rss/1.0/modules/content/}}encoded=<p>short <a:b> </p>'], '|')
         FROM d WHERE lang = 'en'""",
     "feed_rejects": f"""
         SELECT {LINK} AS source_url, CASE lang WHEN 'de' THEN 'Unsupported feed format' ELSE 'Malformed feed document' END AS reason,

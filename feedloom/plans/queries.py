@@ -35,7 +35,13 @@ def rss_atom_scan(spark, sf_dir):
     return found.select(
         "source_url", "source_name", "external_id", "url", "title", "author", "content", "pos",
         fx.stamp(F.col("published_at")).alias("published"),
-        F.size("raw_payload").alias("n_tags"),
+        F.array_join(
+            F.transform(
+                F.sort_array(F.map_entries("raw_payload")),
+                lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("null"))),
+            ),
+            "|",
+        ).alias("payload"),
     )
 
 

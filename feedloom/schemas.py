@@ -42,7 +42,12 @@ TABLES = {
         id string, item_id string, path string, markdown string, status string, updated_at timestamp
         """,
     "rejects": "stage string, key string, reason string, detail string, created_at timestamp",
+    # What the client said to each message of a batch, written before anything is logged.
+    "answers": "id string, message_id string, error string",
     "batch_times": "batch_at timestamp",
+    # The batches of other writers that a batch may read, fixed on its first run.
+    "batch_views": "seen_writer string, seen_batch bigint",
+    "batch_done": "done_at timestamp",
 }
 TABLE_COLUMNS = {
     name: [part.split()[0] for part in ddl.replace("map<string,string>", "map").replace("(4,3)", "").split(",")]

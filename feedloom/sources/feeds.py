@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,48 +17,19 @@ from feedloom.schemas import FEED_COLUMNS
 
 UNSUPPORTED = "Unsupported feed format"
 MALFORMED = "Malformed feed document"
+UNKNOWN_NAMESPACE = "Unknown feed namespace"
 
 # Namespaces of the optional content and author elements, and of Atom.
 CONTENT_NS = "{http://purl.org/rss/1.0/modules/content/}"
 DC_NS = "{http://purl.org/dc/elements/1.1/}"
 ATOM_NS = "{http://www.w3.org/2005/Atom}"
 
-# Element name in the document -> key in the raw payload.
-RSS_TAGS = {
-    **{t: t for t in "title link description author category comments enclosure guid pubDate source".split()},
-    "content:encoded": f"{CONTENT_NS}encoded",
-    **{f"dc:{t}": f"{DC_NS}{t}" for t in "creator date subject".split()},
-}
-ATOM_TAGS = {
-    t: f"{ATOM_NS}{t}"
-    for t in "id title summary content published updated rights link author category".split()
-}
-
 _PROLOG = r"(?s)\A\x{feff}?(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*+(?:\[.*?\]\s*+)?>)*+"
 _ROOT = _PROLOG + r"<([A-Za-z_][\w.:-]*+)"
-_CORRUPT = "_corrupt_record"
-
-
-_ATOM_TYPES = {
-    **{t: "struct<_VALUE:string,_type:string>" for t in "title summary content rights".split()},
-    "link": "struct<_href:string,_rel:string,_VALUE:string>",
-    "author": "struct<name:array<string>,_VALUE:string>",
-}
-
 
-def _entry_type(tags: dict[str, str], types: dict[str, str]) -> str:
-    """Every child element as an array, so that repeated elements keep their order."""
-    return "struct<" + ",".join(f"`{t}`:array<{types.get(t, 'string')}>" for t in tags) + ">"
-
-
-RSS_SCHEMA = (
-    f"channel array<struct<title:array<string>,item:array<{_entry_type(RSS_TAGS, {})}>>>, "
-    f"{_CORRUPT} string"
-)
-ATOM_SCHEMA = (
-    f"title array<{_ATOM_TYPES['title']}>, "
-    f"entry array<{_entry_type(ATOM_TAGS, _ATOM_TYPES)}>, {_CORRUPT} string"
-)
+# Child elements carry their namespace in front of their name; text is what comes before any markup.
+CHILD = "struct<tag:string,text:string,href:string,rel:string,name:string>"
+XML_DDL = f"problem string, name string, entries array<struct<children:array<{CHILD}>,payload:map<string,string>>>"
 
 
 @dataclass(frozen=True)
@@ -102,64 +75,90 @@ def with_format(landed: DataFrame) -> DataFrame:
     return landed.withColumn("format", kind)
 
 
-def _first(values: Column) -> Column:
-    return strip_text(F.get(values, F.lit(0)))
-
-
-def _last(values: Column) -> Column:
-    return F.try_element_at(values, F.lit(-1))
-
-
-def _payload(entry: Column, tags: dict[str, str], text_of) -> Column:
-    """Map of the tags that occur in the entry to their text; the last of equal tags wins."""
-    pairs = [
-        F.when(F.size(entry[tag]) > 0, F.struct(F.lit(key).alias("key"), text_of(tag, _last(entry[tag])).alias("value")))
-        for tag, key in tags.items()
-    ]
-    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+def _xml_reader():
+    """UDF from a document to its entries; its code travels with the query, so workers need no package."""
+    atom, malformed, unknown = ATOM_NS, MALFORMED, UNKNOWN_NAMESPACE
+
+    def child(element):
+        author = element.find(f"{atom}name")
+        return {
+            "tag": element.tag,
+            "text": element.text,
+            "href": element.get("href"),
+            "rel": element.get("rel"),
+            "name": None if author is None else author.text,
+        }
+
+    def read(body):
+        if body is None:
+            return None, None, None
+        try:
+            root = ElementTree.fromstring(body.lstrip("\ufeff \t\r\n"))
+        except (ElementTree.ParseError, ValueError):
+            return malformed, None, None
+        if root.tag.endswith("rss"):
+            name, found = root.find("channel/title"), root.findall("channel/item")
+        else:
+            name, found = root.find(f"{atom}title"), root.findall(f"{atom}entry")
+            if not found and any(e.tag.rpartition("}")[2] == "entry" for e in root if isinstance(e.tag, str)):
+                return unknown, None, None
+        entries = []
+        for entry in found:
+            parts = [e for e in entry if isinstance(e.tag, str)]
+            # the last of equal tags wins
+            last = {e.tag: e.text for e in parts}
+            entries.append({"children": list(map(child, parts)), "payload": last})
+        return None, None if name is None else name.text, entries
+
+    def parse(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(b) for b in bodies], columns=["problem", "name", "entries"])
+
+    return F.pandas_udf(parse, XML_DDL)
+
+
+def _text(entry: Column, tag: str) -> Column:
+    """Direct text of the first child with that tag."""
+    return strip_text(F.get(F.filter(entry["children"], lambda x: x["tag"] == tag), F.lit(0))["text"])
 
 
 def _rss_entry(entry: Column) -> Column:
-    link = normalize_text(_first(entry["link"]))
+    link = normalize_text(_text(entry, "link"))
     return F.struct(
         link.alias("url"),
-        normalize_text(first_filled(_first(entry["title"]), link)).alias("title"),
-        first_filled(_first(entry["description"]), _first(entry["content:encoded"])).alias("html"),
-        blank_to_null(_first(entry["guid"])).alias("external_id"),
-        F.coalesce(
-            blank_to_null(_first(entry["author"])), _first(entry["dc:creator"])
-        ).alias("author"),
-        _first(entry["pubDate"]).alias("published"),
-        _payload(entry, RSS_TAGS, lambda tag, value: value).alias("raw_payload"),
+        normalize_text(first_filled(_text(entry, "title"), link)).alias("title"),
+        first_filled(_text(entry, "description"), _text(entry, f"{CONTENT_NS}encoded")).alias("html"),
+        blank_to_null(_text(entry, "guid")).alias("external_id"),
+        F.coalesce(blank_to_null(_text(entry, "author")), _text(entry, f"{DC_NS}creator")).alias("author"),
+        _text(entry, "pubDate").alias("published"),
+        entry["payload"].alias("raw_payload"),
     )
 
 
-def atom_link(links: Column) -> Column:
+def atom_link(children: Column) -> Column:
     """The first link with an address whose relation is alternate (the default)."""
     wanted = F.filter(
-        links,
-        lambda x: (F.coalesce(x["_href"], F.lit("")) != "")
-        & (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"),
+        children,
+        lambda x: (x["tag"] == f"{ATOM_NS}link")
+        & (F.coalesce(x["href"], F.lit("")) != "")
+        & (F.coalesce(x["rel"], F.lit("alternate")) == "alternate"),
     )
-    return F.coalesce(strip_text(F.get(wanted, F.lit(0))["_href"]), F.lit(""))
+    return F.coalesce(strip_text(F.get(wanted, F.lit(0))["href"]), F.lit(""))
 
 
 def _atom_entry(entry: Column) -> Column:
     def text(tag: str) -> Column:
-        return strip_text(F.get(entry[tag], F.lit(0))["_VALUE"])
-
-    def payload_text(tag: str, value: Column) -> Column:
-        return value["_VALUE"] if tag in _ATOM_TYPES else value
+        return _text(entry, f"{ATOM_NS}{tag}")
 
-    link = atom_link(entry["link"])
+    link = atom_link(entry["children"])
+    author = F.get(F.filter(entry["children"], lambda x: x["tag"] == f"{ATOM_NS}author"), F.lit(0))
     return F.struct(
         link.alias("url"),
         normalize_text(first_filled(text("title"), link)).alias("title"),
         first_filled(text("content"), text("summary")).alias("html"),
-        blank_to_null(_first(entry["id"])).alias("external_id"),
-        _first(F.get(entry["author"], F.lit(0))["name"]).alias("author"),
-        first_filled(_first(entry["published"]), _first(entry["updated"])).alias("published"),
-        _payload(entry, ATOM_TAGS, payload_text).alias("raw_payload"),
+        blank_to_null(text("id")).alias("external_id"),
+        strip_text(author["name"]).alias("author"),
+        first_filled(text("published"), text("updated")).alias("published"),
+        entry["payload"].alias("raw_payload"),
     )
 
 
@@ -216,29 +215,17 @@ def parse_feed_rows(landed: DataFrame, head: int | None = None) -> DataFrame:
     per-feed limit needs no shuffle.
     """
     typed = with_format(with_landed_seq(landed))
-    options = {"columnNameOfCorruptRecord": _CORRUPT}
-    # A prefixed Atom document is read as if its namespace were the default one.
-    bare = F.regexp_replace("body", r"<(/?)atom:", "<$1")
-    docs = compute_once(
-        typed,
-        {
-            "rss": F.when(F.col("format") == "rss", F.from_xml("body", RSS_SCHEMA, options)),
-            "atom": F.when(F.col("format") == "atom", F.from_xml(bare, ATOM_SCHEMA, options)),
-        },
-    )
-    corrupt = F.coalesce(f"rss.{_CORRUPT}", f"atom.{_CORRUPT}")
+    read = _xml_reader()
+    docs = compute_once(typed, {"xml": read(F.when(F.col("format").isNotNull(), F.col("body")))})
     docs = docs.withColumn(
         "reason",
-        F.when(F.col("format").isNull(), F.lit(UNSUPPORTED)).when(corrupt.isNotNull(), F.lit(MALFORMED)),
+        F.when(F.col("format").isNull(), F.lit(UNSUPPORTED)).otherwise(F.col("xml.problem")),
     )
-    channel = F.col("rss.channel")
-    rss_entries = F.flatten(F.transform(channel, lambda c: F.coalesce(c["item"], F.array())))
-    name = F.coalesce(
-        _first(F.get(channel, F.lit(0))["title"]),
-        strip_text(F.get(F.col("atom.title"), F.lit(0))["_VALUE"]),
+    found = F.col("xml.entries")
+    entries = F.when(F.col("format") == "rss", F.transform(found, _rss_entry)).otherwise(
+        F.transform(found, _atom_entry)
     )
-    entries = F.coalesce(F.transform(rss_entries, _rss_entry), F.transform("atom.entry", _atom_entry))
-    return to_feed_rows(_explode_entries(docs, name, entries, head))
+    return to_feed_rows(_explode_entries(docs, strip_text("xml.name"), entries, head))
 
 
 def parse_feeds(landed: DataFrame, head: int | None = None) -> ParsedFeeds:

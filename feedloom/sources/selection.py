@@ -19,10 +19,10 @@ def sample_items(spark: SparkSession) -> DataFrame:
         "Built-in journal",
         "builtin://journal",
         "journal-0001",
-        "https://journal.invalid/2026/index-rebuild",
+        "https://journal.invalid/2026/index-move",
         "How we moved the search index to a new database without downtime",
         "The journal",
-        datetime(2026, 5, 4, 7, 30, tzinfo=timezone.utc),
+        datetime(2026, 6, 9, 7, 30, tzinfo=timezone.utc),
         "Notes from a quiet week: a Python job copies the index, a small language model checks the answers, "
         "and the old database is switched off last.",
         {"edition": "1"},

@@ -90,7 +90,17 @@ def upsert_sources(batch: Batch, items: DataFrame, now: datetime) -> DataFrame:
 
 
 def current_sources(log: DataFrame) -> DataFrame:
-    return latest.latest_per_key(log, ["url"], [F.col("updated_at").desc(), F.col("batch_id").desc()])
+    return latest.latest_per_key(log, ["url"], newest_first("updated_at"))
+
+
+def newest_first(at: str) -> list[Column]:
+    """A total order over the rows of all writers: batch ids compare within a writer only."""
+    return [F.col(at).desc(), F.col("writer").desc(), F.col("batch_id").desc()]
+
+
+def current_items(log: DataFrame) -> DataFrame:
+    """One row per item: where two writers brought the same address, the first counts."""
+    return latest.latest_per_key(log, ["id"], [F.col("created_at"), F.col("writer"), F.col("batch_id")])
 
 
 def merge_batch_versions(items: DataFrame) -> DataFrame:
@@ -115,10 +125,10 @@ def raw_verdicts(batch: Batch, merged: DataFrame) -> DataFrame:
     """(id, url, created, changed, conflict) per raw item of the batch, from narrow columns."""
     keys = merged.select("id", "source_id", "url", "content_hash", "landed_seq", "pos")
     prior = batch.prior("raw_items")
-    hits = prior.select("id", F.col("content_hash").alias("__hash"), "batch_id").join(
+    hits = prior.select("id", F.col("content_hash").alias("__hash"), "created_at", "writer", "batch_id").join(
         distinct_keys(keys, "id"), "id", "left_semi"
     )
-    newest = latest.latest_per_key(hits, ["id"], [F.col("batch_id").desc()]).drop("batch_id")
+    newest = latest.latest_per_key(hits, ["id"], newest_first("created_at")).select("id", "__hash")
     compared = keys.join(newest, "id", "left").withColumns(
         {
             "created": F.col("__hash").isNull(),
@@ -128,7 +138,9 @@ def raw_verdicts(batch: Batch, merged: DataFrame) -> DataFrame:
     # An address belongs to the first external id that brought it, earlier or in this batch.
     address = ["source_id", "url"]
     taken = upsert.seen_keys(prior.filter("created").select(*address), keys, address)
-    checked = compared.join(taken.withColumn("__taken", F.lit(True)), address, "left")
+    place = F.to_json(F.struct(*address))
+    taken = taken.select(place.alias("__taken_place"), F.lit(True).alias("__taken"))
+    checked = left_join_unique(compared.withColumn("__place", place), taken, "__place", "__taken_place")
     flagged = upsert.flag_key_conflicts(
         checked.filter("created"), address, "id", ["landed_seq", "pos"]
     )
@@ -208,6 +220,7 @@ def ingest_batch(
         .unionByName(_rejects(unreadable, "normalize", "id", F.lit("unreadable address"), "url", now))
     )
     batch.write("rejects", refused)
+    batch.done(now)
 
 
 # ---- push and digest ---------------------------------------------------------------------------
@@ -215,16 +228,24 @@ def ingest_batch(
 
 def described_items(batch: Batch, ids: DataFrame) -> DataFrame:
     """Items of a key set with source name, publish time and latest analysis."""
-    log = batch.all("items").join(ids, "id", "left_semi")
+    log = materialize(
+        current_items(batch.all("items").join(ids, "id", "left_semi")).select(
+            "id", "raw_item_id", "canonical_url", "title", "created_at"
+        )
+    )
+    # the history is cut to the batch's keys before it is joined
     raw = batch.all("raw_items").filter("created").select(
         F.col("id").alias("raw_item_id"), "source_id", "published_at"
     )
-    sources = current_sources(batch.all("sources")).select(
+    raw = materialize(raw.join(distinct_keys(log, "raw_item_id"), "raw_item_id", "left_semi"))
+    named_sources = batch.all("sources").withColumn("source_id", F.col("id"))
+    named_sources = named_sources.join(distinct_keys(raw, "source_id"), "source_id", "left_semi")
+    sources = current_sources(named_sources).select(
         F.col("id").alias("__source_id"), F.col("name").alias("source_name")
     )
     analyses = batch.all("analysis_results").withColumnRenamed("id", "analysis_id")
     analyses = analyses.withColumnRenamed("item_id", "id").withColumnRenamed("created_at", "analyzed_at")
-    joined = log.select("id", "raw_item_id", "canonical_url", "title", "created_at").join(raw, "raw_item_id")
+    joined = log.join(raw, "raw_item_id")
     named = left_join_unique(joined, sources, "source_id", "__source_id")
     return latest.left_join_latest(
         named,
@@ -258,12 +279,38 @@ def push_batch(
     return _deliver(batch, carded.select("id", "card"), options.recipient, now, options)
 
 
+def retry_batch(batch: Batch, now: datetime, options: Options = Options()) -> DataFrame:
+    """A step of its own for failed pushes that are due again; run it by one writer."""
+    events = push_batch(batch, batch.prior("analysis_results").filter(F.lit(False)), now, options)
+    batch.done(now)
+    return events
+
+
+def _answers(batch: Batch, outbound: DataFrame, deliver: Deliver) -> DataFrame:
+    """What the client says to each message, one row per message.
+
+    Messages that an earlier run of the batch has handed over are not handed over again. The answers
+    are written before anything is logged; between the client and that lies only this write, for
+    which clients should take the id of a message twice as one message.
+    """
+    before = batch.own("answers")
+    if before is None:
+        waiting = outbound
+        kept = None
+    else:
+        kept = materialize(before.filter(F.col("error").isNull()))
+        waiting = outbound.join(kept, "id", "left_anti")
+    said = deliver(waiting).groupBy("id").agg(F.max("message_id").alias("message_id"), F.max("error").alias("error"))
+    fresh = said.join(waiting.select("id"), "id", "left_semi")
+    return batch.write("answers", fresh if kept is None else kept.unionByName(fresh))
+
+
 def _deliver(batch: Batch, carded: DataFrame, recipient: str, now: datetime, options: Options) -> DataFrame:
     outbound = batch.write(
         "messages",
         carded.withColumns({"recipient": F.lit(recipient), "created_at": _at(now)}),
     )
-    answered = outbound.select("id").join(options.deliver(outbound.select("id", "card")), "id")
+    answered = _answers(batch, outbound.select("id", "card"), options.deliver)
     log = messages.delivery_events(answered, recipient, now, F.col("message_id"), F.col("error"))
     return batch.write("push_events", log)
 
@@ -272,7 +319,7 @@ def digest_batch(
     batch: Batch, now: datetime, limit: int | str | None = 10, force: bool = False, options: Options = Options()
 ) -> DataFrame:
     """Select, card and log one digest; returns the logged events (none when nothing waits)."""
-    items = batch.prior("items").select("id", "created_at")
+    items = current_items(batch.prior("items")).select("id", "created_at")
     events = batch.prior("push_events")
     ready = routing.not_yet_sent(items, events, options.recipient).withColumn("status", F.lit("ready"))
     waiting = digest.digest_candidates(
@@ -287,11 +334,17 @@ def digest_batch(
     outbound = batch.write(
         "messages", card.withColumns({"recipient": F.lit(recipient), "created_at": _at(now)})
     )
-    answer = options.deliver(outbound.select("id", "card")).select("message_id", "error")
-    answer = answer.limit(1).withColumn("__one", F.lit(1))
-    answered = chosen.select("id").withColumn("__one", F.lit(1)).join(answer, "__one")
-    log = messages.delivery_events(answered, recipient, now, F.col("message_id"), F.col("error"))
-    return batch.write("push_events", log)
+    # one card, so one answer, which holds for each of its items
+    answer = _answers(batch, outbound.select("id", "card"), options.deliver)
+    answered = chosen.select("id").withColumn("__one", F.lit(1)).join(
+        answer.select("message_id", "error", F.lit(1).alias("__one")), "__one"
+    )
+    said = F.col("message_id")
+    message_id = F.when(said == messages.DRY_RUN, F.lit(messages.DIGEST_DRY_RUN)).otherwise(said)
+    log = messages.delivery_events(answered, recipient, now, message_id, F.col("error"))
+    logged = batch.write("push_events", log)
+    batch.done(now)
+    return logged
 
 
 # ---- feedback and notes --------------------------------------------------------------------------
@@ -304,7 +357,8 @@ def feedback_batch(batch: Batch, payloads: DataFrame, now: datetime, options: Op
     seen = upsert.seen_keys(known, checked.filter("problem is null"), ["item_id"]).withColumn(
         "__known", F.lit(True)
     )
-    marked = checked.join(seen, "item_id", "left").withColumn(
+    seen = seen.withColumnRenamed("item_id", "__item_id")
+    marked = left_join_unique(checked, seen, "item_id", "__item_id").withColumn(
         "problem",
         F.coalesce(F.col("problem"), F.when(F.col("__known").isNull(), F.lit("unknown item"))),
     )
@@ -314,6 +368,7 @@ def feedback_batch(batch: Batch, payloads: DataFrame, now: datetime, options: Op
     )
     batch.write("rejects", refused)
     note_batch(batch, feedback.note_requests(logged).select(F.col("item_id").alias("id")), now, options)
+    batch.done(now)
 
 
 def note_batch(batch: Batch, ids: DataFrame, now: datetime, options: Options = Options()) -> DataFrame:
@@ -330,14 +385,14 @@ def current_raw(log: DataFrame) -> DataFrame:
     return upsert.merge_first_last(
         log,
         ["id"],
-        ["batch_id"],
-        ["source_id", "external_id", "url", "author", "published_at", "created_at"],
+        ["created_at", "writer", "batch_id"],
+        ["source_id", "external_id", "url", "author", "published_at"],
         ["title", "raw_content", "raw_payload", "content_hash"],
     )
 
 
 def current_notes(log: DataFrame) -> DataFrame:
-    return latest.latest_per_key(log, ["item_id"], [F.col("updated_at").desc(), F.col("batch_id").desc()])
+    return latest.latest_per_key(log, ["item_id"], newest_first("updated_at"))
 
 
 def item_status(

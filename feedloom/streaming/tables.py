@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +15,54 @@ from feedloom.schemas import TABLE_COLUMNS, TABLES
 
 @dataclass(frozen=True)
 class Batch:
-    """One unit of work of one writer; running it again replaces its own rows."""
+    """One unit of work of one writer; running it again replaces its own rows.
+
+    A batch reads its writer's earlier batches, and of other writers those that were done when it
+    first ran. That is written down, so a replay reads the same rows whatever was added since.
+    """
 
     spark: SparkSession
     root: str
     writer: str
     batch_id: int
 
+    @cached_property
+    def visible(self) -> dict[str, int]:
+        """The last batch to read of each other writer; one entry per writer."""
+        marks = self.own("batch_views")
+        if marks is None:
+            done = read_table(self.spark, self.root, "batch_done").filter(F.col("writer") != self.writer)
+            last = done.groupBy(F.col("writer").alias("seen_writer")).agg(F.max("batch_id").alias("seen_batch"))
+            marks = self.write("batch_views", last)
+        return {row["seen_writer"]: row["seen_batch"] for row in marks.collect()}
+
+    def _rows(self, table: str, last_own: int) -> DataFrame:
+        wanted = (F.col("writer") == self.writer) & (F.col("batch_id") <= last_own)
+        for writer, batch_id in sorted(self.visible.items()):
+            wanted = wanted | ((F.col("writer") == writer) & (F.col("batch_id") <= batch_id))
+        return read_table(self.spark, self.root, table).filter(wanted)
+
     def prior(self, table: str) -> DataFrame:
-        """Rows of all other writers and of this writer's earlier batches."""
-        own = F.col("writer") == self.writer
-        return read_table(self.spark, self.root, table).filter(
-            ~own | (F.col("batch_id") < self.batch_id)
-        )
+        """Rows of this writer's earlier batches and of what it may read of other writers."""
+        return self._rows(table, self.batch_id - 1)
 
     def all(self, table: str) -> DataFrame:
         """Prior rows and those this batch has written so far."""
-        own = F.col("writer") == self.writer
-        return read_table(self.spark, self.root, table).filter(
-            ~own | (F.col("batch_id") <= self.batch_id)
-        )
+        return self._rows(table, self.batch_id)
+
+    def own(self, table: str) -> DataFrame | None:
+        """What an earlier run of this batch has written of a table, if it came so far."""
+        folder = f"{self.root}/{table}/writer={self.writer}/batch_id={self.batch_id}"
+        try:
+            return self.spark.read.schema(TABLES[table]).parquet(folder)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def done(self, now: datetime) -> None:
+        """Let other writers' later batches read this one."""
+        self.write("batch_done", self.spark.range(1).select(F.lit(now).cast("timestamp").alias("done_at")))
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """Replace this batch's rows of a table and read them back, so later steps reuse them."""

@@ -96,7 +96,8 @@ COMPARED = {
     "sources": ["id", "name", "updated_at"], "raw_items": ["id", "title", "content_hash", "created"],
     "items": ["id", "title", "created_at"], "dedupe_groups": ["id"], "analysis_results": ["id", "summary"],
     "messages": ["id", "card"], "push_events": ["id", "status"], "feedback": ["id"], "notes": ["id"],
-    "rejects": ["key", "reason", "created_at"], "batch_times": ["batch_at"],
+    "rejects": ["key", "reason", "created_at"], "batch_times": ["batch_at"], "answers": ["id", "message_id"],
+    "batch_views": ["seen_writer", "seen_batch"], "batch_done": ["done_at"],
 }
 
 
@@ -150,7 +151,7 @@ def test_digest_feedback_notes_status_and_constraints(spark, root):
         "invalid feedback action", "payload is not a JSON object", "unknown item",
     ]
     (note,) = pipeline.current_notes(read_table(spark, root, "notes")).collect()
-    assert note.path == "notes/2026/06/plain.md" and "# Plain\n" in note.markdown
+    assert note.path.startswith("notes/2026/06/plain-") and "# Plain\n" in note.markdown
 
     status = pipeline.item_status(
         items, read_table(spark, root, "analysis_results"), read_table(spark, root, "push_events")
@@ -200,3 +201,79 @@ def test_stream_equals_batch(spark, root, tmp_path):
     q = start_feedback(spark, str(tmp_path / "callbacks"), streamed, str(tmp_path / "cp2"), clock=lambda: NOW)
     q.awaitTermination()
     assert rows(spark, streamed, "feedback", "item_id") == [(target,)]
+
+
+class Client:
+    """Counts what it is handed; fails on what it is told to."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __call__(self, outbound):
+        ids = [r.id for r in outbound.select("id").collect()]
+        self.calls += ids
+        said = [(i, f"m-{i[:6]}", None) for i in ids]
+        return outbound.sparkSession.createDataFrame(said, "id string, message_id string, error string")
+
+
+def test_a_replay_hands_nothing_over_again(spark, root):
+    client = Client()
+    for _ in range(2):
+        run(spark, root, 0, [("a", A1)], deliver=client)
+    assert len(client.calls) == 1
+    assert len(rows(spark, root, "push_events", "id")) == 1
+
+
+def test_a_crash_after_the_answers_hands_nothing_over_again(spark, root, monkeypatch):
+    client, write = Client(), Batch.write
+
+    def crash(self, table, frame):
+        if table == "push_events":
+            raise RuntimeError("lost")
+        return write(self, table, frame)
+
+    monkeypatch.setattr(Batch, "write", crash)
+    with pytest.raises(RuntimeError):
+        run(spark, root, 0, [("a", A1)], deliver=client)
+    monkeypatch.setattr(Batch, "write", write)
+    run(spark, root, 0, [("a", A1)], deliver=client)
+    assert len(client.calls) == 1
+    assert rows(spark, root, "push_events", "status") == [("sent",)]
+
+
+def test_a_digest_replay_reads_what_it_read_before(spark, root):
+    run(spark, root, 0, [("a", A1)])
+    client = Client()
+    options = pipeline.Options(deliver=client)
+    first = sorted(map(tuple, pipeline.digest_batch(Batch(spark, root, "digest", 0), NOW, 1, options=options).collect()))
+    late = feed("Feed C", ("c1", "https://c.org/1", "Newer", "later and plain", "Thu, 11 Jun 2026 12:00:00 GMT"))
+    run(spark, root, 1, [("c", late)], now=NOW + timedelta(hours=1))
+    again = sorted(map(tuple, pipeline.digest_batch(Batch(spark, root, "digest", 0), NOW, 1, options=options).collect()))
+    assert first == again and len(client.calls) == 1
+    assert pipeline.digest_batch(Batch(spark, root, "digest", 1), NOW + timedelta(hours=2), 10).count() == 2
+
+
+def test_two_writers_give_one_item(spark, root, monkeypatch):
+    """Another writer's batch runs between the check and the write of this one."""
+    write = Batch.write
+    state = {"other": False}
+
+    def interleaved(self, table, frame):
+        if table == "items" and self.writer == "feeds" and not state["other"]:
+            state["other"] = True
+            other = Batch(spark, root, "reader", 0)
+            docs = landed(spark, ("r", feed("Reader", ("z", "https://a.org/2", "Plain", "nothing here", DAY))))
+            ingest_landed(other, docs, other.time(NOW))
+        return write(self, table, frame)
+
+    monkeypatch.setattr(Batch, "write", interleaved)
+    run(spark, root, 0, [("a", A1)])
+    monkeypatch.setattr(Batch, "write", write)
+    log = read_table(spark, root, "items")
+    assert not checks.unique_violations(log, ["canonical_url"]).isEmpty()
+    current = pipeline.current_items(log)
+    for _, keys in [k for k in UNIQUE_KEYS if k[0] == "items"]:
+        assert checks.unique_violations(current, keys).isEmpty()
+    pipeline.digest_batch(Batch(spark, root, "digest", 0), NOW, 10)
+    (card,) = [r.card for r in read_table(spark, root, "messages").filter("writer = 'digest'").collect()]
+    assert card.count("https://a.org/2") == 1

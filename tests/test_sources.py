@@ -5,7 +5,7 @@ import pytest
 from feedloom.functions.scoring import REASON_MATCH
 from feedloom.operators.analyze import analyze_items
 from feedloom.sources import selection
-from feedloom.sources.feeds import MALFORMED, UNSUPPORTED, parse_feeds
+from feedloom.sources.feeds import MALFORMED, UNKNOWN_NAMESPACE, UNSUPPORTED, parse_feeds
 from feedloom.sources.reader import page_size, parse_reader_pages
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
@@ -43,6 +43,10 @@ ATOM = """<feed xmlns="http://www.w3.org/2005/Atom">
 PREFIXED = """<atom:feed xmlns:atom="http://www.w3.org/2005/Atom"><atom:entry><atom:title>P</atom:title>
 <atom:link href="https://example.org/p"/></atom:entry></atom:feed>"""
 
+OTHER_PREFIX = """<x:feed xmlns:x="http://www.w3.org/2005/Atom"><x:entry><x:title>A <b>bold</b> t</x:title>
+<x:link href="https://example.org/x"/><x:author><x:name>Nn</x:name></x:author>
+<x:summary><![CDATA[use &lt;a:link&gt; here]]></x:summary></x:entry></x:feed>"""
+
 
 @pytest.fixture(scope="module")
 def parsed(spark):
@@ -50,10 +54,12 @@ def parsed(spark):
         ("rss", RSS),
         ("atom", ATOM),
         ("prefixed", PREFIXED),
+        ("other prefix", OTHER_PREFIX),
         ("empty", '<rss version="2.0"><channel><title>Nothing</title></channel></rss>'),
         ("opml", "<opml><body/></opml>"),
         ("broken", "<rss><channel><item><title>x</channel></rss>"),
         ("text", "not xml"),
+        ("other", '<feed xmlns="urn:other"><entry><title>x</title></entry></feed>'),
     ]
     found = parse_feeds(spark.createDataFrame(docs, "source_url string, body string"))
     items = {}
@@ -84,11 +90,14 @@ def test_atom_items(parsed):
     assert (second.title, second.url, second.content, second.published_at) == (
         "https://example.org/2", "https://example.org/2", "Sum", None,
     )
+    assert parsed[0]["other prefix"][0].title == "A" and parsed[0]["other prefix"][0].author == "Nn"
+    summary = parsed[0]["other prefix"][0].raw_payload["{http://www.w3.org/2005/Atom}summary"]
+    assert summary == "use &lt;a:link&gt; here"
     assert parsed[0]["prefixed"][0].title == "P" and parsed[0]["prefixed"][0].source_name == "prefixed"
 
 
 def test_unreadable_documents_are_kept_aside(parsed):
-    assert parsed[1] == {"opml": UNSUPPORTED, "broken": MALFORMED, "text": UNSUPPORTED}
+    assert parsed[1] == {"opml": UNSUPPORTED, "broken": MALFORMED, "text": UNSUPPORTED, "other": UNKNOWN_NAMESPACE}
     assert "empty" not in parsed[0]
 
 
