@@ -31,7 +31,7 @@ BEAM, LONGEST = 12, 64
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t ]\S){2,}(?!\S)")
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$") + "«»“”‘’„¿¡…–—"
 # Labelled rows that the classifier is fitted on, at most about; the words it weighs.
-SAMPLE_ROWS, FEATURES = 20_000, 384
+SAMPLE_ROWS, FEATURES = 12_000, 256
 MIN_Z, MIN_DOCS, RIDGE, STEPS = 3.0, 4, 1.0, 15
 REMEMBERED = 300_000
 
@@ -93,7 +93,7 @@ def costs(counts: np.ndarray) -> np.ndarray:
         lower = np.tile(prob.reshape(-1, SYMBOLS), (own.shape[0] // (prob.size // SYMBOLS), 1))
         prob = (own + kinds * lower) / np.maximum(total + kinds, 1)
         prob = np.where(total > 0, prob, lower)
-    return -np.log(prob).reshape(CONTEXTS, SYMBOLS)
+    return -np.log(prob).reshape(CONTEXTS, SYMBOLS).astype(np.float32)
 
 
 class Channel:
@@ -231,21 +231,24 @@ def pick_features(rows: DataFrame, channel: Channel, n1: int, n0: int) -> list[s
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method; no weight is negative, so that no word excuses another."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(x.shape[1])
+    """Ridge logistic regression by Newton's method; no weight is negative, so that no word excuses another.
+
+    The rows are gone through in parts, so that single precision is enough to hold them.
+    """
+    n = x.shape[1] + 1
+    w, ridge = np.zeros(n), np.full(n, RIDGE)
     w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    ridge = np.full(w.size, RIDGE)
     ridge[-1] = 1e-6
-    free = np.ones(w.size, bool)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
+        slope, bend = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), 1024):
+            part = np.concatenate([x[at : at + 1024].astype(np.float64), np.ones((len(x[at : at + 1024]), 1))], 1)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (p - y[at : at + 1024])
+            bend += (part * (p * (1 - p))[:, None]).T @ part
         free = (w > 0) | (slope < 0)
         free[-1] = True
-        own = x[:, free]
-        bend = (own * (p * (1 - p))[:, None]).T @ own + np.diag(ridge[free])
-        w[free] -= np.linalg.solve(bend, slope[free])
+        w[free] -= np.linalg.solve(bend[np.ix_(free, free)], slope[free])
         w[:-1] = np.maximum(w[:-1], 0)
     return w[:-1], float(w[-1])
 
@@ -281,8 +284,9 @@ def toxicity(
     keep0 = min(1.0, (SAMPLE_ROWS - n1 * keep1) / max(n0, 1))
     place = F.pmod(F.xxhash64("__doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(place < F.when(F.col("toxic") == 1, keep1).otherwise(keep0))
+    # as many ids as the sample has rows, which the parameter bounds
     sample = materialize(
-        rows.join(chosen, F.col("doc_id") == F.col("__doc_id")).select("doc_id", "text", "toxic")
+        rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc_id")).select("doc_id", "text", "toxic")
     )
     names = pick_features(sample, channel, round(n1 * keep1), round(n0 * keep0)) if n1 and n0 else []
     wanted = {f: i for i, f in enumerate(names)}
@@ -303,9 +307,11 @@ def toxicity(
     weights, bias = np.zeros(2 * len(names)), math.log((n1 + 0.5) / (n0 + 0.5))
     if names:
         fitted = sample.select("text", "toxic").mapInArrow(vectors, "x binary, y int").toPandas()
-        x = np.frombuffer(b"".join(fitted["x"]), np.float32).reshape(len(fitted), -1).astype(np.float64)
-        order = np.lexsort((*x.T[:8], fitted["y"]))
-        weights, bias = fit(x[order], fitted["y"].to_numpy(np.float64)[order])
+        # sums do not depend on the order in which tasks end
+        fitted = fitted.sort_values(["y", "x"])
+        y = fitted["y"].to_numpy(np.float64)
+        x = np.frombuffer(b"".join(fitted.pop("x")), np.float32).reshape(len(y), -1)
+        weights, bias = fit(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counted(channel, wanted)
