@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ from feedloom.session import materialize
 ORDER, BITS, CODES = 4, 16, 1 << 16
 START, END = 2, 3
 TOGETHER = 256
+# Characters that are turned into n-grams at once.
+PIECE = 1 << 16
 # One in so many trusted documents is not counted but sets the thresholds.
 HELD = 5
 QUANTILE, ACCURACY = 0.999, 100_000
@@ -27,10 +28,12 @@ BROADCAST_ROWS = 4_000_000
 GROUP_CHARS = 32 << 20
 
 
-def grams(text: str) -> np.ndarray:
-    """Keys of all n-grams of a text, one for each character and one for its end."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    codes = np.concatenate([[START] * (ORDER - 1), np.minimum(codes, CODES - 1), [END]]).astype(np.uint64)
+def grams(text: str, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Keys of all n-grams that end in a part of a text; the last part has one more, for the text's end."""
+    end = len(text) if end is None else min(end, len(text))
+    codes = np.frombuffer(text[max(start - ORDER + 1, 0) : end].encode("utf-32-le"), np.uint32)
+    pad = max(ORDER - 1 - start, 0)
+    codes = np.concatenate([[START] * pad, np.minimum(codes, CODES - 1), [END] * (end == len(text))]).astype(np.uint64)
     n = codes.size - ORDER + 1
     keys = codes[:n].copy()
     for k in range(1, ORDER):
@@ -38,25 +41,37 @@ def grams(text: str) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if keys.size else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(n, starts) if keys.size else n
+
+
 def counted(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the texts in the first column, map-side combined."""
+    """(gram, n) over the texts in the first column, map-side combined in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = pd.Series(dtype=np.int64)
-        for batch in batches:
-            own = [grams(t) for t in batch.column(0).to_pylist() if t]
-            if own:
-                keys, n = np.unique(np.concatenate(own), return_counts=True)
-                total = total.add(pd.Series(n, index=keys), fill_value=0)
-            if len(total) > 1 << 20:
-                yield flush(total)
-                total = pd.Series(dtype=np.int64)
-        yield flush(total)
-
-    def flush(total: pd.Series) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(total.index.to_numpy(np.int64)), pa.array(total.to_numpy(np.int64))], ["gram", "n"]
-        )
+        held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def flush() -> pa.RecordBatch:
+            keys, n = summed(*map(np.concatenate, held))
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
+
+        for whole in batches:
+            for text in whole.column(0).to_pylist():
+                for at in range(0, len(text or ""), PIECE):
+                    keys, n = np.unique(grams(text, at, at + PIECE), return_counts=True)
+                    held[0].append(keys)
+                    held[1].append(n)
+                if sum(map(len, held[0][1:])) > 1 << 19:
+                    keys, n = summed(*map(np.concatenate, held))
+                    held = [keys], [n]
+                    if keys.size > 1 << 20:
+                        yield flush()
+                        held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        yield flush()
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -125,16 +140,18 @@ def log_probabilities(wanted: DataFrame, model: list[Level]) -> DataFrame:
 
 
 def score(text: str, keys: np.ndarray, logps: np.ndarray) -> tuple[int, float]:
-    own = grams(text)
-    return own.size, float(logps[np.searchsorted(keys, own)].sum())
+    total = 0.0
+    for at in range(0, len(text), PIECE):
+        total += float(logps[np.searchsorted(keys, grams(text, at, at + PIECE))].sum())
+    return len(text) + 1, total
 
 
-ROW = "doc_id long, lang string, role int, n_chars long, logp double"
+ROW = "doc_id long, lang string, n_chars long, logp double"
 
 
-def _table(ids, langs, roles, texts: list, keys, logps) -> pa.RecordBatch:
+def _table(ids, langs, texts: list, keys, logps) -> pa.RecordBatch:
     found = [score(t, keys, logps) if t else (0, 0.0) for t in texts]
-    arrays = [ids, langs, roles, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
+    arrays = [ids, langs, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in ROW.split(", ")])
 
 
@@ -148,9 +165,9 @@ def scored_by_table(rows: DataFrame, table: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 b = whole.slice(at, TOGETHER)
-                yield _table(*b.columns[:3], b.column(3).to_pylist(), *shared.value)
+                yield _table(*b.columns[:2], b.column(2).to_pylist(), *shared.value)
 
-    return rows.select("doc_id", "lang", "role", "text").mapInArrow(run, ROW)
+    return rows.select("doc_id", "lang", "text").mapInArrow(run, ROW)
 
 
 def scored_by_groups(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -164,7 +181,7 @@ def scored_by_groups(rows: DataFrame, table: DataFrame) -> DataFrame:
             groups = np.asarray(batch.column(0))
             texts = batch.column(1).to_pylist()
             for g in np.unique(groups):
-                own = [grams(texts[i]) for i in np.flatnonzero(groups == g) if texts[i]]
+                own = [np.unique(grams(texts[i])) for i in np.flatnonzero(groups == g) if texts[i]]
                 if own:
                     keys = np.unique(np.concatenate(own))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, g)), pa.array(keys)], ["grp", "gram"])
@@ -177,7 +194,7 @@ def scored_by_groups(rows: DataFrame, table: DataFrame) -> DataFrame:
         known = known.sort_by("gram")
         keys, logps = np.asarray(known.column("gram")), np.asarray(known.column("logp"))
         texts = docs.column("text").to_pylist()
-        columns = [docs.column(c).combine_chunks() for c in ("doc_id", "lang", "role")]
+        columns = [docs.column(c).combine_chunks() for c in ("doc_id", "lang")]
         return pa.Table.from_batches([_table(*columns, texts, keys, logps)])
 
     return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, ROW)
@@ -217,16 +234,16 @@ def perplexity_filter(
         .select("__doc_id", F.when(F.pmod(F.xxhash64("__doc_id"), F.lit(HELD)) == 0, 2).otherwise(1).alias("role"))
     )
     trusted = materialize(trusted)
-    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    known = materialize(ids.join(trusted, F.col("doc_id") == F.col("__doc_id")).select("__doc_id", "role"))
-    marked = rows.join(known, F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
-    marked = marked.withColumn("role", F.coalesce("role", F.lit(0)))
-    model = levels(counted(marked.filter("role = 1").select("text")))
+    # only trusted texts move; of the others, what is scored
+    good = rows.join(trusted.filter("role = 1"), F.col("doc_id") == F.col("__doc_id"), "left_semi")
+    model = levels(counted(good.select("text")))
     table = materialize(log_probabilities(counted(rows.select("text")).select("gram"), model))
     by = scored_by_table if table.count() <= BROADCAST_ROWS else scored_by_groups
+    found = materialize(by(rows, table))
+    perplexity = F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars"))).alias("perplexity")
     scores = materialize(
-        by(marked, table).withColumn(
-            "perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars")))
+        found.join(trusted, F.col("doc_id") == F.col("__doc_id"), "left").select(
+            "doc_id", "lang", "n_chars", F.coalesce("role", F.lit(0)).alias("role"), perplexity
         )
     )
     held = scores.filter("role = 2 AND perplexity IS NOT NULL")
