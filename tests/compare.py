@@ -51,7 +51,7 @@ def main():
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     registered, sqls = queries(), oracle_sql()
-    names = sys.argv[2:] or list(registered)
+    names = sys.argv[2:] or [name for name in registered if name in sqls]
     spark = local_session("compare", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
