@@ -288,6 +288,20 @@ ORACLE: dict[str, str] = {
     "union_sources": f"""
         SELECT 'reader' AS origin, doc_id AS id, source AS feed FROM documents
         UNION ALL SELECT 'rss', page_id, {HOST} FROM pages""",
+    "sample_with_documents": """
+        SELECT 'Built-in journal' AS source_name, 'journal-0001' AS external_id,
+               'How we moved the search index to a new database without downtime' AS title, 141 AS n_chars
+        UNION ALL SELECT source, doc_id::VARCHAR, 'T ' || doc_id, length(text) FROM documents""",
+    "missing_tables": "WITH found AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLE_NAMES)
+    + "), required AS (SELECT table_name FROM found UNION ALL VALUES ('archive'), ('ledger')) "
+    "SELECT table_name FROM required EXCEPT SELECT table_name FROM found WHERE n > 0",
+    "note_upsert": f"""
+        SELECT user_id::VARCHAR AS item_id, 'notes/' || event_type || '-' || event_id || '.md' AS path,
+               'written' AS status, {stamp("date_trunc('day', ts)")} AS updated_at
+        FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC,
+            CASE WHEN event_id % 2 = 0 THEN 'feedback' ELSE 'notes' END DESC, event_id DESC) = 1""",
     "table_inventory": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLE_NAMES
     ),

@@ -15,7 +15,8 @@ from feedloom.operators.skew import left_join_unique
 from feedloom.plans import fixtures as fx
 from feedloom.sources.feeds import parse_feeds
 from feedloom.sources.reader import parse_reader_pages
-from feedloom.sources.selection import union_items
+from feedloom.sources.selection import sample_items, union_items
+from feedloom.streaming import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +90,25 @@ def table_inventory(spark, sf_dir):
     return checks.table_inventory({n: fx.table(spark, sf_dir, n) for n in fx.TABLE_NAMES})
 
 
+@query
+def sample_with_documents(spark, sf_dir):
+    """The built-in item next to one item per document."""
+    docs = fx.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("source_name"), F.col("doc_id").cast("string").alias("external_id"),
+        F.concat(F.lit("T "), F.col("doc_id").cast("string")).alias("title"), F.length("text").alias("n_chars"),
+    )
+    sample = sample_items(spark).select("source_name", "external_id", "title", F.length("content").alias("n_chars"))
+    return union_items(sample, docs)
+
+
+@query
+def missing_tables(spark, sf_dir):
+    """Required tables that hold no row, or are not there."""
+    found = checks.table_inventory({n: fx.table(spark, sf_dir, n) for n in fx.TABLE_NAMES})
+    required = spark.createDataFrame([(n,) for n in [*fx.TABLE_NAMES, "archive", "ledger"]], "table_name string")
+    return checks.missing_keys(required, found.filter("n_rows > 0").select("table_name"))
+
+
 # ---- sinks ---------------------------------------------------------------------------------
 
 
@@ -118,6 +138,20 @@ def upsert_raw_merge(spark, sf_dir):
     )
 
 
+@query
+def note_upsert(spark, sf_dir):
+    """The newest note per item of a log by two writers."""
+    log = fx.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("item_id"),
+        F.concat(F.lit("notes/"), "event_type", F.lit("-"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"),
+        F.lit("written").alias("status"),
+        F.date_trunc("DAY", "ts").alias("updated_at"),
+        F.when(F.col("event_id") % 2 == 0, "feedback").otherwise("notes").alias("writer"),
+        F.col("event_id").alias("batch_id"),
+    )
+    return pipeline.current_notes(log).select("item_id", "path", "status", fx.stamp(F.col("updated_at")).alias("updated_at"))
+
+
 @query
 def raw_url_conflicts(spark, sf_dir):
     entries = fx.raw_entries(spark, sf_dir).select(
