@@ -184,15 +184,11 @@ def clean_documents(
     """
     rows, cut = _removed(docs, doc_id, text, host)
     good = _judged(rows, cut).filter(~F.col("base_failed") & (2 * F.col("n_lost_words") <= F.col("n_words")))
-    good = good.select(
-        F.col("doc_id").alias("__doc_id"), F.col("host").alias("__host"), F.col("text_hash").alias("__text_hash"), "__cut"
-    ).dropDuplicates(["__doc_id", "__host", "__text_hash"])
-    marked = docs.join(
-        materialize(good),
-        _same(
-            F.col(doc_id).cast("long"), F.col(host).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
-        ),
-    )
+    key = ["doc_id", "host", "text_hash"]
+    good = good.select(*[F.col(c).alias(f"__{c}") for c in key], "__cut").dropDuplicates([f"__{c}" for c in key])
+    text_hash = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    same = _same(F.col(doc_id).cast("long"), F.col(host).cast("string"), text_hash)
+    marked = docs.join(materialize(good), same)
 
     @F.pandas_udf("string")
     def stripped(texts, cuts):

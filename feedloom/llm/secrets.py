@@ -14,7 +14,12 @@ from feedloom.session import materialize
 
 KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
 BASE = [
-    Kind("assign", f"({KEYWORD})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m, g: F.length(g) >= 6, 2),
+    Kind(
+        "assign",
+        f"({KEYWORD})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        keep=lambda match, value: F.length(value) >= 6,
+        group=2,
+    ),
     # a shorter run of the same characters is no match of the rule, and holds none
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),

@@ -199,11 +199,8 @@ def scatter(window: int, short: int, shards: int, frequent: np.ndarray):
         at, hashes, masks, near = at[~late], hashes[~late], masks[~late], near[~late]
         for shard, own in _by_shard((hashes % np.uint64(shards)).astype(np.int64)):
             a = at[own]
-            rows.append(
-                _packed(
-                    shard, ANCHOR, hashes[own], ids[doc[a]], tags[doc[a]], place[a].astype(np.int32), masks[own], near[own]
-                )
-            )
+            where = ids[doc[a]], tags[doc[a]], place[a].astype(np.int32)
+            rows.append(_packed(shard, ANCHOR, hashes[own], *where, masks[own], near[own]))
 
         gone_doc, gone_place = np.concatenate(gone_doc), np.concatenate(gone_place)
         for d, own in _by_shard(gone_doc):
@@ -356,7 +353,8 @@ def without_repeats(
     Rows with equal ids do not remove each other's words. Other columns are not read, whatever their
     names. An empty table gives an empty result.
     """
-    places = repeated_places(docs, doc_id, text, window).groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
+    places = repeated_places(docs, doc_id, text, window).groupBy("doc_id", "tag")
+    places = places.agg(F.collect_list("places").alias("places"))
     found = materialize(places.select(F.col("doc_id").alias("__doc_id"), F.col("tag").alias("__tag"), "places"))
     rows = _tagged(docs, doc_id, text)
     joined = rows.join(found, (F.col("doc_id") == F.col("__doc_id")) & (F.col("tag") == F.col("__tag")), "left")
@@ -374,7 +372,8 @@ def without_repeats(
                 gone.append(lost)
                 hashes.append(hashlib.sha256(data).hexdigest())
                 kept_texts.append(data)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(hashes, pa.string())]
+            counts = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
+            arrays = [batch.column(0), *counts, pa.array(hashes, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if texts:
                 arrays.append(pa.array(kept_texts, pa.binary()).cast(pa.string()))

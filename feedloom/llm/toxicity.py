@@ -115,7 +115,8 @@ class Channel:
                 options = [("", 0.0), (" ", COST_BREAK)]
             else:
                 options = [("", COST_SKIP), (" ", COST_BREAK)]
-                options += [(c * k, COST_LEET + COST_REPEAT * (n > k)) for c in LEET.get(char, "") for k in {1, min(n, 2)}]
+                for k in {1, min(n, 2)}:
+                    options += [(c * k, COST_LEET + COST_REPEAT * (n > k)) for c in LEET.get(char, "")]
             lattice.append(options)
         return lattice
 
@@ -302,7 +303,8 @@ def toxicity(
         count = counted(channel, wanted)
         for batch in batches:
             x = table(count, batch.column(0).to_pylist()).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1)], ["x", "y"])
+            packed = pa.array([v.tobytes() for v in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["x", "y"])
 
     weights, bias = np.zeros(2 * len(names)), math.log((n1 + 0.5) / (n0 + 0.5))
     if names:

@@ -233,9 +233,8 @@ def links(classes: DataFrame, least: float) -> DataFrame:
         F.ceil(F.count_if(F.col("role") == 0) / BLOCK_ROWS).alias("n_lists"),
         F.ceil(F.count_if(F.col("role") == 1) / BLOCK_ROWS).alias("n_asks"),
     )
-    sizes = materialize(
-        sizes.filter("n_lists > 0 AND n_asks > 0").select(*[F.col(c).alias(f"__{c}") for c in place], "n_lists", "n_asks")
-    )
+    sizes = sizes.filter("n_lists > 0 AND n_asks > 0")
+    sizes = materialize(sizes.select(*[F.col(c).alias(f"__{c}") for c in place], "n_lists", "n_asks"))
     same = [F.col(c) == F.col(f"__{c}") for c in place]
     blocks = rows.join(sizes, same[0] & same[1] & same[2]).drop(*[f"__{c}" for c in place])
     is_list = F.col("role") == 0
