@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.session import materialize
@@ -13,14 +13,23 @@ RANGE_ROWS = 4096
 KEY_BITS = 60
 
 
+def random_key(doc_id: Column, seed: str) -> Column:
+    """Hash-random, the same for the same id and seed."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def with_sizes(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
-    """(doc_id, source, size, key): the key is hash-random, the same for the same id and seed."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    """(doc_id, source, size, key)."""
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+        word_count(F.col(text)).alias("size"),
+        random_key(F.col(doc_id), seed).alias("key"),
     )
 
 
@@ -103,6 +112,13 @@ def mix_sources(
     like any id. Rows with the same id are ordered by size, and equal rows may stand for each other.
     Other columns are not read, whatever their names. An empty table gives an empty result.
     """
+    mixed = _mixed(docs, doc_id, text, source, weights, share, most, seed)
+    taken = (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+def _mixed(docs, doc_id, text, source, weights=(3, 1, 2), share=(3, 2), most=2, seed="mix") -> DataFrame:
+    """The mix with the random key, the source's whole epochs, and the words taken in its last, partial one."""
     rows = materialize(with_sizes(docs, doc_id, text, source, seed))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialize(
@@ -139,35 +155,41 @@ def mix_sources(
     rest = budget - F.col("epochs") * F.col("source_size")
     last = F.least(F.greatest(rest - F.col("inside") - F.col("offset"), F.lit(0)), F.col("size"))
     return summed.withColumn("epochs", epochs).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
-    )
+        "doc_id", "source", "size", "source_size", "target", "key", "epochs", last.alias("last")
+    )
 
 
 def mixed_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **mix
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    seed: str = "mix",
+    **mix,
 ) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns unchanged.
 
     A document that the mix takes in part is not torn: it comes once more as a whole, so a source
     may run over its target by less than one document. Documents of which nothing is taken go.
     Rows with the same id, source and size come equally often. Nulls are handled as in the mix.
+
+    What a source takes in its last epoch is a range of the random order, so its end is all that
+    the rows have to know: one row per source goes to the texts, which do not move.
     """
-    kind = ["doc_id", "source", "size"]
-    mixed = mix_sources(docs, doc_id, text, source, **mix)
-    taken = mixed.groupBy(*kind).agg(F.sum("taken").alias("taken"), F.count("*").alias("n"))
-    times = materialize(
-        taken.filter("taken > 0").select(
-            *[F.col(c).alias(f"__mix_{c}") for c in kind],
-            F.ceil(F.col("taken") / F.col("size") / F.col("n")).cast("int").alias("__mix_times"),
+    order = ["key", "doc_id", "size"]
+    mixed = _mixed(docs, doc_id, text, source, seed=seed, **mix)
+    cuts = materialize(
+        mixed.groupBy(F.col("source").alias("__mix_source")).agg(
+            F.max("epochs").alias("__mix_epochs"),
+            F.max(F.when(F.col("last") > 0, F.struct(*order))).alias("__mix_cut"),
         )
     )
-    size = F.regexp_count(F.col(text).cast("string"), F.lit(WORD)).cast("long")
-    same = (
-        F.col(doc_id).cast("long").eqNullSafe(F.col("__mix_doc_id"))
-        & F.col(source).cast("string").eqNullSafe(F.col("__mix_source"))
-        & (F.col("__mix_own") == F.col("__mix_size"))
-    )
-    copies = docs.withColumn("__mix_own", size).join(times, same)
-    numbered = copies.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
+    whole = F.col(source).cast("string")
+    key, size = random_key(F.col(doc_id), seed), word_count(F.col(text))
+    place = F.struct(key.alias("key"), F.col(doc_id).cast("long").alias("doc_id"), size.alias("size"))
+    joined = docs.withColumn("__mix_place", place).join(cuts, whole.eqNullSafe(F.col("__mix_source")))
+    again = F.coalesce((F.col("__mix_place") <= F.col("__mix_cut")).cast("int"), F.lit(0))
+    times = F.when(F.col("__mix_place.size") > 0, F.col("__mix_epochs").cast("int") + again).otherwise(0)
+    kept = joined.withColumn("__mix_times", times).filter("__mix_times > 0")
+    numbered = kept.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
     return numbered.select(*[F.col(f"`{c}`") for c in docs.columns])
