@@ -24,7 +24,7 @@ LEAST_SHARDS = 1024
 # from this share of those documents, and this many of them; that decides only how it travels.
 SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST = 16, 0.002, 8
 
-ROW = "shard int, kind int, hashes binary, docs binary, tags binary, places binary, masks binary, near binary"
+ROW = "shard int, kind int, hashes binary, docs binary, tags binary, places binary, masks binary, windows binary"
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 ANCHOR, WINDOW, REMOVED = 0, 1, 2
 CUT = "doc_id long, tag int, places binary"
@@ -74,11 +74,11 @@ def anchors_of(words: np.ndarray, doc: np.ndarray, window: int, short: int) -> A
     n, width = words.size - window + 1, window - short + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return Anchors(none, none.astype(np.uint64), none.astype(np.uint8))
+        return Anchors(none, none.astype(np.uint64), none.astype(np.uint64))
     whole = np.flatnonzero(doc[:n] == doc[window - 1 :])
     hashes = window_hashes(words, short)
     if not whole.size:
-        return Anchors(none, none.astype(np.uint64), none.astype(np.uint8))
+        return Anchors(none, none.astype(np.uint64), none.astype(np.uint64))
     lowest, offset = hashes[whole], np.zeros(whole.size, np.int64)
     for k in range(1, width):
         other = hashes[whole + k]
@@ -86,20 +86,14 @@ def anchors_of(words: np.ndarray, doc: np.ndarray, window: int, short: int) -> A
         lowest, offset = np.where(less, other, lowest), np.where(less, k, offset)
     at = whole + offset
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    masks = np.bitwise_or.reduceat(np.uint8(1) << offset.astype(np.uint8), starts)
+    masks = np.bitwise_or.reduceat(np.uint64(1) << offset.astype(np.uint64), starts)
     return Anchors(at[starts], hashes[at[starts]], masks)
 
 
-def neighbours(words: np.ndarray, doc: np.ndarray, at: np.ndarray, short: int, reach: int) -> np.ndarray:
-    """16 bits of each of the ``reach`` words before an anchor, nearest first, and of those after it."""
-    out = np.zeros((at.size, 2 * reach), np.uint16)
-    bits = (words >> np.uint64(48)).astype(np.uint16)
-    for k in range(reach):
-        for column, place in ((k, at - 1 - k), (reach + k, at + short + k)):
-            inside = (place >= 0) & (place < words.size)
-            safe = np.where(inside, place, 0)
-            out[:, column] = np.where(inside & (doc[safe] == doc[at]), bits[safe], 0)
-    return out
+def long_windows(masks: np.ndarray, offsets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and offsets of all bits that are set, by row, then offset."""
+    every = np.arange(offsets, dtype=masks.dtype)
+    return np.nonzero(masks[:, None] >> every & masks.dtype.type(1))
 
 
 def later(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -114,14 +108,6 @@ def later(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def of_windows(hashes: np.ndarray, near: np.ndarray, j: int, reach: int) -> np.ndarray:
-    """Hash of the long window that starts j words before each anchor, from the anchor and its neighbours."""
-    keys = hashes + np.uint64(j)
-    for column in [*range(j), *range(reach, 2 * reach - j)]:
-        keys = keys * STEP + near[:, column]
-    return mixed(keys)
-
-
 def _packed(shard: int, kind: int, *arrays: np.ndarray) -> list:
     return [shard, kind, *[a.tobytes() for a in arrays], *[None] * (6 - len(arrays))]
 
@@ -151,12 +137,13 @@ def _read(batch: pa.RecordBatch, known: WordHashes) -> tuple[np.ndarray, ...]:
 
 
 def scatter(window: int, short: int, shards: int, frequent: np.ndarray):
-    """Anchors and frequent windows of each batch, packed by shard.
+    """Anchors with the hashes of their long windows, and frequent windows, packed by shard.
 
     What a smaller document of the same batch already has is settled here and travels as removed
     places, so a passage or a group of copies of any size sends few rows per batch.
     """
-    reach = window - short
+    offsets = window - short + 1
+    mask = np.uint8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -170,39 +157,37 @@ def scatter(window: int, short: int, shards: int, frequent: np.ndarray):
         found = anchors_of(words, doc, window, short)
         if not found.places.size:
             return
-        rows, gone_doc, gone_place = [], [], []
+        rows = []
         often = np.isin(found.hashes, frequent)
 
-        # frequent anchors: each long window by itself
-        starts = [found.places[often & (found.masks >> j & 1 == 1)] - j for j in range(reach + 1)]
-        starts = np.concatenate(starts)
-        keys = window_hashes(words, window)[starts] if starts.size else np.zeros(0, np.uint64)
+        anchor, offset = long_windows(found.masks, offsets)
+        starts = found.places[anchor] - offset
+        keys = window_hashes(words, window)[starts]
         late = later(keys, ids[doc[starts]])
-        gone_doc.append(doc[starts[late]])
-        gone_place.append(place[starts[late]])
-        starts, keys = starts[~late], keys[~late]
-        for shard, own in _by_shard((keys % np.uint64(shards)).astype(np.int64)):
-            s = starts[own]
-            rows.append(_packed(shard, WINDOW, keys[own], ids[doc[s]], tags[doc[s]], place[s].astype(np.int32)))
-
-        # the others: the anchor with its neighbours
-        at, hashes, masks = found.places[~often], found.hashes[~often], found.masks[~often]
-        near = neighbours(words, doc, at, short, reach)
-        same = hashes.copy()
-        for column in range(2 * reach):
-            same = same * STEP + near[:, column]
-        late = later(mixed(same + masks), ids[doc[at]])
-        for j in range(reach + 1):
-            own = at[late & (masks >> j & 1 == 1)]
-            gone_doc.append(doc[own])
-            gone_place.append(place[own] - j)
-        at, hashes, masks, near = at[~late], hashes[~late], masks[~late], near[~late]
+        gone_doc, gone_place = doc[starts[late]], place[starts[late]]
+        anchor, offset, starts, keys = (x[~late] for x in (anchor, offset, starts, keys))
+
+        # frequent anchors: each long window by itself
+        alone = often[anchor]
+        for shard, own in _by_shard((keys[alone] % np.uint64(shards)).astype(np.int64)):
+            s = starts[alone][own]
+            rows.append(_packed(shard, WINDOW, keys[alone][own], ids[doc[s]], tags[doc[s]], place[s].astype(np.int32)))
+
+        # the others: the anchor with the hashes of the long windows that are left to it
+        anchor, offset, keys = anchor[~alone], offset[~alone], keys[~alone]
+        firsts = np.flatnonzero(np.diff(anchor, prepend=-1))
+        ends = np.append(firsts[1:], anchor.size)
+        at, hashes = found.places[anchor[firsts]], found.hashes[anchor[firsts]]
+        masks = np.zeros(firsts.size, np.uint64)
+        if firsts.size:
+            masks = np.bitwise_or.reduceat(np.uint64(1) << offset.astype(np.uint64), firsts)
         for shard, own in _by_shard((hashes % np.uint64(shards)).astype(np.int64)):
             a = at[own]
             where = ids[doc[a]], tags[doc[a]], place[a].astype(np.int32)
-            rows.append(_packed(shard, ANCHOR, hashes[own], *where, masks[own], near[own]))
+            windows = np.concatenate([keys[firsts[i] : ends[i]] for i in own])
+            short_hashes = (hashes[own] >> np.uint64(32)).astype(np.uint32)
+            rows.append(_packed(shard, ANCHOR, short_hashes, *where, masks[own].astype(mask), windows))
 
-        gone_doc, gone_place = np.concatenate(gone_doc), np.concatenate(gone_place)
         for d, own in _by_shard(gone_doc):
             places = gone_place[own].astype(np.int32)
             shard = int(mixed(ids[d : d + 1].view(np.uint64))[0] % np.uint64(shards))
@@ -213,8 +198,12 @@ def scatter(window: int, short: int, shards: int, frequent: np.ndarray):
 
 
 def gather(window: int, short: int):
-    """Per shard: anchors that several documents have are extended to their long windows and compared."""
-    reach = window - short
+    """Per shard: anchors that several documents have go on to their long windows, whose hashes are compared.
+
+    32 bits of an anchor's hash travel, which decide nothing but which windows are looked at.
+    """
+    offsets = window - short + 1
+    mask = np.uint8
 
     def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         docs, tags, places = [], [], []
@@ -229,18 +218,17 @@ def gather(window: int, short: int):
             tags.append(take(own, np.int32, "tags")[late])
             places.append(take(own, np.int32, "places")[late])
         if own := [r for r in rows if r["kind"] == ANCHOR]:
-            hashes, d = take(own, np.uint64, "hashes"), take(own, np.int64, "docs")
-            t, p, m = take(own, np.int32, "tags"), take(own, np.int32, "places"), take(own, np.uint8, "masks")
-            near = take(own, np.uint16, "near").reshape(-1, 2 * reach)
+            hashes, d = take(own, np.uint32, "hashes"), take(own, np.int64, "docs")
+            t, p, m = take(own, np.int32, "tags"), take(own, np.int32, "places"), take(own, mask, "masks")
             # windows that are repeated at the short length alone go on to the long one
             shared = later(hashes, d) | later(hashes, -1 - d)
-            hashes, d, t, p, m, near = (x[shared] for x in (hashes, d, t, p, m, near))
-            for j in range(reach + 1):
-                has = m >> j & 1 == 1
-                late = later(of_windows(hashes[has], near[has], j, reach), d[has])
-                docs.append(d[has][late])
-                tags.append(t[has][late])
-                places.append(p[has][late] - np.int32(j))
+            anchor, offset = long_windows(m, offsets)
+            on = shared[anchor]
+            anchor, offset = anchor[on], offset[on]
+            late = later(take(own, np.uint64, "windows")[on], d[anchor])
+            docs.append(d[anchor[late]])
+            tags.append(t[anchor[late]])
+            places.append((p[anchor] - offset)[late].astype(np.int32))
         done = [r for r in rows if r["kind"] == REMOVED]
         out = [
             (int(np.frombuffer(r["docs"], np.int64)[0]), int(np.frombuffer(r["tags"], np.int32)[0]), r["places"])
@@ -319,8 +307,8 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, tag, places): starts of windows that also start in a document with a smaller id.
 
     Windows of ``window`` words are found from windows of half the length, doubled. In each long
-    window the short one with the smallest hash is its anchor; only anchors that several documents
-    share are extended to their long windows, which are then compared. ``places`` are 32-bit numbers
+    window the short one with the smallest hash is its anchor; only of anchors that several documents
+    share are the long windows compared, by the whole 64 bits of their hashes. ``places`` are 32-bit numbers
     of words. Anchors travel packed, by shards of about ``SHARD_ROWS`` anchors.
     """
     short = (window + 1) // 2

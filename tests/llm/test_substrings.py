@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from feedloom.llm import substrings
 
@@ -79,3 +80,27 @@ def test_window_hashes_depend_on_the_window_alone():
         hashes = substrings.window_hashes(words, length)
         again = np.concatenate([substrings.window_hashes(words[k : k + length], length) for k in range(500 - length + 1)])
         assert (hashes == again).all() and np.unique(hashes).size == hashes.size
+
+
+def alike(n):
+    """Pairs of words that agree in 16 bits of their hashes."""
+    seen, out = {}, []
+    for i in range(100_000):
+        word = f"word{i}"
+        key = xxhash.xxh64_intdigest(word.encode()) >> 48
+        if key in seen:
+            out.append((seen.pop(key), word))
+        else:
+            seen[key] = word
+    return out[:n]
+
+
+@pytest.mark.parametrize("together", [4, 1024])
+def test_windows_that_differ_in_one_word_are_apart(spark, monkeypatch, together):
+    monkeypatch.setattr(substrings, "TOGETHER", together)
+    rows = []
+    for i, (one, other) in enumerate(alike(60)):
+        passage = " ".join(f"p{i}x{k}" for k in range(12))
+        rows += [(i, f"{passage} {one}"), (1000 + i, f"{passage} {other}"), (2000 + i, f"{passage} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substrings.without_repeats(docs).collect()), key=repr) == plain(rows)
