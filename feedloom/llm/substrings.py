@@ -28,6 +28,8 @@ ROW = "shard int, kind int, hashes binary, docs binary, tags binary, places bina
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 ANCHOR, WINDOW, REMOVED = 0, 1, 2
 CUT = "doc_id long, tag int, places binary"
+# Offsets of an anchor in its windows, one bit each.
+MOST_OFFSETS = 64
 
 
 class WordHashes(dict):
@@ -90,6 +92,15 @@ def anchors_of(words: np.ndarray, doc: np.ndarray, window: int, short: int) -> A
     return Anchors(at[starts], hashes[at[starts]], masks)
 
 
+def anchor_length(window: int) -> int:
+    """Half the window, or so much more that the offsets of an anchor fit into its mask."""
+    return max((window + 1) // 2, window - MOST_OFFSETS + 1)
+
+
+def mask_type(offsets: int) -> np.dtype:
+    return next(np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.uint64) if offsets <= 8 * np.dtype(k).itemsize)
+
+
 def long_windows(masks: np.ndarray, offsets: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows and offsets of all bits that are set, by row, then offset."""
     every = np.arange(offsets, dtype=masks.dtype)
@@ -143,7 +154,7 @@ def scatter(window: int, short: int, shards: int, frequent: np.ndarray):
     places, so a passage or a group of copies of any size sends few rows per batch.
     """
     offsets = window - short + 1
-    mask = np.uint8
+    mask = mask_type(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -203,7 +214,7 @@ def gather(window: int, short: int):
     32 bits of an anchor's hash travel, which decide nothing but which windows are looked at.
     """
     offsets = window - short + 1
-    mask = np.uint8
+    mask = mask_type(offsets)
 
     def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         docs, tags, places = [], [], []
@@ -311,7 +322,7 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share are the long windows compared, by the whole 64 bits of their hashes. ``places`` are 32-bit numbers
     of words. Anchors travel packed, by shards of about ``SHARD_ROWS`` anchors.
     """
-    short = (window + 1) // 2
+    short = anchor_length(window)
     rows = _tagged(docs, doc_id, text).filter(F.col("doc_id").isNotNull())
     frequent, total = frequent_windows(rows, window, short)
     shards = max(LEAST_SHARDS, -(-total // SHARD_ROWS))

@@ -104,3 +104,15 @@ def test_windows_that_differ_in_one_word_are_apart(spark, monkeypatch, together)
         rows += [(i, f"{passage} {one}"), (1000 + i, f"{passage} {other}"), (2000 + i, f"{passage} {one}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, substrings.without_repeats(docs).collect()), key=repr) == plain(rows)
+
+
+@pytest.mark.parametrize("window", [16, 50, 150])
+def test_long_windows(spark, window):
+    rnd = random.Random(window)
+    some = lambda n: [f"w{rnd.randrange(500)}" for _ in range(n)]
+    passages = [some(n) for n in (window - 1, window, window + 1, 3 * window)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join([*some(rnd.randrange(20)), *rnd.choice(passages), *some(9), *rnd.choice(passages)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substrings.without_repeats(docs, window=window).collect()), key=repr) == plain(rows, window)
