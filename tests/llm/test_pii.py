@@ -155,3 +155,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(empty).count() == 0
     assert pii.redact_documents(empty).count() == 0
+
+
+def test_discovery_goes_on_to_its_end(spark):
+    """Each layer of identifiers is known only by patterns of the one before."""
+    layers = [[f"user{j}@host.org" for j in range(4)], *[[f"v{k}x{j}" for j in range(4)] for k in range(1, 10)]]
+    texts = []
+    for k in range(1, 10):
+        for j in range(4):
+            before = f"so {'abcdefghij'[k] * 3} {'wxyz'[j] * 3}"
+            texts += [f"{before} {x} then" for x in [*layers[k - 1], layers[k][j]]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.personal_data(docs).collect()
+    assert all(r.spans.startswith("email:" if r.n_email else "found_email:") for r in got)
