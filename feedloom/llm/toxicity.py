@@ -26,7 +26,6 @@ LEET = {
 }
 # What the channel's steps cost, as negative logarithms.
 COST_LEET, COST_SKIP, COST_BREAK, COST_REPEAT, COST_DOUBLE = 1.0, 1.5, 0.7, 0.5, 4.0
-BEAM, LONGEST = 12, 64
 # Single characters with white space between them, three or more.
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t ]\S){2,}(?!\S)")
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$") + "«»“”‘’„¿¡…–—"
@@ -120,24 +119,32 @@ class Channel:
             lattice.append(options)
         return lattice
 
-    def decode(self, token: str) -> list[str]:
-        paths = {0: (0.0, "")}
-        for options in [*self.readings(token), [(" ", 0.0)]]:
-            after: dict[int, tuple[float, str]] = {}
-            for context, (cost, text) in paths.items():
+    def best(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, list[str]]:
+        """Cost and words of the cheapest path; all contexts are kept, and a path is a chain of its steps."""
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for options in [*lattice, [(" ", 0.0)]]:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for context, (cost, path) in paths.items():
                 for out, extra in options:
                     state, total = context, cost + extra
                     for char in out:
                         if char == " " and state % SYMBOLS == BOUNDARY:
                             continue
                         s = BOUNDARY if char == " " else symbol(char)
-                        total += self.model[state, s]
+                        total += self.model.item(state, s)
                         state = (state * SYMBOLS + s) % CONTEXTS
-                    if state not in after or (total, text + out) < after[state]:
-                        after[state] = (total, text + out)
-            best = sorted(after.items(), key=lambda x: x[1])[:BEAM]
-            paths = dict(best)
-        return min(paths.values())[1].split()
+                    if state not in after or total < after[state][0]:
+                        after[state] = (total, (path, out) if out else path)
+            paths = after
+        cost, path = min(paths.values(), key=lambda x: x[0])
+        text = []
+        while path:
+            path, out = path
+            text.append(out)
+        return cost, "".join(reversed(text)).split()
+
+    def decode(self, token: str) -> list[str]:
+        return self.best(self.readings(token))[1]
 
     def words(self, token: str) -> list[str]:
         """Restored words of a lower-cased token; one without letters has none."""
@@ -145,10 +152,7 @@ class Channel:
         core = token.rstrip(EDGES).lstrip(EDGES.replace("!", ""))
         if core.isalpha() and not re.search(r"(.)\1\1", core):
             return [core]
-        if not any(c.isalpha() for c in core):
-            return []
-        # very long tokens are read piece by piece
-        return [w for at in range(0, len(core), LONGEST) for w in self.decode(core[at : at + LONGEST])]
+        return self.decode(core) if any(c.isalpha() for c in core) else []
 
     def spaced(self, text: str) -> tuple[str, list[str]]:
         """The text without its spaced-out words, and those words restored."""
@@ -158,8 +162,7 @@ class Channel:
             run = match[0]
             if not any(c.isalpha() for c in run):
                 return run
-            for at in range(0, len(run), LONGEST):
-                found.extend(self.decode(run[at : at + LONGEST]))
+            found.extend(self.decode(run))
             return " "
 
         return SPACED.sub(take, text), found

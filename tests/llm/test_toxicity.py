@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -94,3 +95,30 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], schema)
     assert {r.score for r in tox.toxicity(docs, none).collect()} == {0.5}
     assert tox.toxicity(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_long_runs_are_decoded_in_one_pass(model):
+    channel = tox.Channel(model)
+    assert channel.restored("i d i o t " * 20 + ".") == ["idiot"] * 20
+    assert channel.restored("1d10t-" * 30) == ["idiot"] * 30
+
+
+def test_no_path_is_lost(model):
+    channel = tox.Channel(model)
+    rnd = random.Random(4)
+
+    def cost(text):
+        state = total = 0
+        for char in text:
+            s = 0 if char == " " else tox.symbol(char)
+            if s or state % tox.SYMBOLS:
+                total += float(model[state, s])
+                state = (state * tox.SYMBOLS + s) % tox.CONTEXTS
+        return total
+
+    for _ in range(20):
+        lattice = channel.readings("".join(rnd.choices("1|!0$a(+", k=6)))
+        every = [("", 0.0)]
+        for options in lattice:
+            every = [(t + o, c + e) for t, c in every for o, e in options]
+        assert channel.best(lattice)[0] == pytest.approx(min(c + cost(t + " ") for t, c in every), abs=1e-4)
