@@ -26,9 +26,12 @@ LEET = {
 }
 # What the channel's steps cost, as negative logarithms.
 COST_LEET, COST_SKIP, COST_BREAK, COST_REPEAT, COST_DOUBLE = 1.0, 1.5, 0.7, 0.5, 4.0
+# Per character, what it costs to leave a token with a digit and without a letter as it is.
+COST_PLAIN = math.log(10)
 # Single characters with white space between them, three or more.
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t ]\S){2,}(?!\S)")
-EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$") + "«»“”‘’„¿¡…–—"
+# What can be stripped from a token: it stands for no letter.
+EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET) + "«»“”‘’„¿¡…–—"
 # Labelled rows that the classifier is fitted on, at most about; the words it weighs.
 SAMPLE_ROWS, FEATURES = 12_000, 256
 MIN_Z, MIN_DOCS, RIDGE, STEPS = 3.0, 4, 1.0, 15
@@ -146,13 +149,23 @@ class Channel:
     def decode(self, token: str) -> list[str]:
         return self.best(self.readings(token))[1]
 
+    def letterless(self, token: str) -> list[str]:
+        """What is written without any letter: read as letters where it can be, or a number as it is."""
+        if not any(c in LEET for c in token):
+            return []
+        lattice = self.readings(token)
+        # a character that can be a letter is one, or else nothing would be the likeliest word
+        lattice = [[o for o in options if o[0].strip()] or options for options in lattice]
+        cost, words = self.best(lattice)
+        size = sum(not c.isspace() for c in token)
+        return [] if any(c.isdigit() for c in token) and COST_PLAIN * size <= cost else words
+
     def words(self, token: str) -> list[str]:
-        """Restored words of a lower-cased token; one without letters has none."""
-        # an exclamation mark closes a word, but does not open one
-        core = token.rstrip(EDGES).lstrip(EDGES.replace("!", ""))
-        if core.isalpha() and not re.search(r"(.)\1\1", core):
+        """Restored words of a lower-cased token."""
+        core = token.strip(EDGES)
+        if core.isalpha() and not re.search(r"(.)\1", core):
             return [core]
-        return self.decode(core) if any(c.isalpha() for c in core) else []
+        return self.decode(core) if any(c.isalpha() for c in core) else self.letterless(core)
 
     def spaced(self, text: str) -> tuple[str, list[str]]:
         """The text without its spaced-out words, and those words restored."""
@@ -160,9 +173,10 @@ class Channel:
 
         def take(match: re.Match) -> str:
             run = match[0]
-            if not any(c.isalpha() for c in run):
+            words = self.decode(run) if any(c.isalpha() for c in run) else self.letterless(run)
+            if not words:
                 return run
-            found.extend(self.decode(run))
+            found.extend(words)
             return " "
 
         return SPACED.sub(take, text), found

@@ -122,3 +122,13 @@ def test_no_path_is_lost(model):
         for options in lattice:
             every = [(t + o, c + e) for t, c in every for o, e in options]
         assert channel.best(lattice)[0] == pytest.approx(min(c + cost(t + " ") for t, c in every), abs=1e-4)
+
+
+def test_letterless_doubled_and_edge_disguises_are_read(model):
+    counts = tox.character_counts(["ass twit shit and the"] * 2000, tox._classes())
+    channel = tox.Channel(tox.costs(counts.astype(float)))
+    for token, word in [("@$$", "ass"), ("455", "ass"), ("@ $ $", "ass"), ("4 5 5", "ass"), ("sh!+", "shit"), ("+w1t", "twit")]:
+        assert channel.restored(token) == [word], token
+    assert channel.restored("2019 34.5 - - - 1 2 3 ...") == []
+    assert channel.restored("(and) the! the+") == ["and", "the", "the"]
+    assert tox.Channel(model).restored("iiddiioott") == ["idiot"]
