@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,11 @@ COST_PLAIN = math.log(10)
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t ]\S){2,}(?!\S)")
 # What can be stripped from a token: it stands for no letter.
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET) + "«»“”‘’„¿¡…–—"
-# Labelled rows that the classifier is fitted on, at most about; the words it weighs.
-SAMPLE_ROWS, FEATURES = 12_000, 256
+# Labelled rows that the classifier is fitted on, at most about.
+SAMPLE_ROWS = 12_000
 MIN_Z, MIN_DOCS, RIDGE, STEPS = 3.0, 4, 1.0, 15
+# Conjugate gradients: how far a step's remainder falls, and after how many turns it is taken as it is.
+SMALL, TURNS = 1e-9, 500
 REMEMBERED = 300_000
 
 
@@ -220,10 +223,9 @@ def counted(channel: Channel, wanted: dict[str, int] | None = None):
     return count
 
 
-def values(n_words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per feature how often, and how densely."""
-    dense = 1000 * counts / (n_words[:, None] + 50)
-    return np.concatenate([np.log1p(counts), np.log1p(dense)], 1)
+def values(n_words: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per known feature of a text how often, and how densely."""
+    return np.log1p(counts), np.log1p(1000 * counts / (n_words + 50))
 
 
 def pick_features(rows: DataFrame, channel: Channel, n1: int, n0: int) -> list[str]:
@@ -244,29 +246,68 @@ def pick_features(rows: DataFrame, channel: Channel, n1: int, n0: int) -> list[s
     sums = rows.select("text", "toxic").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature")
     scored = sums.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n1") >= MIN_DOCS)
     scored = scored.withColumn("z", (p1 - p0) / error).filter(F.col("z") >= MIN_Z)
-    best = scored.orderBy(F.col("z").desc(), "feature").limit(FEATURES)
-    return [r["feature"] for r in best.collect()]
+    return [r["feature"] for r in scored.select("feature").orderBy("feature").collect()]
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+@dataclass
+class Sparse:
+    """A matrix by the rows, columns and values of what is not 0."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * v[self.columns], self.shape[0])
+
+    def turned(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * v[self.rows], self.shape[1])
+
+
+def solved(product, diagonal: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Conjugate gradients with the diagonal as preconditioner."""
+    x, rest = np.zeros_like(right), right.copy()
+    near = rest / diagonal
+    way, size = near.copy(), rest @ near
+    least = SMALL**2 * size
+    for _ in range(TURNS):
+        if size <= least:
+            break
+        bent = product(way)
+        step = size / (way @ bent)
+        x += step * way
+        rest -= step * bent
+        near = rest / diagonal
+        size, before = rest @ near, size
+        way = near + size / before * way
+    return x
+
+
+def fit(x: Sparse, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton's method; no weight is negative, so that no word excuses another.
 
-    The rows are gone through in parts, so that single precision is enough to hold them.
+    Memory follows what is not 0 in the rows, however many features there are.
     """
     n = x.shape[1] + 1
     w, ridge = np.zeros(n), np.full(n, RIDGE)
     w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     ridge[-1] = 1e-6
+    squares = Sparse(x.rows, x.columns, x.values**2, x.shape)
     for _ in range(STEPS):
-        slope, bend = ridge * w, np.diag(ridge)
-        for at in range(0, len(x), 1024):
-            part = np.concatenate([x[at : at + 1024].astype(np.float64), np.ones((len(x[at : at + 1024]), 1))], 1)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            slope += part.T @ (p - y[at : at + 1024])
-            bend += (part * (p * (1 - p))[:, None]).T @ part
+        p = 1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -30, 30)))
+        bend = p * (1 - p)
+        slope = ridge * w + np.append(x.turned(p - y), (p - y).sum())
         free = (w > 0) | (slope < 0)
         free[-1] = True
-        w[free] -= np.linalg.solve(bend[np.ix_(free, free)], slope[free])
+
+        def product(v, bend=bend, free=free):
+            v = np.where(free, v, 0.0)
+            u = bend * (x.times(v[:-1]) + v[-1])
+            return np.where(free, ridge * v + np.append(x.turned(u), u.sum()), 0.0)
+
+        diagonal = ridge + np.append(squares.turned(bend), bend.sum())
+        w -= solved(product, diagonal, np.where(free, slope, 0.0))
         w[:-1] = np.maximum(w[:-1], 0)
     return w[:-1], float(w[-1])
 
@@ -309,36 +350,40 @@ def toxicity(
     names = pick_features(sample, channel, round(n1 * keep1), round(n0 * keep0)) if n1 and n0 else []
     wanted = {f: i for i, f in enumerate(names)}
 
-    def table(count, texts: list[str]) -> np.ndarray:
-        sizes, out = np.zeros(len(texts)), np.zeros((len(texts), len(names)))
-        for i, t in enumerate(texts):
-            sizes[i], found = count(t or "")
-            out[i, list(found.keys())] = list(found.values())
-        return values(sizes, out)
+    def known_in(count, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and values of a text: per feature its number, then its density."""
+        size, found = count(text or "")
+        numbers = np.array(sorted(found), np.int64)
+        counts = np.array([found[i] for i in numbers.tolist()], np.float64)
+        return np.concatenate([numbers, numbers + len(names)]), np.concatenate(values(size, counts))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counted(channel, wanted)
         for batch in batches:
-            x = table(count, batch.column(0).to_pylist()).astype(np.float32)
-            packed = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["x", "y"])
+            every = [known_in(count, t) for t in batch.column(0).to_pylist()]
+            columns = pa.array([c.astype(np.int32).tobytes() for c, _ in every], pa.binary())
+            packed = pa.array([v.astype(np.float32).tobytes() for _, v in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([columns, packed, batch.column(1)], ["columns", "x", "y"])
 
     weights, bias = np.zeros(2 * len(names)), math.log((n1 + 0.5) / (n0 + 0.5))
     if names:
-        fitted = sample.select("text", "toxic").mapInArrow(vectors, "x binary, y int").toPandas()
+        fitted = sample.select("text", "toxic").mapInArrow(vectors, "columns binary, x binary, y int").toPandas()
         # sums do not depend on the order in which tasks end
-        fitted = fitted.sort_values(["y", "x"])
+        fitted = fitted.sort_values(["y", "columns", "x"])
         y = fitted["y"].to_numpy(np.float64)
-        x = np.frombuffer(b"".join(fitted.pop("x")), np.float32).reshape(len(y), -1)
-        weights, bias = fit(x, y)
+        rows_of = np.repeat(np.arange(len(y)), [len(c) // 4 for c in fitted["columns"]])
+        columns = np.frombuffer(b"".join(fitted.pop("columns")), np.int32)
+        x = np.frombuffer(b"".join(fitted.pop("x")), np.float32).astype(np.float64)
+        weights, bias = fit(Sparse(rows_of, columns, x, (len(y), 2 * len(names))), y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counted(channel, wanted)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                x = table(count, batch.column(1).to_pylist())
-                scores = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
+                every = [known_in(count, t) for t in batch.column(1).to_pylist()]
+                sums = np.array([weights[c] @ v for c, v in every])
+                scores = 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30)))
                 held = [held_out(i) for i in batch.column(0).to_pylist()]
                 arrays = [batch.column(0), pa.array(held), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted"])

@@ -132,3 +132,16 @@ def test_letterless_doubled_and_edge_disguises_are_read(model):
     assert channel.restored("2019 34.5 - - - 1 2 3 ...") == []
     assert channel.restored("(and) the! the+") == ["and", "the", "the"]
     assert tox.Channel(model).restored("iiddiioott") == ["idiot"]
+
+
+def test_every_word_that_stands_out_is_weighed(spark):
+    rnd = random.Random(6)
+    toxic = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)) for _ in range(150)]
+    rows = [(i, "the and of " + " ".join(rnd.sample(toxic, 4))) for i in range(1200)]
+    rows += [(2000 + i, "the and of on the") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i, _ in rows], "doc_id long, toxic int")
+    alone = spark.createDataFrame([(5000 + i, f"the and of on {w}") for i, w in enumerate(toxic)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in tox.toxicity(docs.unionByName(alone), labels).collect()}
+    clean = max(s for i, s in scores.items() if 2000 <= i < 5000)
+    assert min(s for i, s in scores.items() if i >= 5000) > clean
