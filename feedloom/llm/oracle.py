@@ -151,7 +151,81 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN written USING (rid)
 """
 
+FILTER_AUDIT = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), known AS (
+    SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), judged AS (
+    SELECT rid, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           map {
+               'A': len(w) < 200,
+               'B': 100 * len(list_distinct(w)) < 50 * len(w),
+               'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+               'D': regexp_matches(t, '[#$%&*|]'),
+               'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)
+           } AS fails
+    FROM docs d LEFT JOIN known k ON d.doc_id = k.doc_id
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), kinds AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM judged GROUP BY part, fails
+), firsts AS (
+    SELECT part, filter_order, fails, n, good, toxic,
+           list_position([fails[c] FOR c IN string_split(filter_order, '')], true) AS hit
+    FROM kinds, orders
+), steps AS (
+    SELECT part, filter_order, step, filter_order[step] AS letter,
+           sum(n) FILTER (hit IS NULL OR hit > step) AS kept, sum(n) FILTER (hit = step) AS removed,
+           sum(n) FILTER (hit < step AND fails[filter_order[step]]) AS redundant,
+           sum(n) FILTER (fails[filter_order[step]] AND len(list_filter(map_values(fails), lambda f: f)) = 1) AS unique_fails,
+           sum(good) FILTER (hit = step) AS good_lost, sum(toxic) FILTER (hit = step) AS toxic_lost
+    FROM firsts, range(1, 6) AS r(step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM steps
+"""
+
+CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+CHAT_FORMAT = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), loss AS (
+    SELECT conv_id, string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = 'assistant') AS t
+    FROM rows GROUP BY conv_id
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || rows.t || chr(10), '' ORDER BY turn NULLS FIRST, role, rows.t)) AS turns_sha256,
+       coalesce(any_value(length(loss.t)), 0)::BIGINT AS loss_chars, sha256(coalesce(any_value(loss.t), '')) AS loss_sha256,
+       sum(32 + length({_escaped("role")}) + length({_escaped("rows.t")}))::BIGINT AS formatted_chars
+FROM rows JOIN loss USING (conv_id) GROUP BY conv_id
+"""
+
 ORACLE = {
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_chat_format": CHAT_FORMAT,
     "op6_secrets": SECRETS,
     "op3_mix_sources": MIX_SOURCES,
     "op4_substrings": SUBSTRINGS,

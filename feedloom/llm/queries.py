@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.llm.audit import filter_audit
+from feedloom.llm.chat import conversation_digests
 from feedloom.llm.mixing import mix_sources
 from feedloom.llm.perplexity import perplexity_filter
 from feedloom.llm.pieces import encode_documents
+from feedloom.llm.periods import periodic_runs
 from feedloom.llm.pii import personal_data
 from feedloom.llm.quality import quality_rules
 from feedloom.llm.secrets import secret_spans
@@ -60,6 +63,18 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_filter(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,5 +88,8 @@ QUERIES = {
         op8_sentencepiece,
         op9_vectors,
         op10_perplexity,
+        op11_filter_audit,
+        op12_chat_format,
+        op13_periodic_runs,
     )
 }
