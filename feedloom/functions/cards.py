@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.html import with_html_text
+from feedloom.functions.params import DIGEST_MAX
 from feedloom.functions.text import SPACE_CLASS, first_filled, normalize_text, truncate_normalized, truncate_text
 
 # Labels and fallbacks shown on cards.
@@ -195,8 +196,8 @@ def with_digest_line(items: DataFrame) -> DataFrame:
 
 
 def digest_card(lines: DataFrame, keys: list[str] | None = None, title: str = DIGEST_TITLE) -> DataFrame:
-    """One digest card per key from at most 20 numbered lines each."""
-    grouped = lines.groupBy(*(keys or [])).agg(
+    """One digest card per key from its numbered lines, of which those up to ``DIGEST_MAX`` are taken."""
+    grouped = lines.filter(F.col("idx") <= DIGEST_MAX).groupBy(*(keys or [])).agg(
         F.count("*").alias("n_items"),
         F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("__lines"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.payload import is_filled
 from feedloom.functions.text import bind, col_of
 
 # Named zones of RFC 822 as minutes east of UTC.
@@ -118,5 +119,22 @@ def parse_datetime(value: Column | str) -> Column:
 
 
 def epoch_datetime(*values: Column) -> Column:
-    """The first non-zero epoch second as a timestamp."""
-    return F.timestamp_seconds(F.coalesce(*[F.nullif(v, F.lit(0.0)) for v in values]))
+    """The first filled JSON value (VARIANT) as epoch seconds; null where that is not a number.
+
+    Missing, null, zero, false and empty values go on to the next one; a text never does.
+    """
+
+    def scalar(value: Column) -> Column:
+        return F.struct(
+            F.try_variant_get(value, "$", "string").alias("value"), F.schema_of_variant(value).alias("type")
+        )
+
+    chosen = F.coalesce(*[F.when(is_filled(scalar(v)), scalar(v)) for v in values])
+
+    def instant(found: Column) -> Column:
+        number = F.when(found["type"] == "BOOLEAN", F.lit(1.0)).when(
+            found["type"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), found["value"].try_cast("double")
+        )
+        return F.timestamp_seconds(number)
+
+    return bind(chosen, instant)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import col_of, strip_text
 
+# Fixed value: items of one digest, at most.
+DIGEST_MAX = 20
+
 
 def parse_int(value: Column | str) -> Column:
     """Whole number written in decimal digits, else null."""
@@ -34,4 +37,4 @@ def clamp(value: int | str | None, default: int, low: int, high: int) -> int:
 
 
 def digest_limit(value: int | str | None) -> int:
-    return clamp(value, default=10, low=1, high=20)
+    return clamp(value, default=10, low=1, high=DIGEST_MAX)

@@ -30,13 +30,15 @@ def first_scalar(payload: Column, *keys: str) -> Column:
 
 
 def is_filled(scalar: Column) -> Column:
-    """True unless the scalar is missing, null, empty, zero or false."""
+    """True unless the value is missing, null, empty, zero or false."""
     value, kind = scalar["value"], scalar["type"]
+    nothing = kind.rlike("^(ARRAY|OBJECT)") & value.isin("[]", "{}")
     zero = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (value.try_cast("double") == 0)
     false = (kind == "BOOLEAN") & (value == "false")
-    return F.coalesce(value.isNotNull() & (value != "") & ~zero & ~false, F.lit(False))
+    return F.coalesce(value.isNotNull() & (value != "") & ~zero & ~false & ~nothing, F.lit(False))
 
 
 def string_map(json_text: Column) -> Column:
-    """JSON object as map of strings; nested values stay JSON text."""
-    return F.from_json(json_text, "map<string,string>")
+    """JSON object as map of strings; other values stay JSON text, a null is the text ``null``."""
+    found = F.from_json(json_text, "map<string,string>")
+    return F.transform_values(found, lambda _, value: F.coalesce(value, F.lit("null")))

@@ -203,12 +203,17 @@ def landed_reader_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("tag:"), number).alias("id"),
             F.concat(F.lit("T  "), number).alias("title"),
             F.lit("Ada").alias("author"),
-            (F.lit(1704067200) + F.col("doc_id")).alias("published"),
+            F.lit("@time").alias("published"),
             F.array(href).alias("canonical"),
             F.struct(F.col("text").alias("content")).alias("summary"),
             F.struct(F.col("source").alias("title")).alias("origin"),
         )
     )
+    # a number, or a text, which is no time and hides no later one
+    time = F.when(F.col("lang") == "fr", F.lit('"abc", "updated": 1704067200, "none": null')).otherwise(
+        (F.lit(1704067200) + F.col("doc_id")).cast("string")
+    )
+    full = F.replace(full, F.lit('"@time"'), time)
     alternate = F.to_json(
         F.struct(
             F.concat(F.lit("alt:"), number).alias("id"),

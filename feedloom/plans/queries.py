@@ -60,13 +60,17 @@ def reader_scan(spark, sf_dir):
         fx.stamp(F.col("published_at")).alias("published"),
         F.size("raw_payload").alias("n_keys"),
         F.element_at("raw_payload", "origin").alias("origin"),
+        F.element_at("raw_payload", "none").alias("none"),
     )
 
 
 @query
 def payload_map(spark, sf_dir):
-    events = fx.table(spark, sf_dir, "events").withColumn("m", payload.string_map(F.col("props")))
-    return events.select("event_id", F.col("m")["k"].alias("k"), F.size("m").alias("n_keys"))
+    props = F.regexp_replace("props", r"\}\s*$", ', "none": null}')
+    events = fx.table(spark, sf_dir, "events").withColumn("m", payload.string_map(props))
+    return events.select(
+        "event_id", F.col("m")["k"].alias("k"), F.size("m").alias("n_keys"), F.col("m")["none"].alias("none")
+    )
 
 
 @query

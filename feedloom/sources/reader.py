@@ -17,7 +17,7 @@ from feedloom.sources.feeds import ParsedFeeds, split_rows, with_landed_seq
 MALFORMED = "Malformed reader page"
 
 ENTRY_DDL = """
-id string, title string, author string, published double, updated double,
+id string, title string, author string, published variant, updated variant,
 canonical array<struct<href:string>>, alternate array<struct<href:string>>,
 summary struct<content:string>, content struct<content:string>, origin struct<title:string>
 """

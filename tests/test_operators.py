@@ -179,7 +179,7 @@ def test_backoff_and_dead_letters(spark):
     assert state["d"] == (3, "dead", None)
 
 
-def test_notes_with_equal_titles_get_their_own_paths(spark, salts):
+def test_notes_with_equal_titles_get_their_own_paths(spark):
     data = [(i, "Same Title" if i < 20 else f'T "{i}"', "https://x/" + str(i), "S", 'src "q"', START if i % 2 else None) for i in range(24)]
     df = spark.createDataFrame(
         data, "id int, title string, canonical_url string, summary string, source_name string, published_at timestamp"
@@ -187,7 +187,8 @@ def test_notes_with_equal_titles_get_their_own_paths(spark, salts):
     built = notes.build_notes(df, datetime(2025, 7, 31, 20), "vault", "Asia/Shanghai").collect()
     paths = {r.item_id: r.path for r in built}
     assert len(set(paths.values())) == 24
-    assert paths["21"] == "vault/2024/01/t-21.md" and paths["22"] == "vault/2025/08/t-22.md"
+    assert paths["21"] == "vault/2024/01/t-21-6f4b6612125f.md"
+    assert paths["22"].startswith("vault/2025/08/t-22-")
     assert paths["1"].startswith("vault/2024/01/same-title-")
     text = next(r.markdown for r in built if r.item_id == "21")
     assert text.startswith('---\nsource: "src \\"q\\""\nurl: "https://x/21"\npublished: "2024-01-01"\n')
