@@ -27,6 +27,9 @@ LEET = {
 }
 # What the channel's steps cost, as negative logarithms.
 COST_LEET, COST_SKIP, COST_BREAK, COST_REPEAT, COST_DOUBLE = 1.0, 1.5, 0.7, 0.5, 4.0
+# A masked letter may be any letter, each at this cost; a longer run of masks tells nothing about them.
+COST_MASK, MASKS, MASKED = 1.0, "*#_", 3
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # Per character, what it costs to leave a token with a digit and without a letter as it is.
 COST_PLAIN = math.log(10)
 # Single characters with white space between them, three or more.
@@ -35,7 +38,11 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ \t ]\S){2,}(?!\S)")
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET) + "«»“”‘’„¿¡…–—"
 # Labelled rows that the classifier is fitted on, at most about.
 SAMPLE_ROWS = 12_000
-MIN_Z, MIN_DOCS, RIDGE, STEPS = 3.0, 4, 1.0, 15
+MIN_Z, MIN_DOCS, RIDGES, STEPS = 3.0, 4, (1.0, 0.1, 10.0), 30
+# One in so many sampled texts chooses the ridge.
+CHOOSE = 5
+NAMES = ["feature", "n0", "n1", "bits0", "bits1"]
+EVIDENCE = "feature string, n0 long, n1 long, bits0 long, bits1 long"
 # Conjugate gradients: how far a step's remainder falls, and after how many turns it is taken as it is.
 SMALL, TURNS = 1e-9, 500
 REMEMBERED = 300_000
@@ -120,6 +127,10 @@ class Channel:
                 options = [("", 0.0), (" ", COST_BREAK)]
             else:
                 options = [("", COST_SKIP), (" ", COST_BREAK)]
+                if char in MASKS and n <= MASKED and any(c.isalpha() for c in token):
+                    # one step for each masked letter
+                    lattice += [[("", COST_SKIP / n), *[(c, COST_MASK) for c in LETTERS]]] * (n - 1)
+                    options += [(c, COST_MASK) for c in LETTERS]
                 for k in {1, min(n, 2)}:
                     options += [(c * k, COST_LEET + COST_REPEAT * (n > k)) for c in LEET.get(char, "")]
             lattice.append(options)
@@ -228,25 +239,73 @@ def values(n_words: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log1p(counts), np.log1p(1000 * counts / (n_words + 50))
 
 
+def evidence(channel: Channel):
+    """A function from a text to its features, each with 64 bits that mark the neighbours it stands between."""
+    known: dict[str, list[str]] = {}
+
+    def find(text: str) -> dict[str, int]:
+        if len(known) > REMEMBERED:
+            known.clear()
+        rest, spaced = channel.spaced(text.lower())
+        tokens, bits = rest.split(), {}
+        for i, token in enumerate(tokens):
+            if token not in known:
+                known[token] = [f for w in channel.words(token) for f in features_of(w)]
+            if known[token]:
+                near = f"{tokens[i - 1] if i else ''} {tokens[i + 1] if i + 1 < len(tokens) else ''}"
+                mark = 1 << (zlib.crc32(near.encode()) & 63)
+                for f in known[token]:
+                    bits[f] = bits.get(f, 0) | mark
+        for i, word in enumerate(spaced):
+            mark = 1 << (zlib.crc32(" ".join(spaced[max(i - 1, 0) : i + 2]).encode()) & 63)
+            for f in features_of(word):
+                bits[f] = bits.get(f, 0) | mark
+        return bits
+
+    return find
+
+
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def pick_features(rows: DataFrame, channel: Channel, n1: int, n0: int) -> list[str]:
-    """Features whose share among toxic documents stands out from the others by its standard error."""
+    """Features whose share of toxic texts stands out from that of all texts.
+
+    A feature's texts count as often as it stands between different neighbours, so that copies of a
+    text, exact or edited elsewhere, are one piece of evidence. The share is tested by the likelihood
+    ratio, at a bar that one of as many chance features as are tested would reach.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counted(channel)
+        find = evidence(channel)
         for batch in batches:
-            sides = (Counter(), Counter())
+            found: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sides[label].update(count(text or "")[1].keys())
-            names = list(sides[0].keys() | sides[1].keys())
-            arrays = [pa.array(names, pa.string())] + [pa.array([s[x] for x in names], pa.int64()) for s in sides]
-            yield pa.RecordBatch.from_arrays(arrays, ["feature", "n0", "n1"])
-
-    p1, p0 = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
-    error = F.sqrt(p1 * (1 - p1) / max(n1, 1) + p0 * (1 - p0) / max(n0, 1))
-    sums = rows.select("text", "toxic").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature")
-    scored = sums.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n1") >= MIN_DOCS)
-    scored = scored.withColumn("z", (p1 - p0) / error).filter(F.col("z") >= MIN_Z)
-    return [r["feature"] for r in scored.select("feature").orderBy("feature").collect()]
+                for f, bits in find(text or "").items():
+                    own = found.setdefault(f, [0, 0, 0, 0])
+                    own[label] += 1
+                    own[2 + label] |= bits
+            sides = zip(*found.values(), strict=True) if found else [[]] * 4
+            numbers = [pa.array([signed(v) for v in side], pa.int64()) for side in sides]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *numbers], NAMES)
+
+    def seen(n: str, bits: str):
+        places = F.bit_count(F.bit_or(bits))
+        kinds = -64 * F.log1p(-F.least(places, F.lit(63)) / 64)
+        return F.when(places < 48, F.least(F.sum(n), kinds)).otherwise(F.sum(n))
+
+    sums = rows.select("text", "toxic").mapInArrow(run, EVIDENCE).groupBy("feature")
+    tested = materialize(
+        sums.agg(seen("n1", "bits1").alias("n1"), seen("n0", "bits0").alias("n0")).filter(F.col("n1") >= MIN_DOCS)
+    )
+    base = n1 / (n1 + n0)
+    share = F.col("n1") / (F.col("n1") + F.col("n0"))
+    rest = F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    ratio = 2 * (F.col("n1") * F.log(share / base) + rest)
+    bar = max(MIN_Z**2, 2 * math.log(max(tested.count(), 1)))
+    good = tested.filter((share > base) & (ratio >= bar)).select("feature")
+    return [r["feature"] for r in good.orderBy("feature").collect()]
 
 
 @dataclass
@@ -284,16 +343,26 @@ def solved(product, diagonal: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(x: Sparse, y: np.ndarray) -> tuple[np.ndarray, float]:
+def loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float((np.logaddexp(0, z) - y * z).sum())
+
+
+def fit(x: Sparse, y: np.ndarray, strength: float) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton's method; no weight is negative, so that no word excuses another.
 
-    Memory follows what is not 0 in the rows, however many features there are.
+    A step is halved until the penalised loss falls. Memory follows what is not 0 in the rows, however
+    many features there are.
     """
     n = x.shape[1] + 1
-    w, ridge = np.zeros(n), np.full(n, RIDGE)
+    w, ridge = np.zeros(n), np.full(n, strength)
     w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     ridge[-1] = 1e-6
     squares = Sparse(x.rows, x.columns, x.values**2, x.shape)
+
+    def objective(v: np.ndarray) -> float:
+        return loss(x.times(v[:-1]) + v[-1], y) + float(ridge @ (v * v)) / 2
+
+    at = objective(w)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -30, 30)))
         bend = p * (1 - p)
@@ -307,26 +376,50 @@ def fit(x: Sparse, y: np.ndarray) -> tuple[np.ndarray, float]:
             return np.where(free, ridge * v + np.append(x.turned(u), u.sum()), 0.0)
 
         diagonal = ridge + np.append(squares.turned(bend), bend.sum())
-        w -= solved(product, diagonal, np.where(free, slope, 0.0))
-        w[:-1] = np.maximum(w[:-1], 0)
+        step = solved(product, diagonal, np.where(free, slope, 0.0))
+        for halvings in range(20):
+            tried = w - step / 2**halvings
+            tried[:-1] = np.maximum(tried[:-1], 0)
+            after = objective(tried)
+            if after < at:
+                break
+        else:
+            break
+        gain, w, at = at - after, tried, after
+        if gain < 1e-9 * max(at, 1.0):
+            break
     return w[:-1], float(w[-1])
 
 
+def chosen_fit(x: Sparse, y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, float]:
+    """Fitted with the ridge that does best on texts left out of a first fit (``part`` is true)."""
+    inner = np.flatnonzero(~part[x.rows])
+    kept = Sparse(np.cumsum(~part)[x.rows[inner]] - 1, x.columns[inner], x.values[inner], (int((~part).sum()), x.shape[1]))
+    best, least = RIDGES[0], math.inf
+    for strength in RIDGES if part.any() and len(set(y[~part].tolist())) == 2 else ():
+        w, b = fit(kept, y[~part], strength)
+        left = loss((x.times(w) + b)[part], y[part])
+        if left < least:
+            best, least = strength, left
+    return fit(x, y, best)
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row.
 
-    A character model is counted over all texts. Tokens with leetspeak, separators, spaced letters or
-    long repeats are read as lattices, from which Viterbi takes the likeliest words. The classifier
-    weighs words and word beginnings of the restored texts by number and density. It is fitted on
-    labelled rows that are not held out, a hash sample of at most about ``SAMPLE_ROWS``, with as many
-    toxic ones as there are up to half.
+    A character model is counted over all texts. Tokens with leetspeak, separators, masked or spaced
+    letters or long repeats are read as lattices, from which Viterbi takes the likeliest words. The
+    classifier weighs words and word beginnings of the restored texts by number and density. It is
+    fitted on labelled rows that are not held out, a hash sample of at most about ``SAMPLE_ROWS``, with
+    as many toxic ones as there are up to half. Equal texts of the sample are one row, toxic if any is.
 
     Null and empty texts and texts without a known feature get the score of no evidence. A null id is
     scored like any other and has no label. Labels of one id are combined by the larger; null labels
     are left out. Without labels of both kinds every score is the share of toxic rows. Repeated rows
-    are scored alike. Other columns are not read, whatever their names.
+    are scored alike. Texts are read whole, however long. Other columns are not read, whatever their
+    names. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     channel = Channel(character_model(docs, text))
@@ -343,11 +436,15 @@ def toxicity(
     keep0 = min(1.0, (SAMPLE_ROWS - n1 * keep1) / max(n0, 1))
     place = F.pmod(F.xxhash64("__doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(place < F.when(F.col("toxic") == 1, keep1).otherwise(keep0))
-    # as many ids as the sample has rows, which the parameter bounds
+    # as many ids as the sample has rows, which the parameter bounds; equal texts are one row of it
     sample = materialize(
-        rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc_id")).select("doc_id", "text", "toxic")
+        rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc_id"))
+        .groupBy("text")
+        .agg(F.max("toxic").alias("toxic"))
     )
-    names = pick_features(sample, channel, round(n1 * keep1), round(n0 * keep0)) if n1 and n0 else []
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    names = pick_features(sample, channel, n1, n0) if n1 and n0 else []
     wanted = {f: i for i, f in enumerate(names)}
 
     def known_in(count, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -363,18 +460,20 @@ def toxicity(
             every = [known_in(count, t) for t in batch.column(0).to_pylist()]
             columns = pa.array([c.astype(np.int32).tobytes() for c, _ in every], pa.binary())
             packed = pa.array([v.astype(np.float32).tobytes() for _, v in every], pa.binary())
-            yield pa.RecordBatch.from_arrays([columns, packed, batch.column(1)], ["columns", "x", "y"])
+            part = pa.array([zlib.crc32((t or "").encode()) % CHOOSE == 0 for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([columns, packed, batch.column(1), part], ["columns", "x", "y", "part"])
 
     weights, bias = np.zeros(2 * len(names)), math.log((n1 + 0.5) / (n0 + 0.5))
     if names:
-        fitted = sample.select("text", "toxic").mapInArrow(vectors, "columns binary, x binary, y int").toPandas()
+        fitted = sample.select("text", "toxic").mapInArrow(vectors, "columns binary, x binary, y int, part boolean").toPandas()
         # sums do not depend on the order in which tasks end
-        fitted = fitted.sort_values(["y", "columns", "x"])
+        fitted = fitted.sort_values(["y", "part", "columns", "x"])
         y = fitted["y"].to_numpy(np.float64)
         rows_of = np.repeat(np.arange(len(y)), [len(c) // 4 for c in fitted["columns"]])
         columns = np.frombuffer(b"".join(fitted.pop("columns")), np.int32)
         x = np.frombuffer(b"".join(fitted.pop("x")), np.float32).astype(np.float64)
-        weights, bias = fit(Sparse(rows_of, columns, x, (len(y), 2 * len(names))), y)
+        part = fitted["part"].to_numpy(bool)
+        weights, bias = chosen_fit(Sparse(rows_of, columns, x, (len(y), 2 * len(names))), y, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counted(channel, wanted)

@@ -83,8 +83,8 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(i, t, "x") for i, t in enumerate(["the and of"] * 40 + ["you loser the"] * 20)]
-    rows += [(100, None, "x"), (101, "", "x"), (None, "you l0ser", "x"), (0, "the and of", "x"), (102, "l " * 5000, "x")]
+    rows = [(i, t, "x") for i, t in enumerate([f"the and of n{i}" for i in range(40)] + [f"m{i} you loser k{i} the" for i in range(20)])]
+    rows += [(100, None, "x"), (101, "", "x"), (None, "you l0ser", "x"), (0, "the and of n0", "x"), (102, "l " * 5000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
     labels = [(i, int(i >= 40), "l") for i in range(60)] + [(None, 1, "l"), (3, None, "l"), (45, 0, "l")]
     schema = "doc_id long, toxic int, text string"
@@ -138,10 +138,48 @@ def test_every_word_that_stands_out_is_weighed(spark):
     rnd = random.Random(6)
     toxic = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)) for _ in range(150)]
     rows = [(i, "the and of " + " ".join(rnd.sample(toxic, 4))) for i in range(1200)]
-    rows += [(2000 + i, "the and of on the") for i in range(1200)]
+    rows += [(2000 + i, f"the and of on the n{i}") for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 2000)) for i, _ in rows], "doc_id long, toxic int")
     alone = spark.createDataFrame([(5000 + i, f"the and of on {w}") for i, w in enumerate(toxic)], "doc_id long, text string")
     scores = {r.doc_id: r.score for r in tox.toxicity(docs.unionByName(alone), labels).collect()}
     clean = max(s for i, s in scores.items() if 2000 <= i < 5000)
     assert min(s for i, s in scores.items() if i >= 5000) > clean
+
+
+def test_copies_are_not_evidence(spark):
+    """Labelled texts that come 20 times, some with an edit, do not drown the words that make them toxic."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").toPandas()[["doc_id", "text"]]
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").toPandas()
+    rnd = random.Random(2)
+    learned = docs.merge(labels, on="doc_id")
+    learned = learned[[zlib.crc32(str(i).encode()) % 5 != 0 for i in learned["doc_id"]]]
+    rows, marks, fresh = [tuple(r) for r in docs.itertuples(index=False)], [tuple(r) for r in labels[["doc_id", "toxic"]].itertuples(index=False)], 10**6
+    for r in learned[learned["doc_id"] % 4 < 2].itertuples(index=False):
+        for _ in range(20 if r.toxic else 4):
+            words = r.text.split(" ")
+            words[rnd.randrange(len(words))] = "edit"
+            rows.append((fresh, r.text if rnd.random() < 0.5 else " ".join(words)))
+            marks.append((fresh, int(r.toxic)))
+            fresh += 1
+    scored = tox.toxicity(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    ).toPandas()
+    held = scored[scored["held_out"] & (scored["doc_id"] < 10**6)].merge(labels, on="doc_id").merge(docs, on="doc_id")
+    held = held[~held["text"].isin(set(learned["text"]))]
+    assert held[held["toxic"] == 1]["predicted"].mean() > 0.85 and held[held["toxic"] == 0]["predicted"].mean() < 0.02
+
+
+def test_masked_letters(model):
+    channel = tox.Channel(model)
+    for token in ("i*iot", "id#ot", "i_iot", "idi*t", "id**t", "i*i*t"):
+        assert channel.restored(token) == ["idiot"], token
+    assert channel.restored("**** ____ ## (a) *b*") == ["a", "b"]
+
+
+def test_the_fit_does_not_run_away(spark):
+    """Rows that one feature parts without an error still give finite weights."""
+    x = tox.Sparse(np.arange(200), np.zeros(200, int), np.repeat([1.0, 0.0], 100), (200, 1))
+    for strength in tox.RIDGES:
+        w, b = tox.fit(x, np.repeat([1.0, 0.0], 100), strength)
+        assert 0 < w[0] < 100 and -50 < b < 0
