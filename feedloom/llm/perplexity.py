@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.operators.skew import left_join_unique
 from feedloom.session import materialize
 
 # Four characters of 16 bits make the key of an n-gram; characters beyond share one code.
@@ -19,9 +20,11 @@ START, END = 2, 3
 TOGETHER = 256
 # Characters that are turned into n-grams at once.
 PIECE = 1 << 16
-# One in so many trusted documents is not counted but sets the thresholds.
+# One in so many labelled documents is not counted but sets the thresholds.
 HELD = 5
-QUANTILE, ACCURACY = 0.999, 100_000
+QUANTILES, ACCURACY = (0.999, 0.995, 0.99, 0.985, 0.98), 100_000
+# The Bloom filter of trusted ids: bits per id, hashes, and the bits of the largest filter (16 MB).
+BLOOM_BITS, BLOOM_HASHES, BLOOM_MOST = 12, 4, 1 << 27
 # The table of log probabilities is broadcast up to this many rows of 16 bytes; beyond, it is joined.
 BROADCAST_ROWS = 4_000_000
 # Characters of a group of documents that is joined to its n-grams at once.
@@ -146,6 +149,75 @@ def score(text: str, keys: np.ndarray, logps: np.ndarray) -> tuple[int, float]:
     return len(text) + 1, total
 
 
+def bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each id, one row per hash."""
+    x = ids.astype(np.uint64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    first, step = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1)
+    return np.array([(first + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(BLOOM_HASHES)])
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be one of ``ids`` (one long column): all that are, and few others.
+
+    The filter's bits follow the number of ids up to ``BLOOM_MOST``; words of it are built in the
+    tasks and or-ed by Spark. Only the key goes to Python, the other columns wait in the JVM. Beyond
+    the largest filter more rows pass, so an exact join has to follow.
+    """
+    bits = 1 << min(max(ids.count() * BLOOM_BITS, 64).bit_length(), BLOOM_MOST.bit_length() - 1)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.unique(bloom_places(np.asarray(batch.column(0)), bits))
+            word, start = np.unique(places >> np.uint64(6), return_index=True)
+            marks = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), start) if word.size else word
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word.astype(np.int64)), pa.array(marks.view(np.int64))], ["word", "marks"]
+            )
+
+    parts = ids.mapInArrow(words, "word long, marks long").groupBy("word").agg(F.bit_or("marks").alias("marks"))
+    found = parts.toPandas()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["marks"].to_numpy(np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def hit(keys):
+        known = keys.notna().to_numpy()
+        places = bloom_places(keys.fillna(0).to_numpy(np.int64), bits)
+        marked = shared.value[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)
+        return keys.notna() & (marked.all(axis=0) & known)
+
+    return rows.filter(hit(F.col(key)))
+
+
+def thresholds(held: DataFrame, key: str, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(key, threshold): the quantile of the trusted perplexities that parts both kinds best.
+
+    ``held`` has the key, role 2 (trusted) or 3 (junk) and the perplexity. Of ``quantiles`` the one
+    with the largest sum of trusted kept and junk rejected is taken, of equal ones the largest, so
+    without junk the largest of all.
+    """
+    limits = held.filter("role = 2").groupBy(F.col(key).alias("__key")).agg(
+        F.percentile_approx("perplexity", list(quantiles), ACCURACY).alias("limits")
+    )
+    joined = left_join_unique(held, materialize(limits), key, "__key").filter(F.col("limits").isNotNull())
+
+    def merit(k: int) -> Column:
+        good = F.col("perplexity") <= F.col("limits")[k]
+        kept = F.count_if((F.col("role") == 2) & good) / F.count_if(F.col("role") == 2)
+        rejected = F.try_divide(F.count_if((F.col("role") == 3) & ~good), F.count_if(F.col("role") == 3))
+        return kept + F.coalesce(rejected, F.lit(0.0))
+
+    merits = joined.groupBy(key).agg(
+        F.max("limits").alias("limits"), F.array(*[merit(k) for k in range(len(quantiles))]).alias("merits")
+    )
+    best = F.array_position("merits", F.array_max("merits")).cast("int") - 1
+    return merits.select(key, F.get("limits", best).alias("threshold"))
+
+
 ROW = "doc_id long, lang string, n_chars long, logp double"
 
 
@@ -207,35 +279,40 @@ def perplexity_filter(
     text: str = "text",
     lang: str = "lang",
     quality: str = "quality",
-    quantile: float = QUANTILE,
+    quantiles: tuple[float, ...] = QUANTILES,
 ) -> DataFrame:
     """(doc_id, n_chars, perplexity, threshold, kept), one row per input row.
 
     The model is counted over all trusted documents, those labelled 1, but for one in ``HELD``. These
-    set the threshold of their language, the ``quantile`` of their perplexities; a language without
-    any takes the one over all. A document is kept up to its threshold.
+    set the threshold of their language, that of the ``quantiles`` of their perplexities which best parts
+    them from as many in ``HELD`` of those labelled 0; a language without held trusted ones takes the
+    one over all. A document is kept up to its threshold. Only trusted texts move, once.
 
     Null and empty texts have no perplexity and are not kept. Null languages are one language. A null
     id has no label; labels of one id are combined by the smaller, null labels are left out. Without
     trusted documents there is no threshold and every document with a text is kept. Repeated rows are
-    returned as often as they came. Other columns are not read, whatever their names.
+    returned as often as they came. Texts are scored whole, however long. Other columns are not read,
+    whatever their names. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
         F.col(lang).cast("string").alias("lang"),
     )
+    held_out = F.pmod(F.xxhash64("__doc_id"), F.lit(HELD)) == 0
+    good = F.col("__quality") == 1
     trusted = (
         labels.select(F.col(doc_id).cast("long").alias("__doc_id"), F.col(quality).cast("int").alias("__quality"))
         .filter("__doc_id IS NOT NULL AND __quality IS NOT NULL")
         .groupBy("__doc_id")
         .agg(F.min("__quality").alias("__quality"))
-        .filter("__quality = 1")
-        # 1: counted, 2: held out
-        .select("__doc_id", F.when(F.pmod(F.xxhash64("__doc_id"), F.lit(HELD)) == 0, 2).otherwise(1).alias("role"))
+        # 1: counted, 2: trusted and held out, 3: junk and held out, 0: other junk
+        .select("__doc_id", F.when(held_out, F.when(good, 2).otherwise(3)).otherwise(good.cast("int")).alias("role"))
     )
     trusted = materialize(trusted)
-    # only trusted texts move; of the others, what is scored
-    good = rows.join(trusted.filter("role = 1"), F.col("doc_id") == F.col("__doc_id"), "left_semi")
+    counting = trusted.filter("role = 1").select("__doc_id")
+    # trusted texts move, and the few others that the filter lets through; one plan at every size
+    near = maybe_in(rows, counting, "doc_id")
+    good = near.join(counting.hint("merge"), F.col("doc_id") == F.col("__doc_id"), "left_semi")
     model = levels(counted(good.select("text")))
     table = materialize(log_probabilities(counted(rows.select("text")).select("gram"), model))
     by = scored_by_table if table.count() <= BROADCAST_ROWS else scored_by_groups
@@ -246,12 +323,15 @@ def perplexity_filter(
             "doc_id", "lang", "n_chars", F.coalesce("role", F.lit(0)).alias("role"), perplexity
         )
     )
-    held = scores.filter("role = 2 AND perplexity IS NOT NULL")
-    limit = F.percentile_approx("perplexity", quantile, ACCURACY)
-    general = held.agg(limit).first()[0]
-    limits = materialize(held.groupBy(F.col("lang").alias("__lang")).agg(limit.alias("own")))
-    joined = scores.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    threshold = F.coalesce("own", F.lit(math.inf if general is None else general))
+    # a null language is a language
+    scores = scores.withColumn("__key", F.struct("lang"))
+    held = scores.filter("role IN (2, 3) AND perplexity IS NOT NULL").select("__key", "role", "perplexity")
+    found = thresholds(held.withColumn("__key", F.struct(F.lit(0))), "__key", quantiles).first()
+    limits = materialize(
+        thresholds(held, "__key", quantiles).select(F.col("__key").alias("__lang"), F.col("threshold").alias("own"))
+    )
+    joined = left_join_unique(scores, limits, "__key", "__lang")
+    threshold = F.coalesce("own", F.lit(math.inf if found is None else found["threshold"]))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     return joined.withColumn("threshold", threshold).select(
         "doc_id", "n_chars", "perplexity", "threshold", kept.alias("kept")
