@@ -51,7 +51,8 @@ def resolve_roots(links: DataFrame, item_id: str = "id") -> DataFrame:
             F.col(item_id).alias("node"), F.col("parent_id").alias("target")
         )
     )
-    moved = True
+    # none where no parent has a parent
+    moved = not hops.isEmpty()
     while moved:
         onward = hops.select(F.col("node").alias("__node"), F.col("target").alias("__next"))
         jumped = left_join_unique(hops.select("node", "target"), onward, "target", "__node")

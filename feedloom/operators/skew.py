@@ -27,6 +27,16 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return largest.filter(F.col("__n") * HOT_SHARE > total).select(key)
 
 
+def broadcastable(df: DataFrame) -> bool:
+    """Whether Spark's estimate of the table's size is under the session's broadcast threshold.
+
+    For a written table that is the size of its files, for filters and aggregates over it a bound.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= threshold
+
+
 def left_join_unique(
     fact: DataFrame, dim: DataFrame, key: str, dim_key: str, weight: str | None = None
 ) -> DataFrame:
@@ -35,9 +45,14 @@ def left_join_unique(
     Rows of hot keys meet their dim row through a broadcast bounded by ``HOT_SHARE`` rows. In the
     shuffle join, which is on key and salt, they and rows without a key carry a spreading salt that
     matches nothing. ``weight`` names a dim column that already holds the fact's row count per key,
-    which saves counting it again; it is not part of the result.
+    which saves counting it again; it is not part of the result. A dim under the broadcast threshold
+    goes to the fact, of which then nothing moves and nothing is counted.
     """
     columns = [c for c in dim.columns if c not in (dim_key, weight)]
+    if broadcastable(dim):
+        whole = dim.select(F.col(dim_key).alias("__dim_key"), *[F.col(c).alias(f"__dim_{c}") for c in columns])
+        joined = fact.join(F.broadcast(whole), F.col(key) == F.col("__dim_key"), "left")
+        return joined.select(*fact.columns, *[F.col(f"__dim_{c}").alias(c) for c in columns])
     if weight is None:
         keys = hot_keys(fact, key).withColumnRenamed(key, "__hot_key")
         own = dim.join(F.broadcast(keys), F.col(dim_key) == F.col("__hot_key"), "left_semi")

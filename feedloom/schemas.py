@@ -21,7 +21,8 @@ TABLES = {
         """,
     "items": """
         id string, raw_item_id string, canonical_url string, title string, content string,
-        language string, normalized_hash string, dedupe_group_id string, created_at timestamp
+        language string, normalized_hash string, dedupe_group_id string, created_at timestamp,
+        is_duplicate boolean
         """,
     "dedupe_groups": "id string, representative_item_id string, reason string, created_at timestamp",
     "analysis_results": """
@@ -42,6 +43,16 @@ TABLES = {
         id string, item_id string, path string, markdown string, status string, updated_at timestamp
         """,
     "rejects": "stage string, key string, reason string, detail string, created_at timestamp",
+    # Parsed feed items that wait for the one writer that turns them into raw items and items.
+    "entries": FEED_ITEM,
+    # The first raw item that had a URL or a content, and its group.
+    "group_keys": """
+        key string, group_id string, raw_item_id string, created_at timestamp, landed_seq string,
+        source_id string, pos int
+        """,
+    # Who wants to retry an item until when, and who may.
+    "leases": "item_id string, leased_at timestamp, leased_until timestamp",
+    "granted": "item_id string, leased_at timestamp",
     # What the client said to each message of a batch, written before anything is logged.
     "answers": "id string, message_id string, error string",
     "batch_times": "batch_at timestamp",

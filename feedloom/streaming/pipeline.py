@@ -8,20 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import slots
 from feedloom.functions.cards import digest_card, with_digest_line
 from feedloom.functions.scoring import TOPIC_KEYWORDS
 from feedloom.functions.text import content_hash, sha256_text
-from feedloom.operators import digest, feedback, ingest, latest, messages, notes, retry, routing, upsert
+from feedloom.operators import digest, feedback, groups, ingest, latest, messages, notes, retry, routing, upsert
 from feedloom.operators.analyze import analyze_items, normalize_items
 from feedloom.operators.skew import distinct_keys, left_join_unique
 from feedloom.session import materialize
-from feedloom.streaming.tables import Batch
+from feedloom.streaming.tables import Batch, next_batch
 
 # Gets outbound messages (id, card), returns (id, message_id, error).
 Deliver = Callable[[DataFrame], DataFrame]
@@ -160,10 +160,34 @@ def upsert_raw(batch: Batch, items: DataFrame, now: datetime) -> tuple[DataFrame
     return logged, verdicts.filter("conflict")
 
 
+def group_raw(batch: Batch, readable: DataFrame, now: datetime) -> DataFrame:
+    """(id, group_id, is_duplicate) of new raw items by address or content; logs the keys they bring.
+
+    A content is a title with a text; raw items without a text share no content.
+    """
+    place = ["created_at", "landed_seq", "source_id", "pos"]
+    content = F.when(F.col("content") != "", F.concat(F.lit("content:"), _key("title", "content")))
+    rows = readable.withColumn("created_at", _at(now)).select(
+        "id",
+        F.struct(*place, "id").alias("at"),
+        F.concat(F.lit("url:"), sha256_text("canonical_url")).alias("url_key"),
+        content.alias("content_key"),
+    )
+    index = batch.prior("group_keys").select("key", "group_id", F.struct(*place, F.col("raw_item_id").alias("id")).alias("at"))
+    grouped, added = groups.join_groups(rows, index, _key("id"))
+    log = added.select("key", "group_id", F.col("id").alias("raw_item_id"), *[F.col(f"at.{c}") for c in place])
+    batch.write("group_keys", log)
+    return grouped
+
+
 def insert_items(batch: Batch, raw: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """Log one item per canonical address not seen before; returns (items, unreadable addresses)."""
-    normal = normalize_items(raw.filter("created"))
+    """Log one item per canonical address not seen before; returns (items, unreadable addresses).
+
+    An item whose content is that of an earlier raw item belongs to its group, as a duplicate.
+    """
+    normal = materialize(normalize_items(raw.filter("created")))
     readable = normal.filter(F.col("canonical_url").isNotNull())
+    grouped = group_raw(batch, readable, now).withColumnRenamed("id", "__raw")
     order = [F.col("landed_seq"), F.col("source_id"), F.col("pos"), F.col("id")]
     first = upsert.insert_if_absent(readable, batch.prior("items"), ["canonical_url"], order)
     rows = first.withColumnRenamed("id", "raw_item_id").withColumns(
@@ -173,12 +197,14 @@ def insert_items(batch: Batch, raw: DataFrame, now: datetime) -> tuple[DataFrame
             "created_at": _at(now),
         }
     )
-    rows = rows.withColumn("dedupe_group_id", _key("id"))
+    joined = rows.join(grouped, F.col("raw_item_id") == F.col("__raw"))
+    rows = joined.withColumnRenamed("group_id", "dedupe_group_id")
     return batch.write("items", rows), normal.filter(F.col("canonical_url").isNull())
 
 
 def open_groups(batch: Batch, items: DataFrame, now: datetime) -> DataFrame:
-    rows = items.select(
+    """Log one group per item that joins none; its items are found by their ``dedupe_group_id``."""
+    rows = items.filter("not is_duplicate").select(
         F.col("dedupe_group_id").alias("id"),
         F.col("id").alias("representative_item_id"),
         F.lit("canonical_url").alias("reason"),
@@ -188,7 +214,8 @@ def open_groups(batch: Batch, items: DataFrame, now: datetime) -> DataFrame:
 
 
 def analyze_new(batch: Batch, items: DataFrame, now: datetime, options: Options) -> DataFrame:
-    """Log one analysis per item that has none."""
+    """Log one analysis per item that has none; duplicates get none."""
+    items = items.filter("not is_duplicate")
     done = batch.prior("analysis_results").select(F.col("item_id").alias("id"))
     pending = upsert.unseen(items.select("id", "title", "content"), done, ["id"])
     scored = analyze_items(pending, options.lexicon, content_normalized=True)
@@ -206,8 +233,46 @@ def analyze_new(batch: Batch, items: DataFrame, now: datetime, options: Options)
 def ingest_batch(
     batch: Batch, items: DataFrame, rejects: DataFrame, now: datetime, options: Options = Options()
 ) -> None:
-    """Feed items to logs: guard, upsert, normalize, group, analyze, push."""
-    recent = ingest.age_guard(items, now, options.max_age_days)
+    """Feed items to logs: guard, upsert, normalize, group, analyze, push.
+
+    For one writer. Where several bring feed items, they ``land_batch`` and one writer settles.
+    """
+    _settle(batch, ingest.age_guard(items, now, options.max_age_days), rejects, now, options)
+
+
+def land_batch(
+    batch: Batch, items: DataFrame, rejects: DataFrame, now: datetime, options: Options = Options()
+) -> None:
+    """Log the recent feed items of one of several writers; ``settle_batch`` takes them from there."""
+    batch.write("entries", ingest.age_guard(items, now, options.max_age_days))
+    batch.write("rejects", _rejects(rejects, "parse", "source_url", F.col("reason"), "body", now))
+    batch.done(now)
+
+
+def settle_batch(batch: Batch, now: datetime, options: Options = Options()) -> None:
+    """What other writers have landed since the batch before, to raw items, items, analyses and messages.
+
+    Run by one writer, so that each address, item, analysis and message has one owner however the
+    landing writers interleave: of what they bring at the same time, the first by batch order counts.
+    Batches that were not done are left to the next one. Only the folders of new batches are read.
+    """
+    entries = batch.new("entries")
+    place = F.format_string("%s/%012d/%s", "writer", "batch_id", F.coalesce("landed_seq", F.lit("")))
+    entries = entries.withColumn("landed_seq", place).drop("writer", "batch_id")
+    nothing = batch.spark.createDataFrame([], "source_url string, reason string, body string")
+    _settle(batch, entries, nothing, now, options)
+
+
+def settle_pending(
+    spark: SparkSession, root: str, now: datetime, options: Options = Options(), writer: str = "settle"
+) -> Batch:
+    """Run the next batch of the settling writer, or the one that did not come to its end."""
+    batch = next_batch(spark, root, writer)
+    settle_batch(batch, batch.time(now), options)
+    return batch
+
+
+def _settle(batch: Batch, recent: DataFrame, rejects: DataFrame, now: datetime, options: Options) -> None:
     upsert_sources(batch, recent, now)
     raw, taken = upsert_raw(batch, recent, now)
     new_items, unreadable = insert_items(batch, raw, now)
@@ -273,15 +338,38 @@ def push_batch(
     routed = analyses.filter(
         routing.route(F.col("importance_score"), options.push_min, options.digest_min) == "push"
     ).select(F.col("item_id").alias("id"))
-    wanted = routed.unionByName(retry_due(batch, now, options.recipient)).distinct()
+    return _push(batch, routed.distinct(), now, options, force)
+
+
+def _push(batch: Batch, wanted: DataFrame, now: datetime, options: Options, force: bool = False) -> DataFrame:
     unsent = materialize(messages.push_candidates(wanted, batch.prior("push_events"), force))
     carded = messages.push_messages(described_items(batch, unsent))
     return _deliver(batch, carded.select("id", "card"), options.recipient, now, options)
 
 
-def retry_batch(batch: Batch, now: datetime, options: Options = Options()) -> DataFrame:
-    """A step of its own for failed pushes that are due again; run it by one writer."""
-    events = push_batch(batch, batch.prior("analysis_results").filter(F.lit(False)), now, options)
+def retry_batch(
+    batch: Batch, now: datetime, options: Options = Options(), lease_seconds: int = retry.LEASE_SECONDS
+) -> DataFrame:
+    """Hand over failed pushes that are due again; the only step that does, by any number of writers.
+
+    A writer logs leases on the items it wants before it looks at those of others, and keeps the items
+    that no other running batch holds. A lease ends with its batch or after ``lease_seconds``, so what a
+    lost writer held comes to another one; a replay then leaves that out.
+    """
+    granted = batch.own("granted")
+    if granted is None:
+        due = retry_due(batch, now, options.recipient).select(F.col("id").alias("item_id"))
+        until = _at(now + timedelta(seconds=lease_seconds))
+        asked = batch.write("leases", due.withColumns({"leased_at": _at(now), "leased_until": until}))
+        free = retry.grantable(
+            asked, batch.current("leases"), batch.current("batch_done"), batch.writer, batch.batch_id, now
+        )
+        granted = batch.write("granted", free)
+    others = batch.current("granted").filter(F.col("writer") != batch.writer)
+    taken = others.select("item_id", F.col("leased_at").alias("__later"))
+    lost = granted.join(taken, "item_id").filter(F.col("__later") >= F.col("leased_at")).select("item_id").distinct()
+    mine = granted.join(lost, "item_id", "left_anti")
+    events = _push(batch, mine.select(F.col("item_id").alias("id")), now, options)
     batch.done(now)
     return events
 
@@ -400,7 +488,7 @@ def item_status(
 ) -> DataFrame:
     """(id, status) of all items from the logs."""
     newest = latest.latest_per_key(analyses, ["item_id"], [F.col("created_at").desc(), F.col("id").desc()])
-    plain = items.select("id", F.lit(False).alias("is_duplicate"))
+    plain = items.select("id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
     derived = routing.with_status(
         plain, newest, push_events, options.recipient, options.push_min, options.digest_min
     )

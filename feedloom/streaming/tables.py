@@ -29,12 +29,11 @@ class Batch:
     @cached_property
     def visible(self) -> dict[str, int]:
         """The last batch to read of each other writer; one entry per writer."""
-        marks = self.own("batch_views")
-        if marks is None:
+        if self.own("batch_views") is None:
             done = read_table(self.spark, self.root, "batch_done").filter(F.col("writer") != self.writer)
             last = done.groupBy(F.col("writer").alias("seen_writer")).agg(F.max("batch_id").alias("seen_batch"))
-            marks = self.write("batch_views", last)
-        return {row["seen_writer"]: row["seen_batch"] for row in marks.collect()}
+            self.write("batch_views", last)
+        return self._marks(self.batch_id)
 
     def _rows(self, table: str, last_own: int) -> DataFrame:
         wanted = (F.col("writer") == self.writer) & (F.col("batch_id") <= last_own)
@@ -50,6 +49,23 @@ class Batch:
         """Prior rows and those this batch has written so far."""
         return self._rows(table, self.batch_id)
 
+    def new(self, table: str) -> DataFrame:
+        """Rows of other writers' batches that this batch may read and the one before could not."""
+        before = self._marks(self.batch_id - 1)
+        wanted = F.lit(False)
+        for writer, batch_id in sorted(self.visible.items()):
+            later = (F.col("batch_id") > before.get(writer, -1)) & (F.col("batch_id") <= batch_id)
+            wanted = wanted | ((F.col("writer") == writer) & later)
+        return read_table(self.spark, self.root, table).filter(wanted)
+
+    def current(self, table: str) -> DataFrame:
+        """All rows that any writer has written by now, done or not; for leases alone."""
+        return read_table(self.spark, self.root, table)
+
+    def _marks(self, batch_id: int) -> dict[str, int]:
+        marks = Batch(self.spark, self.root, self.writer, batch_id).own("batch_views")
+        return {} if marks is None else {row["seen_writer"]: row["seen_batch"] for row in marks.collect()}
+
     def own(self, table: str) -> DataFrame | None:
         """What an earlier run of this batch has written of a table, if it came so far."""
         folder = f"{self.root}/{table}/writer={self.writer}/batch_id={self.batch_id}"
@@ -82,6 +98,16 @@ class Batch:
         return datetime.fromtimestamp(known[0] / 1_000_000, tz=now.tzinfo)
 
 
+def next_batch(spark: SparkSession, root: str, writer: str) -> Batch:
+    """The writer's next batch, or its last one if that did not come to its end."""
+
+    def last(table: str) -> int:
+        rows = read_table(spark, root, table).filter(F.col("writer") == writer)
+        return rows.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+
+    return Batch(spark, root, writer, max(last("batch_times"), last("batch_done") + 1))
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """All rows of a log; none before its first batch."""
     ddl = f"{TABLES[table]}, writer string, batch_id bigint"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.params import digest_limit
 from feedloom.functions.slots import next_slot, schedule_hours, schedule_times
+from feedloom.session import materialize
 from feedloom.operators import dedupe, digest, ingest, latest, notes, retry, routing, skew, upsert
 
 START = datetime(2024, 1, 1)
@@ -15,8 +16,9 @@ START = datetime(2024, 1, 1)
 
 @pytest.fixture
 def salts(monkeypatch):
-    """A low bar for hot keys, so that small tables have some."""
+    """A low bar for hot keys, so that small tables have some, and no table small enough to be sent whole."""
     monkeypatch.setattr(skew, "HOT_SHARE", 4)
+    monkeypatch.setattr(skew, "broadcastable", lambda dim: False)
 
 
 def rows(df, *columns):
@@ -37,6 +39,39 @@ def test_left_join_unique_with_hot_null_and_missing_keys(spark, salts, weighted)
     assert rows(got, "id", "key", "name") == sorted(((i, k, names.get(k)) for i, k, _ in fact), key=repr)
 
 
+def test_a_small_dim_is_sent_to_the_fact(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, key string")
+    right = materialize(spark.createDataFrame([("a", "A"), ("c", "C")], "dim_key string, name string"))
+    assert skew.broadcastable(right) and not skew.broadcastable(spark.range(1 << 40))
+    got = skew.left_join_unique(left, right, "key", "dim_key")
+    assert rows(got, "id", "key", "name") == [(1, "a", "A"), (2, "b", None), (3, None, None)]
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()
+
+
+def grow(spark, cut, rows_):
+    """Groups of rows (id, at, url, hash), the first ``cut`` as one batch and the others as another."""
+    from feedloom.operators.groups import join_groups
+
+    schema = "id int, at int, url_key string, content_key string"
+    index = spark.createDataFrame([], "key string, at int, group_id string")
+    out = {}
+    for part in (rows_[:cut], rows_[cut:]):
+        grouped, added = join_groups(spark.createDataFrame(part, schema), index, F.concat(F.lit("g"), F.col("id")))
+        out |= {r.id: (r.group_id, r.is_duplicate) for r in grouped.collect()}
+        index = index.unionByName(added.select("key", "at", "group_id"))
+        assert index.groupBy("key").count().filter("count > 1").isEmpty()
+    return out
+
+
+@pytest.mark.parametrize("cut", [0, 35])
+def test_groups_of_batches_agree_with_one_at_a_time(spark, cut):
+    rnd = random.Random(cut)
+    items = [(i, i // 2, f"u{rnd.randrange(30)}", None if i % 7 == 0 else f"c{rnd.randrange(30)}") for i in range(70)]
+    parent, group = brute_groups([(i, at, u, c or f"none {i}") for i, at, u, c in items])
+    got = grow(spark, cut, items)
+    assert got == {i: (f"g{group[i]}", parent[i] is not None) for i, *_ in items}
+
+
 def test_hot_keys_are_few(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     assert [r.k for r in skew.hot_keys(df, "k").collect()] == [0]

@@ -97,7 +97,8 @@ COMPARED = {
     "items": ["id", "title", "created_at"], "dedupe_groups": ["id"], "analysis_results": ["id", "summary"],
     "messages": ["id", "card"], "push_events": ["id", "status"], "feedback": ["id"], "notes": ["id"],
     "rejects": ["key", "reason", "created_at"], "batch_times": ["batch_at"], "answers": ["id", "message_id"],
-    "batch_views": ["seen_writer", "seen_batch"], "batch_done": ["done_at"],
+    "batch_views": ["seen_writer", "seen_batch"], "batch_done": ["done_at"], "entries": ["external_id", "landed_seq"],
+    "group_keys": ["key", "group_id"], "leases": ["item_id", "leased_at"], "granted": ["item_id"],
 }
 
 
@@ -116,12 +117,11 @@ def test_failed_delivery_is_logged_retried_and_given_up(spark, root):
 
     run(spark, root, 0, [("a", A1)], deliver=failing)
     assert rows(spark, root, "push_events", "status", "last_error") == [("failed", "timeout")]
-    nothing = read_table(spark, root, "analysis_results").filter("false")
     options = pipeline.Options(deliver=failing)
     attempts = []
     for i, seconds in enumerate((4, 10, 14, 60, 600)):
         at = NOW + timedelta(seconds=seconds)
-        attempts.append(pipeline.push_batch(Batch(spark, root, "retry", i), nothing, at, options).count())
+        attempts.append(pipeline.retry_batch(Batch(spark, root, "retry", i), at, options).count())
     assert attempts == [0, 1, 0, 1, 0]
 
 
@@ -277,3 +277,118 @@ def test_two_writers_give_one_item(spark, root, monkeypatch):
     pipeline.digest_batch(Batch(spark, root, "digest", 0), NOW, 10)
     (card,) = [r.card for r in read_table(spark, root, "messages").filter("writer = 'digest'").collect()]
     assert card.count("https://a.org/2") == 1
+
+
+SAME = feed("Same", ("s1", "https://s.org/1", "Plain", "nothing here", DAY), ("s2", "https://s.org/2", "Python AI workflow", LONG, DAY))
+
+
+def test_content_duplicates_join_groups_of_earlier_batches(spark, root):
+    """A copy under another address is an item of the old group: not analysed, not pushed, ignored."""
+    client = Client()
+    run(spark, root, 0, [("a", A1)], deliver=client)
+    for _ in range(2):  # the second is a replay
+        run(spark, root, 1, [("s", SAME)], now=NOW + timedelta(hours=1), deliver=client)
+    items = {r.canonical_url: r for r in read_table(spark, root, "items").collect()}
+    assert len(items) == 5 and len(rows(spark, root, "dedupe_groups", "id")) == 3
+    for copy, first in (("https://s.org/1", "https://a.org/2"), ("https://s.org/2", "https://a.org/1")):
+        assert items[copy].dedupe_group_id == items[first].dedupe_group_id
+        assert items[copy].is_duplicate and not items[first].is_duplicate
+    assert len(rows(spark, root, "analysis_results", "id")) == 3 and len(client.calls) == 1
+    logs = [read_table(spark, root, t) for t in ("items", "analysis_results", "push_events")]
+    status = {r.id: r.status for r in pipeline.item_status(*logs).collect()}
+    assert status[items["https://s.org/2"].id] == "ignored" and status[items["https://a.org/1"].id] == "pushed"
+    for child, key, parent, parent_key in FOREIGN_KEYS:
+        frames = read_table(spark, root, child), read_table(spark, root, parent)
+        assert checks.orphans(frames[0], key, frames[1], parent_key).isEmpty(), (child, key)
+
+
+def land(spark, root, writer, batch_id, docs, now=NOW):
+    from feedloom.sources.feeds import parse_feed_rows, split_rows
+
+    found = split_rows(parse_feed_rows(landed(spark, *docs)))
+    pipeline.land_batch(Batch(spark, root, writer, batch_id), found.items, found.rejects, now)
+
+
+def test_two_landing_writers_give_one_of_each(spark, root, monkeypatch):
+    """Both bring the same entries at once; one settling writer, with a crash and replays."""
+    client, write = Client(), Batch.write
+    options = pipeline.Options(deliver=client)
+    land(spark, root, "feeds", 0, [("a", A1), ("c", "<opml/>")])
+    land(spark, root, "reader", 0, [("a", A1), ("b", B1)])
+
+    def crash(self, table, frame):
+        if table == "analysis_results" and self.batch_id == 0:
+            # a batch that ends meanwhile is left to the next one
+            land(spark, root, "feeds", 1, [("s", SAME)])
+            raise RuntimeError("lost")
+        return write(self, table, frame)
+
+    monkeypatch.setattr(Batch, "write", crash)
+    with pytest.raises(RuntimeError):
+        pipeline.settle_pending(spark, root, NOW, options)
+    monkeypatch.setattr(Batch, "write", write)
+    assert pipeline.settle_pending(spark, root, NOW + timedelta(hours=1), options).batch_id == 0
+    assert rows(spark, root, "items", "canonical_url") == [("https://a.org/1",), ("https://a.org/2",), ("https://a.org/4",)]
+    before = {t: rows(spark, root, t, *COMPARED[t]) for t in TABLES}
+    pipeline.settle_batch(Batch(spark, root, "settle", 0), NOW, options)
+    assert before == {t: rows(spark, root, t, *COMPARED[t]) for t in TABLES}
+    assert pipeline.settle_pending(spark, root, NOW + timedelta(hours=2), options).batch_id == 1
+    land(spark, root, "reader", 1, [("s", SAME), ("a", A1)])
+    pipeline.settle_pending(spark, root, NOW + timedelta(hours=3), options)
+    pipeline.settle_pending(spark, root, NOW + timedelta(hours=4), options)
+    table = lambda name: read_table(spark, root, name)
+    for name, keys in UNIQUE_KEYS:
+        if name != "sources":
+            assert checks.unique_violations(table(name), keys).isEmpty(), (name, keys)
+    assert checks.unique_violations(table("analysis_results"), ["item_id"]).isEmpty()
+    assert checks.unique_violations(table("push_events"), ["item_id"]).isEmpty()
+    assert checks.unique_violations(table("group_keys"), ["key"]).isEmpty()
+    assert len(client.calls) == 1 and len(rows(spark, root, "items", "id")) == 5
+    assert [r[0] for r in rows(spark, root, "rejects", "reason")] == ["Unsupported feed format", "unreadable address"]
+
+
+def test_one_of_several_retrying_writers_gets_an_item(spark, root, monkeypatch):
+    def failing(outbound):
+        return outbound.select("id", F.lit(None).cast("string").alias("message_id"), F.lit("timeout").alias("error"))
+
+    run(spark, root, 0, [("a", A1)], deliver=failing)
+    client, write = Client(), Batch.write
+    options = pipeline.Options(deliver=client)
+    at = NOW + timedelta(seconds=10)
+
+    def interleaved(self, table, frame):
+        if table == "granted" and self.writer == "r1":
+            # the other one comes in between and steps back, for this one's lease is there
+            assert pipeline.retry_batch(Batch(spark, root, "r2", 0), at, options).count() == 0
+        return write(self, table, frame)
+
+    monkeypatch.setattr(Batch, "write", interleaved)
+    assert pipeline.retry_batch(Batch(spark, root, "r1", 0), at, options).count() == 1
+    monkeypatch.setattr(Batch, "write", write)
+    assert len(client.calls) == 1
+    for writer, batch_id in (("r1", 0), ("r2", 1)):
+        pipeline.retry_batch(Batch(spark, root, writer, batch_id), at + timedelta(hours=1), options)
+    assert len(client.calls) == 1 and rows(spark, root, "push_events", "status") == [("failed",), ("sent",)]
+
+
+def test_a_lost_writers_lease_ends(spark, root, monkeypatch):
+    def failing(outbound):
+        return outbound.select("id", F.lit(None).cast("string").alias("message_id"), F.lit("timeout").alias("error"))
+
+    run(spark, root, 0, [("a", A1)], deliver=failing)
+    client, write = Client(), Batch.write
+    options = pipeline.Options(deliver=client)
+
+    def crash(self, table, frame):
+        if table == "messages" and self.writer == "r1":
+            raise RuntimeError("lost")
+        return write(self, table, frame)
+
+    monkeypatch.setattr(Batch, "write", crash)
+    with pytest.raises(RuntimeError):
+        pipeline.retry_batch(Batch(spark, root, "r1", 0), NOW + timedelta(seconds=10), options)
+    monkeypatch.setattr(Batch, "write", write)
+    assert pipeline.retry_batch(Batch(spark, root, "r2", 0), NOW + timedelta(seconds=20), options).count() == 0
+    assert pipeline.retry_batch(Batch(spark, root, "r2", 1), NOW + timedelta(seconds=700), options).count() == 1
+    assert pipeline.retry_batch(Batch(spark, root, "r1", 0), NOW + timedelta(seconds=800), options).count() == 0
+    assert len(client.calls) == 1
