@@ -117,6 +117,25 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feed items; equal texts of a source have one title and differ in their address."""
+    rows = items(spark, sf_dir)
+    none = F.lit(None)
+    return rows.select(
+        "source_name",
+        F.concat(F.lit("https://"), "source_name", F.lit(".example.org/feed")).alias("source_url"),
+        F.col("id").cast("string").alias("external_id"),
+        F.col("canonical_url").alias("url"),
+        F.col("source_name").alias("title"),
+        none.cast("string").alias("author"),
+        none.cast("timestamp").alias("published_at"),
+        "content",
+        none.cast("map<string,string>").alias("raw_payload"),
+        (F.col("id") % 3).cast("int").alias("pos"),
+        F.lpad(F.col("id").cast("string"), 20, "0").alias("landed_seq"),
+    )
+
+
 def host(url: Column | str) -> Column:
     return F.lower(F.regexp_extract(url, "://([^/?#]*)", 1))
 

@@ -407,6 +407,34 @@ ORACLE: dict[str, str] = {
           SELECT w.id, p.parent_id FROM walk w JOIN parents p ON p.id = w.at WHERE p.parent_id IS NOT NULL)
         SELECT p.id, min(w.at) AS group_id, CASE WHEN p.parent_id IS NULL THEN 'new' ELSE 'ignored' END AS status
         FROM parents p JOIN walk w ON w.id = p.id GROUP BY p.id, p.parent_id""",
+    "pipeline_groups": f"""
+        WITH RECURSIVE {DUPLICATES},
+        walk AS (
+          SELECT id, coalesce(parent_id, id) AS at FROM parents
+          UNION ALL
+          SELECT w.id, p.parent_id FROM walk w JOIN parents p ON p.id = w.at WHERE p.parent_id IS NOT NULL)
+        SELECT p.id, min(w.at) AS group_id, CASE WHEN p.parent_id IS NULL THEN 'new' ELSE 'ignored' END AS status
+        FROM parents p JOIN walk w ON w.id = p.id GROUP BY p.id, p.parent_id""",
+    "settled_writers": f"""
+        WITH d AS (
+          SELECT doc_id, source, {norm("text")} AS content,
+                 'https://' || source || '.example.org/' || lang || '/' || doc_id AS canonical_url FROM documents),
+        g AS (
+          SELECT canonical_url, first_value(canonical_url) OVER (
+                   PARTITION BY source, content, CASE WHEN content = '' THEN doc_id END
+                   ORDER BY doc_id % 3 = 0, doc_id) AS first_url
+          FROM d)
+        SELECT canonical_url, first_url, canonical_url <> first_url AS is_duplicate,
+               CASE WHEN canonical_url = first_url THEN 'pushed' ELSE 'ignored' END AS status, 1 AS n_raw, 1 AS n_items,
+               (canonical_url = first_url)::BIGINT AS n_analyses, (canonical_url = first_url)::BIGINT AS n_messages
+        FROM g""",
+    "retry_leases": f"""
+        WITH l AS (
+          SELECT user_id AS item_id, ts + INTERVAL 1 HOUR AS leased_until, event_id % 4 AS w, event_id // 1000 AS batch_id
+          FROM events)
+        SELECT DISTINCT item_id FROM l WHERE w = 0 AND batch_id = 0 AND item_id NOT IN (
+          SELECT item_id FROM l
+          WHERE NOT (w = 0 AND batch_id = 0) AND leased_until > TIMESTAMP '2024-01-29 00:00:00' AND batch_id % 2 = 0)""",
     "feed_head_n_then_age": f"""
         WITH h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3)
         SELECT conv_id, turn, role FROM h

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import cards, dates, params, payload, scoring, slots, text, urls
 from feedloom.functions.html import with_html_text
-from feedloom.operators import checks, dedupe, digest, feedback, ingest, latest, messages, notes, retry, routing, upsert
+from feedloom.operators import checks, dedupe, digest, feedback, groups, ingest, latest, messages, notes, retry, routing, upsert
 from feedloom.operators.analyze import normalize_items
 from feedloom.operators.skew import left_join_unique
 from feedloom.plans import fixtures as fx
+from feedloom.session import materialize, shared_dir
 from feedloom.sources.feeds import parse_feeds
 from feedloom.sources.reader import parse_reader_pages
 from feedloom.sources.selection import sample_items, union_items
 from feedloom.streaming import pipeline
+from feedloom.streaming.tables import Batch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -628,3 +632,70 @@ def check_orphans(spark, sf_dir):
 def check_not_null(spark, sf_dir):
     customers = fx.table(spark, sf_dir, "customer").withColumn("c_acctbal", F.nullif("c_acctbal", F.abs("c_acctbal")))
     return checks.null_counts(customers, customers.columns)
+
+
+# ---- groups and writers over batches -----------------------------------------------------------
+
+
+@query
+def pipeline_groups(spark, sf_dir):
+    """Duplicate groups of two consecutive batches over a stored key index: those of one batch."""
+    rows = fx.duplicate_rows(spark, sf_dir).withColumnsRenamed({"url": "url_key", "hash": "content_key"})
+    rows = rows.withColumns({"at": F.col("created_at"), "own": F.col("id")})
+    middle = rows.agg(F.avg(F.col("own"))).scalar()
+    index = spark.createDataFrame([], "key string, at timestamp_ntz, group_id bigint")
+    first, keys = groups.join_groups(rows.filter(F.col("own") < middle), index, F.col("own"))
+    second, _ = groups.join_groups(rows.filter(F.col("own") >= middle), materialize(keys), F.col("own"))
+    status = F.when(F.col("is_duplicate"), "ignored").otherwise("new")
+    return first.unionByName(second).select("id", "group_id", status.alias("status"))
+
+
+@query
+def settled_writers(spark, sf_dir):
+    """Two writers land overlapping thirds of the documents; one settles them, twice. One of each comes out."""
+    root = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    entries = fx.feed_entries(spark, sf_dir)
+    none = spark.createDataFrame([], "source_url string, reason string, body string")
+    for writer, own in (("feeds", F.col("pos") != 0), ("reader", F.col("pos") != 1)):
+        pipeline.land_batch(Batch(spark, root, writer, 0), entries.filter(own), none, fx.NOW)
+    for _ in range(2):
+        pipeline.settle_batch(Batch(spark, root, "settle", 0), fx.NOW, pipeline.Options(push_min=0.0))
+    items, raw, analyses, events = (
+        read_table(spark, root, t) for t in ("items", "raw_items", "analysis_results", "push_events")
+    )
+    named = read_table(spark, root, "dedupe_groups").select(
+        F.col("id").alias("dedupe_group_id"), F.col("representative_item_id").alias("first_id")
+    )
+
+    def number(log, key, name):
+        return log.groupBy(F.col(key).alias(f"{name}_key")).agg(F.count("*").alias(name))
+
+    out = items.join(named, "dedupe_group_id")
+    out = out.join(items.select(F.col("id").alias("first_id"), F.col("canonical_url").alias("first_url")), "first_id")
+    out = out.join(pipeline.item_status(items, analyses, events, pipeline.Options(push_min=0.0)), "id")
+    for log, key, name, own in (
+        (raw, "url", "n_raw", "canonical_url"),
+        (items, "canonical_url", "n_items", "canonical_url"),
+        (analyses, "item_id", "n_analyses", "id"),
+        (events, "item_id", "n_messages", "id"),
+    ):
+        out = out.join(number(log, key, name), F.col(own) == F.col(f"{name}_key"), "left").fillna(0, [name])
+    return out.select(
+        "canonical_url", "first_url", "is_duplicate", "status", "n_raw", "n_items", "n_analyses", "n_messages"
+    )
+
+
+@query
+def retry_leases(spark, sf_dir):
+    """Users whose items a writer may retry: those that no live lease of a running batch of another holds."""
+    events = fx.table(spark, sf_dir, "events")
+    writer = F.concat(F.lit("w"), (F.col("event_id") % 4).cast("string"))
+    leases = events.select(
+        F.col("user_id").alias("item_id"),
+        (F.col("ts") + F.make_dt_interval(hours=F.lit(1))).alias("leased_until"),
+        writer.alias("writer"),
+        F.floor(F.col("event_id") / 1000).alias("batch_id"),
+    )
+    done = leases.filter("batch_id % 2 = 1").select("writer", "batch_id")
+    asked = leases.filter("writer = 'w0' AND batch_id = 0").select("item_id").distinct()
+    return retry.grantable(asked, leases, done, "w0", 0, datetime(2024, 1, 29))
