@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def schedule_times(value: str = DEFAULT_TIMES, fallback_hours: str = DEFAULT_HOU
     return sorted(minutes) or schedule_hours(fallback_hours)
 
 
+def slot_after(instant: datetime, minutes: list[int], zone: str = DEFAULT_ZONE) -> datetime:
+    """The instant of the first slot of the local day strictly after ``instant``."""
+    local = instant.astimezone(ZoneInfo(zone))
+    midnight = local.replace(hour=0, minute=0, second=0, microsecond=0)
+    for day in (0, 1, 2):
+        for minute in minutes:
+            at = (midnight + timedelta(days=day)).replace(hour=minute // 60, minute=minute % 60)
+            if at.astimezone(ZoneInfo("UTC")) > instant:
+                return at.astimezone(instant.tzinfo)
+    raise ValueError("no slots")
+
+
 def local_time(instant: Column, zone: str = DEFAULT_ZONE) -> Column:
     """Wall-clock time (no zone) of an instant, or of a UTC wall-clock column; any session zone."""
     micros = F.unix_micros(instant.cast("timestamp")).cast("decimal(20,0)") / 1_000_000

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.params import digest_limit
-from feedloom.operators.latest import left_join_latest, top_n_per_key
+from feedloom.operators.latest import latest_per_key, left_join_latest, top_n_per_key
 from feedloom.operators.routing import DIGEST_MIN, PUSH_MIN, not_yet_sent, score_band
 
 DIGEST_SUFFIX = ":digest"
@@ -46,6 +46,36 @@ def digest_candidates(
     return not_yet_sent(banded, push_events, digest_recipient(recipient), force)
 
 
+def open_items(
+    state: DataFrame,
+    items: DataFrame,
+    analyses: DataFrame,
+    push_events: DataFrame,
+    recipient: str,
+    push_min: float = PUSH_MIN,
+    digest_min: float = DIGEST_MIN,
+) -> DataFrame:
+    """The items that wait for a digest: those that waited before, and new ones, without what was sent.
+
+    ``state`` is the result of the digest before; the other tables hold only what came since, an
+    analysis with its item or for one that waits. The newest analysis of an item counts. An item that
+    was sent, in a digest or alone, or that leaves the band, waits no longer.
+    """
+    came = analyses.select(
+        F.col("item_id").alias("id"),
+        "importance_score",
+        F.col("created_at").alias("analyzed_at"),
+        F.col("id").alias("analysis_id"),
+    )
+    known = items.select("id", "created_at").unionByName(state.select("id", "created_at"))
+    known = latest_per_key(known, ["id"], [F.col("created_at")])
+    every = came.join(known, "id").select(*state.columns).unionByName(state)
+    newest = latest_per_key(every, ["id"], [F.col("analyzed_at").desc(), F.col("analysis_id").desc()])
+    banded = score_band(newest, "importance_score", digest_min, push_min)
+    heard = F.col("recipient").isin(recipient, digest_recipient(recipient))
+    return not_yet_sent(banded, push_events.filter(heard))
+
+
 def select_digest(candidates: DataFrame, limit: int | str | None = 10) -> DataFrame:
     """The newest items, at most ``limit`` (clamped to 1..20)."""
     return candidates.orderBy(*newest_first()).limit(digest_limit(limit))

@@ -53,6 +53,10 @@ TABLES = {
     # Who wants to retry an item until when, and who may.
     "leases": "item_id string, leased_at timestamp, leased_until timestamp",
     "granted": "item_id string, leased_at timestamp",
+    # Per digest: the items in its band that nobody was sent yet, what the next digest starts from.
+    "open_items": """
+        id string, created_at timestamp, importance_score decimal(4,3), analyzed_at timestamp, analysis_id string
+        """,
     # What the client said to each message of a batch, written before anything is logged.
     "answers": "id string, message_id string, error string",
     "batch_times": "batch_at timestamp",

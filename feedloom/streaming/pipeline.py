@@ -20,6 +20,7 @@ from feedloom.functions.text import content_hash, sha256_text
 from feedloom.operators import digest, feedback, groups, ingest, latest, messages, notes, retry, routing, upsert
 from feedloom.operators.analyze import analyze_items, normalize_items
 from feedloom.operators.skew import distinct_keys, left_join_unique
+from feedloom.schemas import TABLES
 from feedloom.session import materialize
 from feedloom.streaming.tables import Batch, next_batch
 
@@ -403,19 +404,85 @@ def _deliver(batch: Batch, carded: DataFrame, recipient: str, now: datetime, opt
     return batch.write("push_events", log)
 
 
-def digest_batch(
-    batch: Batch, now: datetime, limit: int | str | None = 10, force: bool = False, options: Options = Options()
-) -> DataFrame:
-    """Select, card and log one digest; returns the logged events (none when nothing waits)."""
+def waiting_items(batch: Batch, options: Options) -> DataFrame:
+    """What waits for this digest, from what the one before left and what came since.
+
+    Without a state of the digest before, as for the first one, the whole logs are read.
+    """
+    state = Batch(batch.spark, batch.root, batch.writer, batch.batch_id - 1).own("open_items")
+    read = batch.prior if state is None else batch.new
+    if state is None:
+        state = batch.spark.createDataFrame([], TABLES["open_items"])
+    found = digest.open_items(
+        state, current_items(read("items")), read("analysis_results"), read("push_events"),
+        options.recipient, options.push_min, options.digest_min,
+    )
+    return materialize(found)
+
+
+def every_item(batch: Batch, options: Options) -> DataFrame:
+    """What a forced digest chooses from: items in the band, sent in a digest before or not."""
     items = current_items(batch.prior("items")).select("id", "created_at")
     events = batch.prior("push_events")
     ready = routing.not_yet_sent(items, events, options.recipient).withColumn("status", F.lit("ready"))
-    waiting = digest.digest_candidates(
-        ready, batch.prior("analysis_results"), events, options.recipient, force,
-        options.push_min, options.digest_min,
-    )
+    return digest.digest_candidates(
+        ready, batch.prior("analysis_results"), events, options.recipient, True, options.push_min, options.digest_min
+    )
+
+
+def digest_batch(
+    batch: Batch,
+    now: datetime,
+    limit: int | str | None = 10,
+    force: bool = False,
+    options: Options = Options(),
+    until: datetime | None = None,
+) -> DataFrame:
+    """Select, card and log one digest; returns the logged events (none when nothing waits).
+
+    Items that came after ``until``, that are beyond the limit or whose message failed wait on: they
+    are logged as the state that the next digest starts from.
+    """
+    waiting = waiting_items(batch, options)
+    pool = every_item(batch, options) if force else waiting
+    if until is not None:
+        pool = pool.filter(F.col("created_at") <= _at(until))
+    chosen = materialize(digest.select_digest(pool.select("id", "created_at"), limit))
+    logged = _digest(batch, chosen, now, options)
+    batch.write("open_items", routing.not_yet_sent(waiting, logged))
+    batch.done(now)
+    return logged
+
+
+def digest_due_slots(
+    spark: SparkSession,
+    root: str,
+    now: datetime,
+    start: datetime,
+    minutes: list[int],
+    limit: int | str | None = 10,
+    options: Options = Options(),
+    writer: str = "digest",
+) -> int:
+    """One digest for each slot of the local day up to ``now`` that had none; returns their number.
+
+    The first slot is the one after ``start``, later calls go on after the last digest. What a slot
+    does not take is carried over to the next. A slot whose run was lost is run again, with its time.
+    """
+    ran = 0
+    while True:
+        batch = next_batch(spark, root, writer)
+        before = batch.last_time(now)
+        slot = slots.slot_after(before or start, minutes, options.zone)
+        if slot > now:
+            return ran
+        at = batch.time(slot)
+        digest_batch(batch, at, limit, options=options, until=at)
+        ran += 1
+
+
+def _digest(batch: Batch, chosen: DataFrame, now: datetime, options: Options) -> DataFrame:
     recipient = digest.digest_recipient(options.recipient)
-    chosen = materialize(digest.select_digest(waiting.select("id", "created_at"), limit))
     lines = with_digest_line(digest.number_lines(described_items(batch, chosen.select("id"))))
     members = lines.select("id", "idx", "line")
     card = digest_card(members).select(sha256_text("card").alias("id"), "card")
@@ -430,9 +497,7 @@ def digest_batch(
     said = F.col("message_id")
     message_id = F.when(said == messages.DRY_RUN, F.lit(messages.DIGEST_DRY_RUN)).otherwise(said)
     log = messages.delivery_events(answered, recipient, now, message_id, F.col("error"))
-    logged = batch.write("push_events", log)
-    batch.done(now)
-    return logged
+    return batch.write("push_events", log)
 
 
 # ---- feedback and notes --------------------------------------------------------------------------

@@ -86,6 +86,14 @@ class Batch:
         rows.select(*TABLE_COLUMNS[table]).write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(TABLES[table]).parquet(folder)
 
+    def last_time(self, now: datetime) -> datetime | None:
+        """The time of this writer's batch before, in the zone of ``now``."""
+        marks = read_table(self.spark, self.root, "batch_times").filter(
+            (F.col("writer") == self.writer) & (F.col("batch_id") == self.batch_id - 1)
+        )
+        known = marks.select(F.unix_micros("batch_at")).head()
+        return None if known is None else datetime.fromtimestamp(known[0] / 1_000_000, tz=now.tzinfo)
+
     def time(self, now: datetime) -> datetime:
         """The time of this batch: ``now`` on the first run, the same again on a replay."""
         mark = read_table(self.spark, self.root, "batch_times").filter(

@@ -98,7 +98,7 @@ COMPARED = {
     "messages": ["id", "card"], "push_events": ["id", "status"], "feedback": ["id"], "notes": ["id"],
     "rejects": ["key", "reason", "created_at"], "batch_times": ["batch_at"], "answers": ["id", "message_id"],
     "batch_views": ["seen_writer", "seen_batch"], "batch_done": ["done_at"], "entries": ["external_id", "landed_seq"],
-    "group_keys": ["key", "group_id"], "leases": ["item_id", "leased_at"], "granted": ["item_id"],
+    "group_keys": ["key", "group_id"], "open_items": ["id", "created_at"], "leases": ["item_id", "leased_at"], "granted": ["item_id"],
 }
 
 
@@ -392,3 +392,28 @@ def test_a_lost_writers_lease_ends(spark, root, monkeypatch):
     assert pipeline.retry_batch(Batch(spark, root, "r2", 1), NOW + timedelta(seconds=700), options).count() == 1
     assert pipeline.retry_batch(Batch(spark, root, "r1", 0), NOW + timedelta(seconds=800), options).count() == 0
     assert len(client.calls) == 1
+
+
+def test_slots_take_turns_and_carry_over(spark, root):
+    """Two slots pass at once; each takes one item, newest first, and the rest waits; replays change nothing."""
+    late = feed("Late", ("l1", "https://l.org/1", "Later", "plain too", DAY))
+    run(spark, root, 0, [("a", A1)])
+    run(spark, root, 1, [("l", late)], now=NOW + timedelta(hours=5))
+    options = pipeline.Options(zone="UTC")
+    day = [60, 120, 360]
+
+    def due(hours):
+        return pipeline.digest_due_slots(spark, root, NOW + timedelta(hours=hours), NOW, day, 1, options)
+
+    assert (due(0.5), due(2), due(2), due(6.5)) == (0, 2, 0, 1)
+    names = {r.id: r.canonical_url[-3:] for r in read_table(spark, root, "items").collect()}
+    sent = read_table(spark, root, "push_events").filter("writer = 'digest'").select("batch_id", "item_id").collect()
+    assert sorted(r.batch_id for r in sent) == [0, 1, 2]
+    assert {names[r.item_id] for r in sent if r.batch_id < 2} == {"g/2", "g/4"}
+    assert {names[r.item_id] for r in sent if r.batch_id == 2} == {"g/1"}
+    before = {t: rows(spark, root, t, *COMPARED[t]) for t in TABLES}
+    batch = Batch(spark, root, "digest", 1)
+    pipeline.digest_batch(batch, batch.time(NOW), 1, options=options, until=batch.time(NOW))
+    assert before == {t: rows(spark, root, t, *COMPARED[t]) for t in TABLES}
+    state = Batch(spark, root, "digest", 2).own("open_items")
+    assert state.isEmpty()
