@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import sha256_text
 from feedloom.operators.analyze import analyze_items
+from feedloom.schemas import TABLE_COLUMNS, TABLES
+from feedloom.streaming.tables import Batch
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -136,6 +138,34 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_logs(spark: SparkSession, sf_dir: str, batch: Batch) -> None:
+    """Items, raw items, sources, analyses and deliveries of the fixture as one batch of the pipeline's logs."""
+    own = {c: F.col(c).cast("timestamp") for c in ("created_at",)}
+    rows = items(spark, sf_dir).withColumns({**own, "key": F.col("id").cast("string")})
+    empty = F.lit(None)
+
+    def write(table_name: str, frame: DataFrame) -> None:
+        kinds = dict(part.split()[:2] for part in TABLES[table_name].replace("\n", " ").split(", "))
+        missing = {c: empty.cast(kinds[c]) for c in TABLE_COLUMNS[table_name] if c not in frame.columns}
+        batch.write(table_name, frame.withColumns(missing))
+
+    source = sha256_text("source_name").alias("source_id")
+    write("items", rows.select(F.col("key").alias("id"), F.col("key").alias("raw_item_id"), "title", "content", "canonical_url", "created_at"))
+    write("raw_items", rows.select(F.col("key").alias("id"), source, F.lit(True).alias("created"), "created_at"))
+    write("sources", rows.select(sha256_text("source_name").alias("id"), F.col("source_name").alias("name")).distinct())
+    log = analysis_log(spark, sf_dir).withColumns(
+        {
+            "id": F.col("id").cast("string"),
+            "item_id": F.col("item_id").cast("string"),
+            "importance_score": F.col("importance_score").cast("decimal(4,3)"),
+            **own,
+        }
+    )
+    write("analysis_results", log)
+    write("push_events", push_log(spark, sf_dir).withColumns({"item_id": F.col("item_id").cast("string"), **own}))
+    batch.done(NOW)
+
+
 def host(url: Column | str) -> Column:
     return F.lower(F.regexp_extract(url, "://([^/?#]*)", 1))
 

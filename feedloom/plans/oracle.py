@@ -428,6 +428,19 @@ ORACLE: dict[str, str] = {
                CASE WHEN canonical_url = first_url THEN 'pushed' ELSE 'ignored' END AS status, 1 AS n_raw, 1 AS n_items,
                (canonical_url = first_url)::BIGINT AS n_analyses, (canonical_url = first_url)::BIGINT AS n_messages
         FROM g""",
+    "slot_digests": f"""
+        WITH {ANALYSIS_LOG}, {PUSH_LOG},
+        w AS (
+          SELECT i.id, i.created_at FROM items i JOIN latest_score s ON s.item_id = i.id
+          WHERE s.importance_score >= 0.5 AND s.importance_score < 0.75 AND i.id NOT IN (
+            SELECT item_id FROM push_log WHERE status = 'sent' AND recipient IN ('dry-run', 'dry-run:digest'))),
+        s1 AS (SELECT id FROM w WHERE created_at <= {START} + INTERVAL 60 MINUTE ORDER BY created_at DESC LIMIT 10),
+        s2 AS (SELECT id FROM w WHERE created_at <= {START} + INTERVAL 90 MINUTE AND id NOT IN (FROM s1)
+               ORDER BY created_at DESC LIMIT 10),
+        s3 AS (SELECT id FROM w WHERE created_at <= {START} + INTERVAL 150 MINUTE AND id NOT IN (FROM s1)
+                 AND id NOT IN (FROM s2) ORDER BY created_at DESC LIMIT 10)
+        SELECT 1 AS slot, id, 'sent' AS status FROM s1 UNION ALL SELECT 2, id, 'sent' FROM s2
+        UNION ALL SELECT 3, id, 'sent' FROM s3""",
     "retry_leases": f"""
         WITH l AS (
           SELECT user_id AS item_id, ts + INTERVAL 1 HOUR AS leased_until, event_id % 4 AS w, event_id // 1000 AS batch_id

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -699,3 +699,18 @@ def retry_leases(spark, sf_dir):
     done = leases.filter("batch_id % 2 = 1").select("writer", "batch_id")
     asked = leases.filter("writer = 'w0' AND batch_id = 0").select("item_id").distinct()
     return retry.grantable(asked, leases, done, "w0", 0, datetime(2024, 1, 29))
+
+
+@query
+def slot_digests(spark, sf_dir):
+    """Three slots over the fixture's logs: band, sent check and carry-over; the second one is replayed."""
+    root = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    fx.write_logs(spark, sf_dir, Batch(spark, root, "feeds", 0))
+    options = pipeline.Options(push_min=fx.PUSH_MIN, digest_min=fx.DIGEST_MIN, zone="UTC")
+    pipeline.digest_due_slots(spark, root, start + timedelta(hours=3), start, [60, 90, 150], 10, options)
+    again = Batch(spark, root, "digest", 1)
+    at = again.time(start)
+    pipeline.digest_batch(again, at, 10, options=options, until=at)
+    sent = read_table(spark, root, "push_events").filter("writer = 'digest'")
+    return sent.select((F.col("batch_id") + 1).alias("slot"), F.col("item_id").cast("long").alias("id"), "status")
