@@ -64,49 +64,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM docs LEFT JOIN kept USING (rid)
 """
 
-QUALITY_RULES = r"""
-WITH docs AS (
-    SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h
-    FROM documents
-), split AS (
-    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
-    FROM docs
-), windows AS (
-    SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n
-    FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM split)
-), repeats AS (
-    SELECT rid, count(DISTINCT i + k) AS n FROM windows, range(3) AS r(k) WHERE n > 1 GROUP BY rid
-), line_rows AS (
-    SELECT rid, doc_id, source, h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-           md5(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
-               '[\x20\x09-\x0D]+', ' ', 'g'), ' '))[:16] AS key
-    FROM (SELECT rid, doc_id, source, h, unnest(lines) AS line FROM split)
-), firsts AS (
-    SELECT rid, list_sort(list_distinct(list(key))) AS keys FROM line_rows GROUP BY rid
-), versions AS (
-    SELECT l.source, l.key, CASE WHEN keys[1] = l.key THEN keys[2] ELSE keys[1] END AS other,
-           count(DISTINCT (doc_id, h)) AS n
-    FROM line_rows l JOIN firsts USING (rid) GROUP BY ALL
-), shared AS (
-    SELECT source, key FROM versions GROUP BY ALL HAVING sum(n) > 20 AND max(n) * 10 <= sum(n)
-), lost AS (
-    SELECT rid, sum(l.n) AS n FROM line_rows l JOIN shared s ON l.source IS NOT DISTINCT FROM s.source AND l.key = s.key
-    GROUP BY rid
-), counted AS (
-    SELECT rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-           coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(o.n, 0)::BIGINT AS n_lost_words
-    FROM split LEFT JOIN repeats r USING (rid) LEFT JOIN lost o USING (rid)
-), judged AS (
-    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 2 * n_lost_words <= n_words AS kept, n_lost_words
-FROM judged
-"""
-
 # Patterns of the secret rules; the last number is the group whose length counts, with its least.
 _SECRETS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -229,5 +186,4 @@ ORACLE = {
     "op6_secrets": SECRETS,
     "op3_mix_sources": MIX_SOURCES,
     "op4_substrings": SUBSTRINGS,
-    "op5_quality_rules": QUALITY_RULES,
 }

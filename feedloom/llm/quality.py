@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.simhash import text_versions
+from feedloom.operators.skew import left_join_unique
 from feedloom.session import materialize
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,17 +19,14 @@ SYMBOLS = "#*$%&|<>"
 # Normalised lines: A-Z lower-cased, digits as 0, white space collapsed.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 MIN_WORDS = 50
-# A line is boilerplate of its host above this many documents.
+# A line is boilerplate of its host above this many documents; near copies of one text are one.
 MAX_DOCS = 20
-# Documents that agree in their other lines are versions of one text. A line is not boilerplate of
-# its host if more than one in KIN of its documents are versions of one text.
-KIN = 10
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ROW = (
     "doc_id long, host string, text_hash string, "
     + ", ".join(f"{c} long" for c in COUNTS)
-    + ", line_hash array<long>, line_words array<int>, first_line long, second_line long"
+    + ", line_hash array<long>, line_words array<int>"
 )
 
 
@@ -54,13 +53,12 @@ def line_key(line: bytes) -> int:
 
 
 def measure(text: str) -> tuple:
-    """The base counts, then hash and words of each line with a word, then its two smallest hashes."""
+    """The base counts, then hash and words of each line with a word."""
     data = text.encode()
     words = data.split()
     lines = [(line, len(own)) for line in data.split(b"\n") if (own := line.split())]
     known: dict[bytes, int] = {line: line_key(line) for line, _ in dict.fromkeys(lines)}
     keys = [known[line] for line, _ in lines]
-    low = sorted(set(keys))[:2]
     return (
         hashlib.md5(data).hexdigest(),
         len(words),
@@ -70,8 +68,6 @@ def measure(text: str) -> tuple:
         repeat_words(words),
         [signed(k) for k in keys],
         [n for _, n in lines],
-        *[signed(k) for k in low],
-        *[None] * (2 - len(low)),
     )
 
 
@@ -81,8 +77,8 @@ def signed(key: int) -> int:
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-    names = ["doc_id", "host", "text_hash", *COUNTS, "line_hash", "line_words", "first_line", "second_line"]
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", "host", "text_hash", *COUNTS, "line_hash", "line_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,32 +91,25 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     return narrow.mapInArrow(run, ROW)
 
 
-def boilerplate_lines(rows: DataFrame, max_docs: int = MAX_DOCS, kin: int = KIN) -> DataFrame:
-    """(host, line): lines in more than ``max_docs`` distinct documents of a host that differ otherwise.
+def boilerplate_lines(rows: DataFrame, versions: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line): lines in more than ``max_docs`` distinct documents of a host.
 
-    ``other`` is the smallest hash among a document's other lines, so edited copies of a text mostly
-    agree in it. A document is known by its id and its text.
+    Near copies of one text, which ``versions`` (text_hash, version) tells, are one document. Copies
+    on a host meet in one row before their lines are listed, and a line's versions are counted by
+    partial aggregates.
     """
-    lines = rows.select(
-        "host", "doc_id", "text_hash", "first_line", "second_line",
-        F.explode(F.array_distinct("line_hash")).alias("line"),
-    )
-    other = F.when(F.col("first_line") == F.col("line"), F.col("second_line")).otherwise(F.col("first_line"))
-    seen = lines.select("host", "line", other.alias("other"), "doc_id", "text_hash").distinct()
-    versions = seen.groupBy("host", "line", "other").agg(F.count("*").alias("n"))
-    return (
-        versions.groupBy("host", "line")
-        .agg(F.sum("n").alias("n_docs"), F.max("n").alias("largest"))
-        .filter((F.col("n_docs") > max_docs) & (F.col("largest") * kin <= F.col("n_docs")))
-        .select("host", "line")
-    )
+    texts = rows.groupBy("host", "text_hash").agg(F.any_value("line_hash").alias("line_hash"))
+    named = left_join_unique(materialize(texts), versions.withColumnRenamed("text_hash", "__text"), "text_hash", "__text")
+    lines = named.select("host", "version", F.explode(F.array_distinct("line_hash")).alias("line")).distinct()
+    return lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "line")
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str, host: str) -> tuple[DataFrame, DataFrame]:
     """The measured rows, and per document the hashes of its boilerplate lines."""
     rows = materialize(measured(docs, doc_id, text, host))
+    versions = materialize(text_versions(docs, doc_id, text))
     shared = materialize(
-        boilerplate_lines(rows).select(F.col("host").alias("__host"), F.col("line").alias("__line"))
+        boilerplate_lines(rows, versions).select(F.col("host").alias("__host"), F.col("line").alias("__line"))
     )
     lines = rows.select("host", "doc_id", "text_hash", F.explode(F.array_distinct("line_hash")).alias("line"))
     hit = lines.join(shared, F.col("host").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line")))
@@ -154,14 +143,15 @@ def quality_rules(
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words).
 
     One row per input row. Lines are normalised and hashed; a line that more than ``MAX_DOCS``
-    distinct documents of a host share, and that are not versions of one text, is removed from all
-    of them. ``kept`` is false if a base rule fails or if that removes more than half of the words.
+    distinct documents of a host share is removed from all of them. Documents that the SimHash
+    operator groups, as near copies of one text, count as one. ``kept`` is false if a base rule fails
+    or if that removes more than half of the words.
 
     Counts are map-side combined, so a line of any frequency is spread; no list of documents per
     line is ever gathered.
 
-    Null and empty texts have no words and fail the base rules. Null hosts are one host. Rows with
-    the same id and text count as one document. Other columns are not read, whatever their names.
+    Null and empty texts have no words and fail the base rules. Null hosts are one host. Repeated rows
+    are judged alike and count as one document. Texts are read whole, however long. Other columns are not read, whatever their names.
     An empty table gives an empty result.
     """
     rows, cut = _removed(docs, doc_id, text, host)
@@ -181,6 +171,7 @@ def clean_documents(
     """The documents that ``quality_rules`` keeps, without their boilerplate lines; same columns.
 
     ``length`` names a column to hold the new number of characters. Texts move once, by id and hash.
+    Null and empty texts are not kept, repeated rows come as often as before, an empty table stays empty.
     """
     rows, cut = _removed(docs, doc_id, text, host)
     good = _judged(rows, cut).filter(~F.col("base_failed") & (2 * F.col("n_lost_words") <= F.col("n_words")))

@@ -228,6 +228,13 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, max_bits: in
     )
 
 
+def text_versions(docs: DataFrame, doc_id: str, text: str, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """(text_hash, version): for the MD5 of each distinct text a number that its near copies share."""
+    rows, roots = _grouped(docs, doc_id, text, shingle, max_bits)
+    texts = rows.select("text_hash", "fingerprint").distinct()
+    return texts.join(roots, F.col("fingerprint") == F.col("__print")).select("text_hash", F.col("root").alias("version"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:

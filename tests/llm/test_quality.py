@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from test_simhash import plain_components
+
 from feedloom.llm import quality
 
 COLUMNS = "doc_id long, text string, source string, kept string, n_words int"
@@ -23,17 +25,12 @@ def plain_key(line):
 def plain_rules(rows):
     """Base counts and verdict by dictionaries over all rows."""
     lines_of = [[x for x in (t or "").split("\n") if x.encode().split()] for _, t, _ in rows]
-    seen = defaultdict(lambda: defaultdict(set))
-    for (i, t, s), lines in zip(rows, lines_of, strict=True):
-        keys = sorted({plain_key(x) for x in lines})
-        for k in keys:
-            other = next((x for x in keys if x != k), None)
-            seen[s, k][other].add((i, t or ""))
-    shared = set()
-    for at, versions in seen.items():
-        sizes = [len(v) for v in versions.values()]
-        if sum(sizes) > quality.MAX_DOCS and max(sizes) * quality.KIN <= sum(sizes):
-            shared.add(at)
+    near = plain_components([(n, t) for n, (_, t, _) in enumerate(rows)])
+    seen = defaultdict(set)
+    for (_, _, s), lines, (_, _, version) in zip(rows, lines_of, near, strict=True):
+        for k in {plain_key(x) for x in lines}:
+            seen[s, k].add(version)
+    shared = {at for at, versions in seen.items() if len(versions) > quality.MAX_DOCS}
     out = []
     for (i, t, s), lines in zip(rows, lines_of, strict=True):
         t = t or ""
@@ -55,10 +52,10 @@ def some_rows():
     notice, menu = "Copyright 2019 All rights  reserved", " ".join(["home", "about"] * 40)
     rows = [(i, f"{line(70)}\n{notice.replace('2019', str(2000 + i))}\n{line(20)}", "a") for i in range(30)]
     rows += [(100 + i, f"{line(55)}\n{menu}\n\n{menu}\n{line(5)}", "a") for i in range(25)]
-    text = [line(30) for _ in range(6)]
+    text = [line(300) for _ in range(6)]
     for i in range(60):
         edited = list(text)
-        edited[rnd.randrange(6)] += " " + word()
+        edited[rnd.randrange(6)] += " " + word()  # few of its 1800 windows: bits that SimHash bridges
         rows.append((200 + i, "\n".join(edited), "a"))
     rows += [(300 + i, f"{line(60)}\n{notice}", None) for i in range(22)]
     rows += [(400, f"{line(60)}\n{notice}", "b"), (401, None, "a"), (402, "", None), (403, " \n\t\n", "a")]
@@ -89,6 +86,21 @@ def test_clean_documents_lose_the_shared_lines(spark):
     assert got[400].text == next(t for i, t, _ in rows if i == 400)
 
 
+def test_lines_that_come_together_go_together(spark):
+    """Header and footer, a notice of five lines, and a header of which 30 in 200 pages are copies."""
+    rnd = random.Random(7)
+    body = lambda n: "\n".join(" ".join(f"b{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(n))
+    notice = "\n".join(f"term {x} of the licence applies" for x in "abcde")
+    rows = [(i, f"head line of all pages\n{body(1 + i % 3)}\nfoot line of all pages", "x") for i in range(60)]
+    rows += [(100 + i, f"{body(1)}\n{notice}", "y") for i in range(40)]
+    copied = f"head of z\n{body(2)}"
+    rows += [(200 + i, copied if i < 30 else f"head of z\n{body(2)}", "z") for i in range(100)]
+    rows += [(400 + i, copied, "copies alone") for i in range(50)]
+    lost = {r.doc_id: r.n_lost_words for r in quality.quality_rules(documents(spark, rows)).collect()}
+    assert {lost[i] for i in range(60)} == {10} and {lost[100 + i] for i in range(40)} == {30}
+    assert {lost[200 + i] for i in range(100)} == {3} and {lost[400 + i] for i in range(50)} == {0}
+
+
 def test_empty_table(spark):
     assert quality.quality_rules(documents(spark, [])).count() == 0
     assert quality.clean_documents(documents(spark, [])).count() == 0
