@@ -281,9 +281,13 @@ def unique_documents(
     kept = materialize(kept.select(_document(F.col("first.doc_id"), F.col("first.text_hash")).alias("__kept")))
     values = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     own = _document(F.col(doc_id).cast("long"), _text_hash(F.col(text).cast("string")))
-    marked = docs.withColumns({"__own": own, "__all": F.xxhash64(*values)})
+    # names that the table does not have
+    taken = max(map(len, docs.columns))
+    key, every, rank = (f"__{name}_".ljust(taken + 1, "_") for name in ("own", "all", "n"))
+    marked = docs.withColumns({key: own, every: F.xxhash64(*values)})
     # one key for both, so that the window finds the rows where the join has put them
-    repeats = Window.partitionBy("__own").orderBy("__all")
-    first = marked.join(kept, F.col("__own") == F.col("__kept"), "left_semi")
-    first = first.withColumn("__n", F.row_number().over(repeats)).filter("__n = 1")
+    repeats = Window.partitionBy(key).orderBy(every)
+    kept = kept.withColumnRenamed("__kept", f"{key}kept")
+    first = marked.join(kept, F.col(key) == F.col(f"{key}kept"), "left_semi")
+    first = first.withColumn(rank, F.row_number().over(repeats)).filter(F.col(rank) == 1)
     return first.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -100,6 +100,7 @@ def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, root string, __n long")
     out = simhash.unique_documents(docs)
     assert out.columns == docs.columns
+    assert all(r["__n"] == r.doc_id for r in out.collect())
     component = {r[0]: r[2] for r in plain_components(rows) if r[0] is not None}
     got = [r.doc_id for r in out.collect()]
     assert sorted(x for x in got if x is not None) == sorted(set(component.values()))
