@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.llm.names import free_names
 from feedloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -171,25 +172,27 @@ def mixed_documents(
 
     A document that the mix takes in part is not torn: it comes once more as a whole, so a source
     may run over its target by less than one document. Documents of which nothing is taken go.
-    Rows with the same id, source and size come equally often. Nulls are handled as in the mix.
+    Rows with the same id, source and size come equally often. Nulls are handled as in the mix, null
+    and empty texts go. Columns of any name keep their values; an empty table stays empty.
 
     What a source takes in its last epoch is a range of the random order, so its end is all that
     the rows have to know: one row per source goes to the texts, which do not move.
     """
     order = ["key", "doc_id", "size"]
+    own, epochs, cut, at, times, epoch = free_names(docs, "source", "epochs", "cut", "place", "times", "epoch")
     mixed = _mixed(docs, doc_id, text, source, seed=seed, **mix)
     cuts = materialize(
-        mixed.groupBy(F.col("source").alias("__mix_source")).agg(
-            F.max("epochs").alias("__mix_epochs"),
-            F.max(F.when(F.col("last") > 0, F.struct(*order))).alias("__mix_cut"),
+        mixed.groupBy(F.col("source").alias(own)).agg(
+            F.max("epochs").alias(epochs),
+            F.max(F.when(F.col("last") > 0, F.struct(*order))).alias(cut),
         )
     )
     whole = F.col(source).cast("string")
     key, size = random_key(F.col(doc_id), seed), word_count(F.col(text))
     place = F.struct(key.alias("key"), F.col(doc_id).cast("long").alias("doc_id"), size.alias("size"))
-    joined = docs.withColumn("__mix_place", place).join(cuts, whole.eqNullSafe(F.col("__mix_source")))
-    again = F.coalesce((F.col("__mix_place") <= F.col("__mix_cut")).cast("int"), F.lit(0))
-    times = F.when(F.col("__mix_place.size") > 0, F.col("__mix_epochs").cast("int") + again).otherwise(0)
-    kept = joined.withColumn("__mix_times", times).filter("__mix_times > 0")
-    numbered = kept.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
+    joined = docs.withColumn(at, place).join(cuts, whole.eqNullSafe(F.col(own)))
+    again = F.coalesce((F.col(at) <= F.col(cut)).cast("int"), F.lit(0))
+    often = F.when(F.col(at)["size"] > 0, F.col(epochs).cast("int") + again).otherwise(0)
+    kept = joined.withColumn(times, often).filter(F.col(times) > 0)
+    numbered = kept.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times))))
     return numbered.select(*[F.col(f"`{c}`") for c in docs.columns])

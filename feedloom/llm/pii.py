@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.names import free_names
 from feedloom.llm.spans import Kind, with_spans, written
 from feedloom.operators.stage import compute_once
 from feedloom.session import materialize
@@ -223,14 +224,17 @@ def redact_documents(
 ) -> DataFrame:
     """All documents with personal data replaced by its kind; same columns, texts move once.
 
-    ``length`` names a column to hold the new number of characters. Null texts stay null.
+    ``length`` names a column to hold the new number of characters. Null texts stay null and empty
+    ones empty; null ids and repeated rows are kept, each row redacted alike. Texts are read whole,
+    however long. Columns of any name keep their values; an empty table stays empty.
     """
-    spans = all_spans(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("key").alias("__key"), "spans")
-    spans = materialize(spans.dropDuplicates(["__key"]).withColumnRenamed("spans", "__spans"))
+    own, marks, result = free_names(docs, "key", "spans", "clean")
+    spans = all_spans(docs, doc_id, text).filter(F.size("spans") > 0)
+    spans = materialize(spans.select(F.col("key").alias(own), F.col("spans").alias(marks)).dropDuplicates([own]))
     key = document_key(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    joined = docs.join(spans, key == F.col("__key"), "left")
-    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("__spans")))
-    out = compute_once(joined, {"__clean": clean}).withColumn(text, F.col("__clean"))
+    joined = docs.join(spans, key == F.col(own), "left")
+    clean = F.when(F.col(marks).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(marks)))
+    out = compute_once(joined, {result: clean}).withColumn(text, F.col(result))
     if length:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.names import free_names
 from feedloom.llm.simhash import text_versions
 from feedloom.operators.skew import left_join_unique
 from feedloom.session import materialize
@@ -172,20 +173,28 @@ def clean_documents(
 
     ``length`` names a column to hold the new number of characters. Texts move once, by id and hash.
     Null and empty texts are not kept, repeated rows come as often as before, an empty table stays empty.
+    Null ids and hosts are like any other; columns of any name keep their values.
     """
     rows, cut = _removed(docs, doc_id, text, host)
     good = _judged(rows, cut).filter(~F.col("base_failed") & (2 * F.col("n_lost_words") <= F.col("n_words")))
     key = ["doc_id", "host", "text_hash"]
-    good = good.select(*[F.col(c).alias(f"__{c}") for c in key], "__cut").dropDuplicates([f"__{c}" for c in key])
+    own_id, own_host, own_hash, lines = free_names(docs, *key, "cut")
+    named = dict(zip(key, (own_id, own_host, own_hash), strict=True))
+    good = good.select(*[F.col(c).alias(n) for c, n in named.items()], F.col("__cut").alias(lines))
+    good = good.dropDuplicates([*named.values()])
     text_hash = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    same = _same(F.col(doc_id).cast("long"), F.col(host).cast("string"), text_hash)
+    same = (
+        (text_hash == F.col(own_hash))
+        & F.col(doc_id).cast("long").eqNullSafe(F.col(own_id))
+        & F.col(host).cast("string").eqNullSafe(F.col(own_host))
+    )
     marked = docs.join(materialize(good), same)
 
     @F.pandas_udf("string")
     def stripped(texts, cuts):
         return texts.combine(cuts, lambda t, c: t if c is None else without_lines(t, set(c)))
 
-    out = marked.withColumn(text, stripped(F.col(text).cast("string"), F.col("__cut")))
+    out = marked.withColumn(text, stripped(F.col(text).cast("string"), F.col(lines)))
     if length:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

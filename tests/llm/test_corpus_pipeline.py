@@ -27,3 +27,25 @@ def test_empty_and_odd_tables(spark):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF_DIR).collect()
+
+
+CLASHING = [
+    "__n", "__key", "__clean", "__spans", "__cut", "__host", "__doc_id", "__text_hash", "__kept", "__mix_place",
+    "__mix_epoch", "__mix_source", "__key_", "__epochs_", "key", "spans", "host", "text_hash", "size", "last",
+]
+
+
+def test_columns_with_the_names_of_helpers_keep_their_values(spark):
+    words = [" ".join(f"w{(i * 7 + j * j) % 997}" for j in range(80)) for i in range(6)]
+    texts = [*words, words[0] + " mail ann@example.org now", "", None]
+    rows = [(i, t, "en", "ab"[i % 2], 1, *[100 * i + c for c in range(len(CLASHING))]) for i, t in enumerate(texts)]
+    own = ", ".join(f"`{name}` long" for name in CLASHING)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {own}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.dtypes == docs.dtypes
+        got = out.collect()
+        assert got
+        for row in got:
+            assert tuple(row)[5:] == tuple(100 * row.doc_id + c for c in range(len(CLASHING)))
+            assert row.doc_id != 6 or row.text == texts[6] or "[EMAIL]" in row.text
