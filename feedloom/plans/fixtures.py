@@ -119,6 +119,26 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feeds in bytes, one entry each; the language decides how they are encoded."""
+    docs = table(spark, sf_dir, "documents")
+    latin = F.regexp_replace("text", r"[^\x{20}-\x{7e}\x{a0}-\x{ff}\n]", "?")
+    safe = F.replace(F.replace(latin, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    number = F.col("doc_id").cast("string")
+    items = F.concat(
+        F.lit("<rss><channel><title>F\u00e9ed</title><item><link>https://e.org/"), number, F.lit("</link><description>"),
+        safe, F.lit("</description></item></channel></rss>"),
+    )
+    declared = F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>'), items)
+    content = (
+        F.when(F.col("lang") == "en", F.encode(items, "UTF-16"))
+        .when(F.col("lang") == "fr", F.encode(declared, "ISO-8859-1"))
+        .when(F.col("lang") == "de", F.concat(F.unhex(F.lit("EFBBBF")), F.encode(items, "UTF-8")))
+        .otherwise(F.concat(F.encode(items, "UTF-8"), F.unhex(F.lit("FF"))))
+    )
+    return docs.select(F.concat(F.lit("https://e.org/"), number, F.lit("/feed")).alias("source_url"), content.alias("content"))
+
+
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as feed items; equal texts of a source have one title and differ in their address."""
     rows = items(spark, sf_dir)

@@ -263,6 +263,18 @@ ORACLE: dict[str, str] = {
                length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))
                + CASE lang WHEN 'de' THEN length('<opml><body></body></opml>') ELSE length('<rss><channel><item>') END AS n_chars
         FROM documents WHERE lang NOT IN ('en', 'fr')""",
+    "feed_encodings": f"""
+        WITH d AS (
+          SELECT *, 'https://e.org/' || doc_id AS link, regexp_replace(text, '[^\\x{{20}}-\\x{{7e}}\\x{{a0}}-\\x{{ff}}\\n]', '?', 'g') AS latin
+          FROM documents)
+        SELECT link || '/feed' AS source_url, 'F\u00e9ed' AS source_name, link AS url, {norm("latin")} AS content,
+               NULL AS reason, NULL AS n_chars
+        FROM d WHERE lang IN ('en', 'fr', 'de')
+        UNION ALL
+        SELECT link || '/feed', link || '/feed', NULL, '', 'Unreadable encoding',
+               length('<rss><channel><title>F\u00e9ed</title><item><link></link><description></description></item></channel></rss>')
+               + length(link) + length(replace(replace(latin, '&', '&amp;'), '<', '&lt;')) + 1
+        FROM d WHERE lang NOT IN ('en', 'fr', 'de')""",
     "reader_scan": f"""
         SELECT 'https://reader.example.org/api' AS source_url, source AS source_name, 'tag:' || doc_id AS external_id,
                'https://example.org/' || doc_id AS url, 'T ' || doc_id AS title, 'Ada' AS author, {norm("text")} AS content,

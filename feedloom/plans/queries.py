@@ -16,7 +16,7 @@ from feedloom.operators.analyze import normalize_items
 from feedloom.operators.skew import left_join_unique
 from feedloom.plans import fixtures as fx
 from feedloom.session import materialize, shared_dir
-from feedloom.sources.feeds import parse_feeds
+from feedloom.sources.feeds import parse_feed_rows, parse_feeds
 from feedloom.sources.reader import parse_reader_pages
 from feedloom.sources.selection import sample_items, union_items
 from feedloom.streaming import pipeline
@@ -56,6 +56,12 @@ def feed_rejects(spark, sf_dir):
     return found.select("source_url", "reason", F.length("body").alias("n_chars"))
 
 
+@query
+def feed_encodings(spark, sf_dir):
+    found = parse_feed_rows(fx.landed_bytes(spark, sf_dir))
+    return found.select("source_url", "source_name", "url", "content", "reason", F.length("detail").alias("n_chars"))
+
+
 @query
 def reader_scan(spark, sf_dir):
     found = parse_reader_pages(fx.landed_reader_pages(spark, sf_dir)).items

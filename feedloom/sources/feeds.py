@@ -1,4 +1,4 @@
-"""Landed feed documents (one per row: source_url, body) to feed items."""
+"""Landed feed documents (one per row: source_url and body or content) to feed items."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from feedloom.functions.html import with_html_text
 from feedloom.functions.text import blank_to_null, first_filled, normalize_text, sha256_text, strip_text
 from feedloom.operators.stage import compute_once
 from feedloom.schemas import FEED_COLUMNS
+from feedloom.sources.encodings import WRONG_BYTES, decoded
 
 UNSUPPORTED = "Unsupported feed format"
 MALFORMED = "Malformed feed document"
@@ -40,32 +41,36 @@ class ParsedFeeds:
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Feed documents from ``path/source_url=<encoded url>/*``, one whole file per row."""
-    return _landed_columns(spark.read.text(path, wholetext=True))
+    return _landed_columns(spark.read.format("binaryFile").load(path))
 
 
 def stream_landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same layout as a file stream."""
-    schema = "value string, source_url string"
-    reader = spark.readStream.schema(schema).option("wholetext", True)
+    schema = "path string, modificationTime timestamp, length long, content binary, source_url string"
+    reader = spark.readStream.format("binaryFile").schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _landed_columns(reader.text(path))
+    return _landed_columns(reader.load(path))
 
 
 def _landed_columns(df: DataFrame) -> DataFrame:
     landed_at = F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS")
     return df.select(
         F.col("source_url").cast("string"),
-        F.col("value").alias("body"),
+        "content",
         F.concat_ws(" ", landed_at, F.col("_metadata.file_name")).alias("landed_seq"),
     )
 
 
-def with_landed_seq(landed: DataFrame) -> DataFrame:
-    """Arrival order of documents; equal for rows that come without one."""
-    if "landed_seq" in landed.columns:
-        return landed
-    return landed.withColumn("landed_seq", F.lit(""))
+def with_landed_columns(landed: DataFrame) -> DataFrame:
+    """Documents with ``body``, ``undecodable`` and ``landed_seq``, their arrival order.
+
+    Bytes in ``content`` are decoded; a ``body`` is text already. Rows without an order are equal in it.
+    """
+    if "body" not in landed.columns:
+        landed = decoded(landed)
+    optional = {"landed_seq": F.lit(""), "undecodable": F.lit(False)}
+    return landed.withColumns({c: v for c, v in optional.items() if c not in landed.columns})
 
 
 def with_format(landed: DataFrame) -> DataFrame:
@@ -214,12 +219,15 @@ def parse_feed_rows(landed: DataFrame, head: int | None = None) -> DataFrame:
     ``head`` keeps the first entries of each document before they leave the parser, so the
     per-feed limit needs no shuffle.
     """
-    typed = with_format(with_landed_seq(landed))
+    typed = with_format(with_landed_columns(landed))
     read = _xml_reader()
-    docs = compute_once(typed, {"xml": read(F.when(F.col("format").isNotNull(), F.col("body")))})
+    readable = F.col("format").isNotNull() & ~F.col("undecodable")
+    docs = compute_once(typed, {"xml": read(F.when(readable, F.col("body")))})
     docs = docs.withColumn(
         "reason",
-        F.when(F.col("format").isNull(), F.lit(UNSUPPORTED)).otherwise(F.col("xml.problem")),
+        F.when(F.col("undecodable"), F.lit(WRONG_BYTES))
+        .when(F.col("format").isNull(), F.lit(UNSUPPORTED))
+        .otherwise(F.col("xml.problem")),
     )
     found = F.col("xml.entries")
     entries = F.when(F.col("format") == "rss", F.transform(found, _rss_entry)).otherwise(

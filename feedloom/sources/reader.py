@@ -12,7 +12,8 @@ from feedloom.functions.payload import string_map
 from feedloom.functions.text import blank_to_null, first_filled, normalize_text, sha256_text, strip_text
 from feedloom.operators.stage import compute_once
 from feedloom.schemas import FEED_COLUMNS
-from feedloom.sources.feeds import ParsedFeeds, split_rows, with_landed_seq
+from feedloom.sources.encodings import WRONG_BYTES
+from feedloom.sources.feeds import ParsedFeeds, split_rows, with_landed_columns
 
 MALFORMED = "Malformed reader page"
 
@@ -47,10 +48,11 @@ def entry_html(entry: Column) -> Column:
 def parse_reader_rows(landed: DataFrame, head: int | None = None) -> DataFrame:
     """Entries with an address, in page order; pages that are not JSON objects carry a reason."""
     pages = compute_once(
-        with_landed_seq(landed),
+        with_landed_columns(landed),
         {"page": F.from_json("body", "items array<string>, _corrupt_record string")},
     )
-    bad = F.col("page").isNull() | F.col("page._corrupt_record").isNotNull()
+    wrong = F.when(F.col("undecodable"), F.lit(WRONG_BYTES)).otherwise(F.lit(MALFORMED))
+    bad = F.col("undecodable") | F.col("page").isNull() | F.col("page._corrupt_record").isNotNull()
     entries = F.transform(
         F.coalesce("page.items", F.array()),
         lambda text: F.struct(F.from_json(text, ENTRY_DDL).alias("entry"), text.alias("text")),
@@ -61,7 +63,7 @@ def parse_reader_rows(landed: DataFrame, head: int | None = None) -> DataFrame:
     staged = compute_once(
         pages,
         {
-            "reason": F.when(bad, F.lit(MALFORMED)),
+            "reason": F.when(bad, wrong),
             "detail": F.when(bad, F.col("body")),
             "__linked": F.when(~bad, linked).otherwise(F.array(F.lit(None))),
         },
