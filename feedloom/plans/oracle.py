@@ -464,6 +464,13 @@ ORACLE: dict[str, str] = {
         WITH h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3)
         SELECT conv_id, turn, role FROM h
         WHERE role = 'system' OR {START} + to_seconds(conv_id * 7200) >= {NOW} - INTERVAL 7 DAY""",
+    "feed_head_over_pages": """
+        WITH e AS (
+          SELECT source, doc_id, unnest(string_split(text, ' ')) AS entry,
+                 (generate_subscripts(string_split(text, ' '), 1) - 1)::INT AS pos
+          FROM documents)
+        SELECT source, doc_id, pos, entry FROM e
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) <= 100""",
     "latest_analysis": """
         SELECT user_id, event_id, value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",

@@ -408,6 +408,13 @@ def feed_head_n_then_age(spark, sf_dir):
     return ingest.age_guard(head, fx.NOW).select("conv_id", "turn", "role")
 
 
+@query
+def feed_head_over_pages(spark, sf_dir):
+    words = F.posexplode(F.split("text", " ")).alias("pos", "entry")
+    entries = fx.table(spark, sf_dir, "documents").select("source", "doc_id", words)
+    return ingest.head_over_pages(entries, "source", "doc_id", "pos", 100)
+
+
 @query
 def latest_analysis(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")

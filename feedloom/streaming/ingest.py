@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from feedloom.operators.ingest import head_over_pages
 from feedloom.session import materialize
 from feedloom.sources.feeds import parse_feed_rows, split_rows, stream_landed
 from feedloom.sources.reader import parse_reader_rows
@@ -24,10 +25,17 @@ def utc_now() -> datetime:
 def ingest_landed(
     batch: Batch, landed: DataFrame, now: datetime, options: Options = Options(), reader_api: bool = False
 ) -> None:
-    """Parse one batch of landed documents and run the pipeline on it."""
+    """Parse one batch of landed documents and run the pipeline on it.
+
+    The limit of a feed holds per document; with ``options.pages`` the documents of a feed in one
+    batch are pages of one fetch and share it.
+    """
     parse = parse_reader_rows if reader_api else parse_feed_rows
     found = split_rows(materialize(parse(landed, head=options.max_items_per_feed)))
-    ingest_batch(batch, found.items, found.rejects, now, options)
+    items = found.items
+    if options.pages:
+        items = head_over_pages(items, n=options.max_items_per_feed)
+    ingest_batch(batch, items, found.rejects, now, options)
 
 
 def start_ingest(

@@ -47,6 +47,8 @@ class Options:
     notes_root: str = notes.DEFAULT_ROOT
     lexicon: dict[str, list[str]] = field(default_factory=lambda: TOPIC_KEYWORDS)
     deliver: Deliver = dry_run
+    # the documents of a feed in one batch are pages of one fetch
+    pages: bool = False
 
 
 def _key(*columns: str) -> Column:

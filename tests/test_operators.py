@@ -127,6 +127,28 @@ def test_small_top_n_is_pruned_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_limit_runs_over_the_pages_of_a_feed(spark, threshold):
+    sizes = {("a", "1"): 2, ("a", "2"): 3, ("a", "3"): 4, ("b", "9"): 7, ("c", "1"): 1, (None, "1"): 2, (None, None): 3}
+    data = [(f, p, i, "x") for (f, p), n in sizes.items() for i in range(n)] + [("hot", f"{p:03d}", 0, "x") for p in range(300)]
+    df = spark.createDataFrame(data, "source_url string, landed_seq string, pos int, title string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for n in (1, 2, 4, 100):
+            want = []
+            for name in {row[0] for row in data}:
+                # Spark's order has nulls first
+                mine = sorted((r for r in data if r[0] == name), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+                want += mine[:n]
+            got = ingest.head_over_pages(df, n=n)
+            assert got.columns == df.columns
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        assert ingest.head_over_pages(df.limit(0), n=3).collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_guard_cuts_the_feed_before_it_looks_at_the_age(spark):
     now = datetime(2024, 2, 1)
     items = [("a", 0, now - timedelta(days=1)), ("a", 1, now - timedelta(days=30)), ("a", 2, None), ("a", 3, now)]

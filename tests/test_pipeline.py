@@ -302,6 +302,15 @@ def test_content_duplicates_join_groups_of_earlier_batches(spark, root):
         assert checks.orphans(frames[0], key, frames[1], parent_key).isEmpty(), (child, key)
 
 
+def test_pages_of_one_fetch_share_the_limit(spark, root, tmp_path):
+    docs = [("a", feed("Feed A", *[(f"p{p}{i}", f"https://a.org/{p}/{i}", "T", f"text {p} {i}", DAY) for i in range(2)])) for p in range(3)]
+    run(spark, root, 0, docs, max_items_per_feed=3, pages=True)
+    assert rows(spark, root, "raw_items", "external_id") == [("p00",), ("p01",), ("p10",)]
+    apart = str(tmp_path / "apart")
+    run(spark, apart, 0, docs, max_items_per_feed=1)
+    assert rows(spark, apart, "raw_items", "external_id") == [("p00",), ("p10",), ("p20",)]
+
+
 def land(spark, root, writer, batch_id, docs, now=NOW):
     from feedloom.sources.feeds import parse_feed_rows, split_rows
 
