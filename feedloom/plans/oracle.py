@@ -471,6 +471,17 @@ ORACLE: dict[str, str] = {
           FROM documents)
         SELECT source, doc_id, pos, entry FROM e
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) <= 100""",
+    "check_batch": """
+        WITH c AS (
+          SELECT event_id, user_id, ts, nullif(concat_ws(',', CASE WHEN value IS NULL THEN 'null:value' END,
+                   CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'domain:event_type' END,
+                   CASE WHEN user_id NOT IN (SELECT c_custkey FROM customer) THEN 'orphan:user_id' END), '') AS broken
+          FROM events)
+        SELECT event_id, user_id, CASE WHEN broken IS NOT NULL THEN broken
+               WHEN user_id IN (SELECT doc_id FROM labels) THEN 'unique:user_id'
+               WHEN user_id IS NOT NULL AND row_number() OVER (PARTITION BY user_id, broken IS NULL ORDER BY ts, event_id) > 1
+               THEN 'unique:user_id' END AS refused
+        FROM c""",
     "latest_analysis": """
         SELECT user_id, event_id, value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",

@@ -415,6 +415,20 @@ def feed_head_over_pages(spark, sf_dir):
     return ingest.head_over_pages(entries, "source", "doc_id", "pos", 100)
 
 
+@query
+def check_batch(spark, sf_dir):
+    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    stored = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("user_id"))
+    rules = checks.Constraints(
+        not_null=["value"],
+        domains={"event_type": ["view", "click", "purchase"]},
+        references={"user_id": (fx.table(spark, sf_dir, "customer"), "c_custkey")},
+        unique=["user_id"],
+        order=["ts", "event_id"],
+    )
+    return checks.check_batch(events, rules, stored).select("event_id", "user_id", "refused")
+
+
 @query
 def latest_analysis(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
