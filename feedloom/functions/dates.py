@@ -33,6 +33,8 @@ _ISO8601 = (
     r"\A(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,}))?)?)?"
     r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?\z"
 )
+# An ISO week date, with dashes or without, and what follows it.
+_WEEK_DATE = r"(?s)\A(\d{4})(?:-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)((?:[^\d-].*)?)\z"
 _SEP = "\u0001"
 
 
@@ -103,6 +105,21 @@ def _iso_time(year, month, day, hour, minute, second, fraction, zone) -> Column:
     )
 
 
+def _calendar_date(text: Column) -> Column:
+    """An ISO week date at the start as year, month and day; null for a week or day that does not exist."""
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _WEEK_DATE, i)
+
+    year, week, day = _number(part(1)), _number(F.concat(part(2), part(4))), F.concat(part(3), part(5))
+    day = F.when(day == "", 1).otherwise(_number(day))
+    # always in week 1
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    date = F.date_add(fourth, (week - 1) * 7 + day - 1 - F.weekday(fourth))
+    real = (F.weekofyear(date) == week) & day.between(1, 7) & (year > 0)
+    return F.when(real, F.concat(F.date_format(date, "yyyy-MM-dd"), part(6)))
+
+
 def _day_first(text: Column) -> Column:
     """A date with its month first or its year last, in the usual order; others unchanged."""
     return F.regexp_replace(F.regexp_replace(text, *_MONTH_FIRST), *_YEAR_LAST)
@@ -113,7 +130,8 @@ def parse_datetime(value: Column | str) -> Column:
     return bind(
         F.trim(col_of(value)),
         lambda text: F.coalesce(
-            _matched(_day_first(text), _RFC822, 7, _rfc822_time), _matched(text, _ISO8601, 8, _iso_time)
+            _matched(_day_first(text), _RFC822, 7, _rfc822_time), _matched(text, _ISO8601, 8, _iso_time),
+            _matched(F.when(text.rlike(_WEEK_DATE), _calendar_date(text)), _ISO8601, 8, _iso_time),
         ),
     )
 

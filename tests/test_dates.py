@@ -40,6 +40,9 @@ CASES = [
     "Wed Jun 10 12:00:00 +0800 2026", "Wed Jun 10 12:00:00 GMT 2026", "Wed, 10 Jun 2026", "10 Jun 2026 12.30 GMT",
     "Wed, 10 Jun 2026 12:00 PM", "10 Jun, 2026 12:00:00 GMT", "10 Jun 2026 12:00:00 -5", "Wednesday 10 Jun 2026 12:00:00 GMT",
     "Wed, Jun 10 2026 12:00:00 UTC", "10 Jun 2026 12:00:00 +0800 (CST)",
+    "2026-W24-3", "2026W243", "2026-W24", "2026W24", "2026-W24-3T12:00:00Z", "2026-W24-3 12:00:00.5+08:00", "2026W243T120000Z",
+    "2026-W01-1", "2026-W53-7", "2025-W53-1", "2026-W00-1", "2026-W54-1", "2026-W24-0", "2026-W24-8", "2026-W243", "2026W24-3",
+    "2026-W24-3T25:00", "2024-W01-1", "2021-W53", "2020-W53-5", "0000-W01-1", "2026-W24T09:00",
 ]
 
 
