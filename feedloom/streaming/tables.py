@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.schemas import TABLE_COLUMNS, TABLES
@@ -69,12 +69,7 @@ class Batch:
     def own(self, table: str) -> DataFrame | None:
         """What an earlier run of this batch has written of a table, if it came so far."""
         folder = f"{self.root}/{table}/writer={self.writer}/batch_id={self.batch_id}"
-        try:
-            return self.spark.read.schema(TABLES[table]).parquet(folder)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        return _parquet(self.spark, TABLES[table], folder)
 
     def done(self, now: datetime) -> None:
         """Let other writers' later batches read this one."""
@@ -116,12 +111,98 @@ def next_batch(spark: SparkSession, root: str, writer: str) -> Batch:
     return Batch(spark, root, writer, max(last("batch_times"), last("batch_done") + 1))
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All rows of a log; none before its first batch."""
-    ddl = f"{TABLES[table]}, writer string, batch_id bigint"
+@dataclass(frozen=True)
+class Segment:
+    """A folder with the rows of each writer's batches up to ``last``, beyond those of earlier segments."""
+
+    path: str
+    level: int
+    last: dict[str, int]
+
+
+@dataclass(frozen=True)
+class Generation:
+    """The compacted part of a log; see ``feedloom.streaming.compaction``."""
+
+    number: int
+    created_at: datetime
+    segments: tuple[Segment, ...]
+
+    @cached_property
+    def marks(self) -> dict[str, int]:
+        """The last batch of each writer that the segments hold."""
+        marks: dict[str, int] = {}
+        for segment in self.segments:
+            for writer, last in segment.last.items():
+                marks[writer] = max(last, marks.get(writer, -1))
+        return marks
+
+
+MANIFEST = "segment string, level int, writer string, last_batch bigint, created_at timestamp"
+
+
+def manifest_path(root: str, table: str) -> str:
+    return f"{root}/manifests/log={table}"
+
+
+def _parquet(spark: SparkSession, ddl: str, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(ddl).parquet(f"{root}/{table}")
+        return spark.read.schema(ddl).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], ddl)
+        return None
+
+
+def newest_generation(spark: SparkSession, root: str, table: str, number: int | None = None) -> Generation | None:
+    """The generation in force, or the one of a number; one row per segment and writer is read."""
+    listed = _parquet(spark, f"{MANIFEST}, generation bigint", manifest_path(root, table))
+    if listed is None:
+        return None
+    at = F.unix_micros("created_at").alias("at")
+    wanted = listed if number is None else listed.filter(F.col("generation") == number)
+    rows = wanted.select("generation", "segment", "level", "writer", "last_batch", at).collect()
+    if not rows:
+        return None
+    newest = max(row["generation"] for row in rows)
+    found: dict[tuple[int, str], dict[str, int]] = {}
+    for row in rows:
+        if row["generation"] == newest:
+            found.setdefault((row["level"], row["segment"]), {})[row["writer"]] = row["last_batch"]
+            micros = row["at"]
+    segments = tuple(Segment(path, level, last) for (level, path), last in sorted(found.items()))
+    return Generation(newest, datetime.fromtimestamp(micros / 1_000_000, tz=timezone.utc), segments)
+
+
+def uncovered(generation: Generation) -> Column:
+    """Whether a row's batch is outside the generation; on partition columns, so its folders are not read."""
+    outside = F.lit(True)
+    for writer, last in sorted(generation.marks.items()):
+        outside = outside & ~((F.col("writer") == writer) & (F.col("batch_id") <= last))
+    return outside
+
+
+def log_ddl(table: str) -> str:
+    return f"{TABLES[table]}, writer string, batch_id bigint"
+
+
+def logged_rows(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """Rows in the folders of batches."""
+    return _parquet(spark, log_ddl(table), f"{root}/{table}")
+
+
+def segment_rows(spark: SparkSession, table: str, segments: list[Segment] | tuple[Segment, ...]) -> DataFrame:
+    return spark.read.schema(log_ddl(table)).parquet(*[s.path for s in segments])
+
+
+def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All rows of a log; none before its first batch.
+
+    Batches of the generation in force come from its segments, the others from their folders.
+    """
+    generation = newest_generation(spark, root, table)
+    live = logged_rows(spark, root, table)
+    if generation is None:
+        return spark.createDataFrame([], log_ddl(table)) if live is None else live
+    rows = segment_rows(spark, table, generation.segments)
+    return rows if live is None else rows.unionByName(live.filter(uncovered(generation)))
