@@ -567,4 +567,48 @@ ORACLE: dict[str, str] = {
                         count(*) FILTER (c_nationkey IS NULL) AS c_nationkey, count(*) FILTER (c_acctbal IS NULL) AS c_acctbal,
                         count(*) FILTER (c_mktsegment IS NULL) AS c_mktsegment FROM c)
         ON COLUMNS(*) INTO NAME column_name VALUE n_nulls""",
+    "compacted_logs": """
+        SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'feeds' ELSE 'reader' END AS writer, doc_id % 5 AS batch_id,
+               length(text) AS n_chars FROM documents""",
+    "item_language": r"""
+        WITH letters AS (
+          SELECT doc_id, lang, text, trim(regexp_replace(lower(text), '\P{L}+', ' ', 'g')) AS t FROM documents),
+        once AS (
+          SELECT DISTINCT lang, text, ' ' || t || ' ' AS t FROM letters
+          WHERE doc_id % 5 <> 0 AND lang IS NOT NULL AND text IS NOT NULL),
+        known AS (SELECT lang FROM once GROUP BY lang HAVING count(*) >= 20),
+        counts AS (
+          SELECT lang, substr(t, i, 3) AS gram, count(*) AS n
+          FROM (SELECT lang, t, unnest(range(1, length(t) - 1)) AS i FROM once WHERE length(t) > 2)
+          WHERE lang IN (FROM known) GROUP BY ALL),
+        chosen AS (
+          SELECT DISTINCT gram FROM counts
+          QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 1000),
+        held AS (
+          SELECT k.lang, c.gram, coalesce(n, 0) AS n FROM known k CROSS JOIN chosen c
+          LEFT JOIN counts USING (lang, gram)),
+        model AS (
+          SELECT lang, gram, floor(1000 * ln((n + 1) / (sum(n) OVER l + count(*) OVER l)::DOUBLE))::BIGINT AS w
+          FROM held WINDOW l AS (PARTITION BY lang)),
+        seen AS (
+          SELECT doc_id, substr(' ' || t || ' ', i, 3) AS gram
+          FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM letters WHERE t <> '')),
+        sums AS (SELECT doc_id, lang, sum(n * w) AS s
+                 FROM (SELECT doc_id, gram, count(*) AS n FROM seen GROUP BY ALL) JOIN model USING (gram) GROUP BY ALL),
+        best AS (SELECT doc_id, lang FROM sums
+                 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)
+        SELECT doc_id, best.lang AS language FROM documents LEFT JOIN best USING (doc_id)""",
+    "item_novelty": r"""
+        WITH words AS (
+          SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+        hashes AS (
+          SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+        held AS (
+          SELECT doc_id, substr(h, 1, 16) AS key, min(doc_id) OVER (PARTITION BY substr(h, 1, 16)) AS first_id
+          FROM hashes WHERE h < '4'),
+        counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (first_id = doc_id) AS fresh FROM held GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_sketch, coalesce(fresh, 0) AS n_new,
+               CASE WHEN n > 0 THEN round(fresh / n, 3) END AS novelty
+        FROM documents LEFT JOIN counted USING (doc_id)""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import cards, dates, params, payload, scoring, slots, text, urls
 from feedloom.functions.html import with_html_text
-from feedloom.operators import checks, dedupe, digest, feedback, groups, ingest, latest, messages, notes, retry, routing, upsert
+from feedloom.operators import checks, dedupe, digest, feedback, groups, ingest, language, latest, messages, notes, novelty, retry, routing, upsert
 from feedloom.operators.analyze import normalize_items
 from feedloom.operators.skew import left_join_unique
 from feedloom.plans import fixtures as fx
@@ -19,7 +19,7 @@ from feedloom.session import materialize, shared_dir
 from feedloom.sources.feeds import parse_feed_rows, parse_feeds
 from feedloom.sources.reader import parse_reader_pages
 from feedloom.sources.selection import sample_items, union_items
-from feedloom.streaming import pipeline
+from feedloom.streaming import compaction, pipeline
 from feedloom.streaming.tables import Batch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -741,3 +741,44 @@ def slot_digests(spark, sf_dir):
     pipeline.digest_batch(again, at, 10, options=options, until=at)
     sent = read_table(spark, root, "push_events").filter("writer = 'digest'")
     return sent.select((F.col("batch_id") + 1).alias("slot"), F.col("item_id").cast("long").alias("id"), "status")
+
+
+@query
+def compacted_logs(spark, sf_dir):
+    """Two writers log documents in batches; compaction and clearing between them change no row."""
+    root = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"), F.col("lang"))
+    rows = docs.select(
+        "doc_id", F.lit("parse").alias("stage"), F.col("doc_id").cast("string").alias("key"),
+        F.col("lang").alias("reason"), F.col("text").alias("detail"), F.lit(fx.NOW).cast("timestamp").alias("created_at"),
+    )
+    for batch_id in range(5):
+        for number, writer in enumerate(("feeds", "reader")):
+            batch = Batch(spark, root, writer, batch_id)
+            batch.write("rejects", rows.filter((F.col("doc_id") % 2 == number) & (F.col("doc_id") % 5 == batch_id)))
+            batch.done(fx.NOW)
+        if batch_id > 1:
+            at = fx.NOW + timedelta(hours=batch_id)
+            compaction.compact(spark, root, "rejects", at, fanout=2)
+            compaction.vacuum(spark, root, "rejects", at)
+    read = read_table(spark, root, "rejects")
+    return read.select(F.col("key").cast("long").alias("doc_id"), "writer", "batch_id", F.length("detail").alias("n_chars"))
+
+
+@query
+def item_language(spark, sf_dir):
+    """The language of every document, learned from those whose id is not divisible by five."""
+    docs = fx.table(spark, sf_dir, "documents")
+    model = language.train_languages(docs.filter(F.col("doc_id") % 5 != 0))
+    return language.with_language(docs.select("doc_id", "text"), model, "doc_id").select("doc_id", "language")
+
+
+@query
+def item_novelty(spark, sf_dir):
+    """The share of each document's sketch that no smaller id has, over two consecutive batches."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = docs.agg(F.avg("doc_id")).scalar()
+    none = spark.createDataFrame([], "key string")
+    first, keys = novelty.novelty(docs.filter(F.col("doc_id") < middle), none, F.col("doc_id"), "doc_id")
+    second, _ = novelty.novelty(docs.filter(F.col("doc_id") >= middle), keys, F.col("doc_id"), "doc_id")
+    return first.unionByName(second).withColumn("novelty", F.col("novelty").cast("double"))

@@ -50,6 +50,8 @@ TABLES = {
         key string, group_id string, raw_item_id string, created_at timestamp, landed_seq string,
         source_id string, pos int
         """,
+    # The shingles that items have brought, for the novelty of later ones.
+    "novelty_keys": "key string",
     # Who wants to retry an item until when, and who may.
     "leases": "item_id string, leased_at timestamp, leased_until timestamp",
     "granted": "item_id string, leased_at timestamp",

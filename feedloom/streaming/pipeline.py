@@ -17,8 +17,9 @@ from feedloom.functions import slots
 from feedloom.functions.cards import digest_card, with_digest_line
 from feedloom.functions.scoring import TOPIC_KEYWORDS
 from feedloom.functions.text import content_hash, sha256_text
-from feedloom.operators import digest, feedback, groups, ingest, latest, messages, notes, retry, routing, upsert
+from feedloom.operators import digest, feedback, groups, ingest, latest, messages, notes, novelty, retry, routing, upsert
 from feedloom.operators.analyze import analyze_items, normalize_items
+from feedloom.operators.language import LanguageModel, with_language
 from feedloom.operators.skew import distinct_keys, left_join_unique
 from feedloom.schemas import TABLES
 from feedloom.session import materialize
@@ -49,6 +50,10 @@ class Options:
     deliver: Deliver = dry_run
     # the documents of a feed in one batch are pages of one fetch
     pages: bool = False
+    # fills the language of items
+    language_model: LanguageModel | None = None
+    # novelty from the words of earlier items, in place of the analyzer's constants
+    novelty: bool = False
 
 
 def _key(*columns: str) -> Column:
@@ -183,7 +188,9 @@ def group_raw(batch: Batch, readable: DataFrame, now: datetime) -> DataFrame:
     return grouped
 
 
-def insert_items(batch: Batch, raw: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+def insert_items(
+    batch: Batch, raw: DataFrame, now: datetime, options: Options = Options()
+) -> tuple[DataFrame, DataFrame]:
     """Log one item per canonical address not seen before; returns (items, unreadable addresses).
 
     An item whose content is that of an earlier raw item belongs to its group, as a duplicate.
@@ -202,6 +209,9 @@ def insert_items(batch: Batch, raw: DataFrame, now: datetime) -> tuple[DataFrame
     )
     joined = rows.join(grouped, F.col("raw_item_id") == F.col("__raw"))
     rows = joined.withColumnRenamed("group_id", "dedupe_group_id")
+    if options.language_model is not None:
+        rows = materialize(rows.withColumn("__words", F.concat_ws(" ", "title", "content")))
+        rows = with_language(rows, options.language_model, "id", "__words")
     return batch.write("items", rows), normal.filter(F.col("canonical_url").isNull())
 
 
@@ -222,6 +232,8 @@ def analyze_new(batch: Batch, items: DataFrame, now: datetime, options: Options)
     done = batch.prior("analysis_results").select(F.col("item_id").alias("id"))
     pending = upsert.unseen(items.select("id", "title", "content"), done, ["id"])
     scored = analyze_items(pending, options.lexicon, content_normalized=True)
+    if options.novelty:
+        scored = _with_novelty(batch, items, scored)
     rows = scored.withColumnRenamed("id", "item_id").withColumns(
         {
             "id": _key("item_id", "model_name"),
@@ -233,6 +245,21 @@ def analyze_new(batch: Batch, items: DataFrame, now: datetime, options: Options)
     return batch.write("analysis_results", rows)
 
 
+def _with_novelty(batch: Batch, items: DataFrame, scored: DataFrame) -> DataFrame:
+    """The share of an item's words that no earlier item has; texts without a sketch keep their score.
+
+    All items of the batch that are no duplicates bring their keys, analyzed before or not, so that a
+    replay finds the same.
+    """
+    texts = items.select("id", F.concat_ws(" ", "title", "content").alias("text"))
+    found, keys = novelty.novelty(texts, batch.prior("novelty_keys"), F.lit(0), "id")
+    batch.write("novelty_keys", keys)
+    said = found.select(F.col("id").alias("__said"), "novelty")
+    joined = left_join_unique(scored, materialize(said), "id", "__said")
+    score = F.coalesce(F.col("novelty").cast("double"), F.col("novelty_score"))
+    return joined.withColumn("novelty_score", score).drop("novelty")
+
+
 def ingest_batch(
     batch: Batch, items: DataFrame, rejects: DataFrame, now: datetime, options: Options = Options()
 ) -> None:
@@ -278,7 +305,7 @@ def settle_pending(
 def _settle(batch: Batch, recent: DataFrame, rejects: DataFrame, now: datetime, options: Options) -> None:
     upsert_sources(batch, recent, now)
     raw, taken = upsert_raw(batch, recent, now)
-    new_items, unreadable = insert_items(batch, raw, now)
+    new_items, unreadable = insert_items(batch, raw, now, options)
     open_groups(batch, new_items, now)
     analyses = analyze_new(batch, new_items, now, options)
     push_batch(batch, analyses, now, options)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import checks
+from feedloom.operators.language import train_languages
 from feedloom.schemas import DOMAINS, FOREIGN_KEYS, TABLES, UNIQUE_KEYS
 from feedloom.sources.selection import sample_items
 from feedloom.streaming import pipeline
@@ -99,6 +100,7 @@ COMPARED = {
     "rejects": ["key", "reason", "created_at"], "batch_times": ["batch_at"], "answers": ["id", "message_id"],
     "batch_views": ["seen_writer", "seen_batch"], "batch_done": ["done_at"], "entries": ["external_id", "landed_seq"],
     "group_keys": ["key", "group_id"], "open_items": ["id", "created_at"], "leases": ["item_id", "leased_at"], "granted": ["item_id"],
+    "novelty_keys": ["key"],
 }
 
 
@@ -426,3 +428,22 @@ def test_slots_take_turns_and_carry_over(spark, root):
     assert before == {t: rows(spark, root, t, *COMPARED[t]) for t in TABLES}
     state = Batch(spark, root, "digest", 2).own("open_items")
     assert state.isEmpty()
+
+
+def test_language_and_novelty_of_items(spark, root):
+    english = "the cat and the dog went with that to the house of them there "
+    german = "der Hund und die Katze gingen mit dem in das Haus von ihnen dort "
+    known = spark.createDataFrame([(english, "en"), (german, "de")], "text string, lang string")
+    model = train_languages(known, min_texts=1)
+    other = "".join(f"u{i} v{i} w{i} " for i in range(80))
+    said = english + "".join(f"a{i} b{i} c{i} " for i in range(80))
+    first = feed("F", ("1", "https://f.org/1", "Dog", said, DAY), ("2", "https://f.org/2", "Hund", german, DAY), ("3", "https://f.org/3", "12", "34", DAY))
+    second = feed("F", ("4", "https://f.org/4", "the dog", said, DAY), ("5", "https://f.org/5", "house of them", other, DAY))
+    for _ in range(2):
+        run(spark, root, 0, [("f", first)], language_model=model, novelty=True)
+    for _ in range(2):
+        run(spark, root, 1, [("f", second)], language_model=model, novelty=True)
+    items = {r.canonical_url[-1]: r for r in read_table(spark, root, "items").collect()}
+    assert {n: r.language for n, r in items.items()} == {"1": "en", "2": "de", "3": None, "4": "en", "5": "en"}
+    scores = {r.item_id: float(r.novelty_score) for r in read_table(spark, root, "analysis_results").collect()}
+    assert scores[items["1"].id] == 1 and scores[items["4"].id] < 0.05 and scores[items["5"].id] > 0.95
