@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.rows import row_udf
 from feedloom.operators.stage import compute_once
 
 WRONG_BYTES = "Unreadable encoding"
@@ -48,10 +49,7 @@ def _decoder():
         except (LookupError, ValueError):
             return None
 
-    def decode(contents: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([read(c, n) for c, n in zip(contents, names, strict=True)], dtype=object)
-
-    return F.pandas_udf(decode, "string")
+    return row_udf(read, pa.string(), "string")
 
 
 def decoded(landed: DataFrame, content: str = "content") -> DataFrame:
