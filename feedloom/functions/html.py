@@ -11,11 +11,11 @@ import html as stdlib_html
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from feedloom.functions.rows import row_udf
 from feedloom.functions.text import SPACE_CLASS, col_of, space_runs
 
 # Entities replaced natively; the ampersand comes last so that one pass never feeds the next.
@@ -70,10 +70,10 @@ def _odd_row_parser():
         parser.close()
         return " ".join(" ".join(parser.chunks).split())
 
-    def parse(values: pd.Series) -> pd.Series:
-        return values.map(text_of, na_action="ignore")
+    def read(value):
+        return None if value is None else text_of(value)
 
-    return F.pandas_udf(parse, T.StringType())
+    return row_udf(read, pa.string(), "string")
 
 
 def _replace_all(value: Column, entities: list[str]) -> Column:

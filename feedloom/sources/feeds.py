@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_datetime
 from feedloom.functions.html import with_html_text
+from feedloom.functions.rows import row_udf
 from feedloom.functions.text import blank_to_null, first_filled, normalize_text, sha256_text, strip_text
 from feedloom.operators.stage import compute_once
 from feedloom.schemas import FEED_COLUMNS
@@ -31,6 +32,10 @@ _ROOT = _PROLOG + r"<([A-Za-z_][\w.:-]*+)"
 # Child elements carry their namespace in front of their name; text is what comes before any markup.
 CHILD = "struct<tag:string,text:string,href:string,rel:string,name:string>"
 XML_DDL = f"problem string, name string, entries array<struct<children:array<{CHILD}>,payload:map<string,string>>>"
+_TEXT = pa.string()
+_CHILD = pa.struct([(name, _TEXT) for name in ("tag", "text", "href", "rel", "name")])
+_ENTRY = pa.struct([("children", pa.list_(_CHILD)), ("payload", pa.map_(_TEXT, _TEXT))])
+XML_KIND = pa.struct([("problem", _TEXT), ("name", _TEXT), ("entries", pa.list_(_ENTRY))])
 
 
 @dataclass(frozen=True)
@@ -94,31 +99,31 @@ def _xml_reader():
             "name": None if author is None else author.text,
         }
 
+    def result(problem=None, name=None, entries=None):
+        return {"problem": problem, "name": name, "entries": entries}
+
     def read(body):
         if body is None:
-            return None, None, None
+            return result()
         try:
             root = ElementTree.fromstring(body.lstrip("\ufeff \t\r\n"))
         except (ElementTree.ParseError, ValueError):
-            return malformed, None, None
+            return result(malformed)
         if root.tag.endswith("rss"):
             name, found = root.find("channel/title"), root.findall("channel/item")
         else:
             name, found = root.find(f"{atom}title"), root.findall(f"{atom}entry")
             if not found and any(e.tag.rpartition("}")[2] == "entry" for e in root if isinstance(e.tag, str)):
-                return unknown, None, None
+                return result(unknown)
         entries = []
         for entry in found:
             parts = [e for e in entry if isinstance(e.tag, str)]
             # the last of equal tags wins
             last = {e.tag: e.text for e in parts}
-            entries.append({"children": list(map(child, parts)), "payload": last})
-        return None, None if name is None else name.text, entries
-
-    def parse(bodies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read(b) for b in bodies], columns=["problem", "name", "entries"])
+            entries.append({"children": list(map(child, parts)), "payload": list(last.items())})
+        return result(None, None if name is None else name.text, entries)
 
-    return F.pandas_udf(parse, XML_DDL)
+    return row_udf(read, XML_KIND, XML_DDL)
 
 
 def _text(entry: Column, tag: str) -> Column:

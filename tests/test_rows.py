@@ -4,8 +4,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions import html
 from feedloom.functions.rows import PIECE_BYTES, PIECE_ROWS, row_udf
-from feedloom.sources import encodings
+from feedloom.sources import encodings, feeds
+
+DOC = "<rss><channel><title>A</title><item><link>https://a.org/%d</link><description>%s</description></item></channel></rss>"
 
 
 def _pieces(udf, *columns):
@@ -16,6 +19,8 @@ def _pieces(udf, *columns):
 @pytest.mark.parametrize(
     "reader, values",
     [
+        (feeds._xml_reader, [[DOC % (i, "x") for i in range(3000)]]),
+        (html._odd_row_parser, [[None if i % 2 else f"<b {i}" for i in range(3000)]]),
         (encodings._decoder, [[b"\xe9%d" % i for i in range(3000)], ["latin-1"] * 3000]),
     ],
 )
@@ -29,6 +34,7 @@ def test_large_documents_come_alone_and_none_is_lost(spark):
     found = _pieces(encodings._decoder(), pa.array([b"a" * PIECE_BYTES, b"", None, b"b" * PIECE_BYTES]), pa.array(["utf-8"] * 4))
     assert [len(p) for p in found] == [3, 1]
     assert [len(x or "") for p in found for x in p.to_pylist()] == [PIECE_BYTES, 0, 0, PIECE_BYTES]
+    assert [p.to_pylist() for p in _pieces(html._odd_row_parser(), pa.array([], pa.string()))] == [[]]
 
 
 def test_rows_keep_their_order_over_pieces(spark):
