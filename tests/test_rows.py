@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import html
 from feedloom.functions.rows import PIECE_BYTES, PIECE_ROWS, row_udf
 from feedloom.sources import encodings, feeds
+from feedloom.sources.feeds import parse_feeds
 
 DOC = "<rss><channel><title>A</title><item><link>https://a.org/%d</link><description>%s</description></item></channel></rss>"
 
@@ -44,3 +45,12 @@ def test_rows_keep_their_order_over_pieces(spark):
     udf = row_udf(read, pa.string(), "string", rows=7)
     got = spark.range(100).select("id", udf(F.col("id").cast("string")).alias("o")).collect()
     assert [r["o"] for r in got] == [str(r["id"])[::-1] for r in got]
+
+
+def test_feeds_over_many_pieces(spark):
+    rows = [(f"https://a.org/{i}", DOC % (i, "<br" if i % 3 else "t") if i % 5 else "<rss><channel>") for i in range(2000)]
+    landed = spark.createDataFrame(rows, "source_url string, body string").coalesce(1)
+    found = parse_feeds(landed)
+    assert found.rejects.count() == 400 + sum(1 for i in range(2000) if i % 5 and i % 3)
+    urls = {r["url"]: r["source_url"] for r in found.items.select("url", "source_url").collect()}
+    assert len(urls) == sum(1 for i in range(2000) if i % 5 and not i % 3) and all(u == s for u, s in urls.items())
