@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import slots
 from feedloom.functions.cards import digest_card, with_digest_line
 from feedloom.functions.scoring import TOPIC_KEYWORDS
-from feedloom.functions.text import content_hash, sha256_text
+from feedloom.functions.text import content_hash, normalize_text, sha256_text
 from feedloom.operators import digest, feedback, groups, ingest, latest, messages, notes, novelty, retry, routing, upsert
 from feedloom.operators.analyze import analyze_items, normalize_items
 from feedloom.operators.language import LanguageModel, with_language
@@ -111,22 +111,51 @@ def current_items(log: DataFrame) -> DataFrame:
     return latest.latest_per_key(log, ["id"], [F.col("created_at"), F.col("writer"), F.col("batch_id")])
 
 
-def merge_batch_versions(items: DataFrame) -> DataFrame:
-    """One row per (source, external id): address, author and date of the first version, text of the last."""
-    keyed = items.select(
+def entry_texts(items: DataFrame) -> DataFrame:
+    """Entries with the id of their raw item and a key of their place in it."""
+    return items.select(
         sha256_text("source_url").alias("source_id"),
         "external_id", "url", "author", "published_at", "title",
-        F.col("content").alias("raw_content"), "raw_payload",
-        content_hash("title", "url", "content").alias("content_hash"),
-        "landed_seq", "pos",
+        F.col("content").alias("raw_content"), "raw_payload", "landed_seq", "pos",
+    ).withColumns(
+        {
+            "id": _key("source_id", "external_id"),
+            # nulls are left out of the JSON, so they differ from any value
+            "version": F.unhex(sha256_text(F.to_json(F.struct("source_id", "external_id", "landed_seq", "pos")))),
+        }
+    )
+
+
+def merge_batch_versions(texts: DataFrame) -> DataFrame:
+    """One row per (source, external id): address, author and date of the first version, hash and place of the last.
+
+    Texts stay where they are; ``last_texts`` takes those of the last versions.
+    """
+    keyed = texts.select(
+        "id", "source_id", "external_id", "url", "author", "published_at", "landed_seq", "pos", "version",
+        content_hash("title", "url", "raw_content").alias("content_hash"),
     )
     return upsert.merge_first_last(
         keyed,
-        ["source_id", "external_id"],
+        ["id", "source_id", "external_id"],
         ["landed_seq", "pos", "content_hash"],
         ["url", "author", "published_at", "landed_seq", "pos"],
-        ["title", "raw_content", "raw_payload", "content_hash"],
-    ).withColumn("id", _key("source_id", "external_id"))
+        ["version", "content_hash"],
+    )
+
+
+def last_texts(merged: DataFrame, texts: DataFrame) -> DataFrame:
+    """Merged rows with title, text and payload of their last version; each text moves once.
+
+    Versions that are equal in order and hash have equal texts; one of them is taken.
+    """
+    text = ["title", "raw_content", "raw_payload"]
+    versions = texts.select(F.col("version").alias("__version"), F.col("url").alias("__url"), *text)
+    found = merged.join(versions, F.col("version") == F.col("__version")).filter(
+        F.col("content_hash") == content_hash("title", "__url", "raw_content")
+    )
+    one = latest.latest_per_key(found, ["version"], [F.col("content_hash")])
+    return one.select(*merged.columns, *text)
 
 
 def raw_verdicts(batch: Batch, merged: DataFrame) -> DataFrame:
@@ -149,6 +178,8 @@ def raw_verdicts(batch: Batch, merged: DataFrame) -> DataFrame:
     place = F.to_json(F.struct(*address))
     taken = taken.select(place.alias("__taken_place"), F.lit(True).alias("__taken"))
     checked = left_join_unique(compared.withColumn("__place", place), taken, "__place", "__taken_place")
+    # read three times below
+    checked = materialize(checked.drop("__place", "__hash", "content_hash"))
     flagged = upsert.flag_key_conflicts(
         checked.filter("created"), address, "id", ["landed_seq", "pos"]
     )
@@ -161,10 +192,12 @@ def raw_verdicts(batch: Batch, merged: DataFrame) -> DataFrame:
 
 def upsert_raw(batch: Batch, items: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Log raw items that are new or changed; returns (logged rows, rows with a taken address)."""
-    merged = materialize(merge_batch_versions(items))
+    texts = entry_texts(items)
+    merged = materialize(merge_batch_versions(texts))
     verdicts = materialize(raw_verdicts(batch, merged))
     wanted = verdicts.filter("not conflict and (created or changed)").select("id", "created")
-    logged = batch.write("raw_items", merged.join(wanted, "id").withColumn("created_at", _at(now)))
+    rows = last_texts(merged.join(wanted, "id"), texts)
+    logged = batch.write("raw_items", rows.withColumn("created_at", _at(now)))
     return logged, verdicts.filter("conflict")
 
 
@@ -174,12 +207,11 @@ def group_raw(batch: Batch, readable: DataFrame, now: datetime) -> DataFrame:
     A content is a title with a text; raw items without a text share no content.
     """
     place = ["created_at", "landed_seq", "source_id", "pos"]
-    content = F.when(F.col("content") != "", F.concat(F.lit("content:"), _key("title", "content")))
     rows = readable.withColumn("created_at", _at(now)).select(
         "id",
         F.struct(*place, "id").alias("at"),
         F.concat(F.lit("url:"), sha256_text("canonical_url")).alias("url_key"),
-        content.alias("content_key"),
+        "content_key",
     )
     index = batch.prior("group_keys").select("key", "group_id", F.struct(*place, F.col("raw_item_id").alias("id")).alias("at"))
     grouped, added = groups.join_groups(rows, index, _key("id"))
@@ -195,24 +227,35 @@ def insert_items(
 
     An item whose content is that of an earlier raw item belongs to its group, as a duplicate.
     """
-    normal = materialize(normalize_items(raw.filter("created")))
-    readable = normal.filter(F.col("canonical_url").isNotNull())
+    created = raw.filter("created")
+    content = F.when(F.col("content") != "", F.concat(F.lit("content:"), _key("title", "content")))
+    unreadable = F.col("canonical_url").isNull()
+    # all is decided without the texts, which meet their item in one join
+    normal = materialize(
+        normalize_items(created).select(
+            "id", "canonical_url", "normalized_hash", content.alias("content_key"), "landed_seq", "source_id", "pos",
+            F.when(unreadable, F.col("url")).alias("url"),
+        )
+    )
+    readable = normal.filter(~unreadable)
     grouped = group_raw(batch, readable, now).withColumnRenamed("id", "__raw")
     order = [F.col("landed_seq"), F.col("source_id"), F.col("pos"), F.col("id")]
-    first = upsert.insert_if_absent(readable, batch.prior("items"), ["canonical_url"], order)
-    rows = first.withColumnRenamed("id", "raw_item_id").withColumns(
+    narrow = readable.select("id", "canonical_url", "normalized_hash", "landed_seq", "source_id", "pos")
+    first = upsert.insert_if_absent(narrow, batch.prior("items"), ["canonical_url"], order)
+    joined = first.withColumnRenamed("id", "raw_item_id").join(grouped, F.col("raw_item_id") == F.col("__raw"))
+    texts = created.select(F.col("id").alias("__text_of"), "title", normalize_text("raw_content").alias("content"))
+    rows = joined.join(texts, F.col("raw_item_id") == F.col("__text_of")).withColumns(
         {
             "id": sha256_text("canonical_url"),
             "language": F.lit(None).cast("string"),
             "created_at": _at(now),
         }
     )
-    joined = rows.join(grouped, F.col("raw_item_id") == F.col("__raw"))
-    rows = joined.withColumnRenamed("group_id", "dedupe_group_id")
+    rows = rows.withColumnRenamed("group_id", "dedupe_group_id")
     if options.language_model is not None:
         rows = materialize(rows.withColumn("__words", F.concat_ws(" ", "title", "content")))
         rows = with_language(rows, options.language_model, "id", "__words")
-    return batch.write("items", rows), normal.filter(F.col("canonical_url").isNull())
+    return batch.write("items", rows), normal.filter(unreadable)
 
 
 def open_groups(batch: Batch, items: DataFrame, now: datetime) -> DataFrame:
@@ -230,8 +273,10 @@ def analyze_new(batch: Batch, items: DataFrame, now: datetime, options: Options)
     """Log one analysis per item that has none; duplicates get none."""
     items = items.filter("not is_duplicate")
     done = batch.prior("analysis_results").select(F.col("item_id").alias("id"))
-    pending = upsert.unseen(items.select("id", "title", "content"), done, ["id"])
-    scored = analyze_items(pending, options.lexicon, content_normalized=True)
+    texts = items.select("id", "title", "content")
+    # scored where the texts are; only what comes of them meets the log
+    scored = analyze_items(texts, options.lexicon, content_normalized=True).drop("title", "content")
+    scored = scored.join(upsert.seen_keys(done, items, ["id"]), "id", "left_anti")
     if options.novelty:
         scored = _with_novelty(batch, items, scored)
     rows = scored.withColumnRenamed("id", "item_id").withColumns(

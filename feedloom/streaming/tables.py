@@ -78,7 +78,7 @@ class Batch:
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """Replace this batch's rows of a table and read them back, so later steps reuse them."""
         folder = f"{self.root}/{table}/writer={self.writer}/batch_id={self.batch_id}"
-        rows.select(*TABLE_COLUMNS[table]).write.mode("overwrite").parquet(folder)
+        rows.select(*TABLE_COLUMNS[table]).write.mode("overwrite").parquet(folder, compression="zstd")
         return self.spark.read.schema(TABLES[table]).parquet(folder)
 
     def last_time(self, now: datetime) -> datetime | None:
