@@ -154,7 +154,8 @@ def last_texts(merged: DataFrame, texts: DataFrame) -> DataFrame:
     found = merged.join(versions, F.col("version") == F.col("__version")).filter(
         F.col("content_hash") == content_hash("title", "__url", "raw_content")
     )
-    one = latest.latest_per_key(found, ["version"], [F.col("content_hash")])
+    # the keys of the join, so that nothing moves again
+    one = latest.latest_per_key(found, ["version", "content_hash"], [F.col("content_hash")])
     return one.select(*merged.columns, *text)
 
 

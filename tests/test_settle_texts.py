@@ -62,3 +62,18 @@ def test_an_entry_without_source_and_place_is_kept(spark, tmp_path):
     root = str(tmp_path)
     settle(spark, root, [entry("n", "https://s.org/n", "N", "null place", None, None, source=None)])
     assert [(r.external_id, r.raw_content) for r in read_table(spark, root, "raw_items").collect()] == [("n", "null place")]
+
+
+def test_the_texts_of_the_last_versions_move_once(spark):
+    """One exchange for the texts, one for the merged rows, none between their join and the choice of one copy."""
+    texts = pipeline.entry_texts(spark.createDataFrame([entry("a", "https://s.org/a", "T", "text", "1")], FEED_ITEM))
+    merged = pipeline.merge_batch_versions(texts).localCheckpoint()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pipeline.last_texts(merged, texts)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 2, plan
